@@ -164,21 +164,25 @@ def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, crowd: int = 512) -> DataFrame:
-    """Columns (key, fp, component) of every row: component is the smallest key among all rows that can be reached
-    by links of three differing bits or fewer, itself included.
+    """Columns (key, print, fp, group, component) of every row: component is the smallest key among all rows that can
+    be reached by links of three differing bits or fewer, itself included; group, a fingerprint, names the same
+    component; print is the text's hash, which with the key tells rows apart.
 
     Texts without a word have fingerprint 0 and link like any other. Rows with a null key take part; a component
     with null keys alone has a null component. Repeated rows come out as often as they went in. An empty table
     gives an empty result. Other columns don't matter.
     """
-    rows = written(fingerprints(docs, text, [key], shingle).withColumnRenamed(key, "key"))
+    source = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("print"), F.col(text).alias("text"))
+    rows = written(fingerprints(source, "text", ["key", "print"], shingle))
     reps = written(rows.groupBy("fp").agg(F.min("key").alias("rep")))
     found = components(links(reps.select("fp"), crowd))
-    # Fingerprints in links, with the smallest key of their component; every other fingerprint stands alone.
-    linked = reps.join(found.withColumnRenamed("node", "fp"), "fp")
-    linked = linked.join(linked.groupBy("root").agg(F.min("rep").alias("component")), "root").select("fp", "component")
-    labels = reps.join(linked, "fp", "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    return rows.join(labels, "fp").select(F.col("key").alias(key), "fp", "component")
+    # Fingerprints in links, with their component's root; every other fingerprint stands alone.
+    grouped = reps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("group"))
+    low = grouped.where(F.col("fp") != F.col("group")).select("group").distinct()
+    shared = grouped.join(low, "group", "left_semi").groupBy("group").agg(F.min("rep").alias("low"))
+    labels = grouped.join(shared, "group", "left").select("fp", "group", F.coalesce("low", "rep").alias("component"))
+    # Written, so that the join shuffles both sides by itself and Spark can split a fingerprint that many rows share.
+    return rows.join(written(labels), "fp").select(F.col("key").alias(key), "print", "fp", "group", "component")
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
