@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from freightloom.llm.common import fresh
 
@@ -179,7 +180,7 @@ def encoded(docs: DataFrame, model: str, text: str = "text", carry: list[str] |
     source = docs.select(*carry, F.col(text).alias(t))
     schema = source.select(*carry).schema
     for c in new:
-        schema = schema.add(c, "long" if digest else "array<int>")
+        schema = schema.add(c, T.LongType() if digest else T.ArrayType(T.IntegerType()))
 
     def results(texts: list[str | None]) -> list[list]:
         vocab = vocabulary(model, kind)
