@@ -1,4 +1,4 @@
 """Queries by theme; importing this package registers them."""
 
-from freightloom.plans import cleaning, decisions, generated, joins, models, panels, routing, scores, text  # noqa: F401
+from freightloom.plans import cleaning, decisions, features, generated, joins, models, panels, reports, routing, scores, text  # noqa: F401
 from freightloom.plans.registry import QUERIES  # noqa: F401

@@ -130,15 +130,15 @@ def rules_route(spark, d):
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity > 25 AS INTEGER) AS heavy, round(l_extendedprice / greatest(l_quantity, 1), 4) AS unit_price,
-       round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 4) AS paid, CAST(isodow(l_shipdate) >= 6 AS INTEGER) AS weekend, CAST(1 + floor(l_extendedprice / 20000) AS BIGINT) AS legs FROM lineitem""")
+SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity > 25 AS INTEGER) AS heavy, round(l_extendedprice / greatest(l_quantity, 1), 9) AS unit_price,
+       round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) AS paid, CAST(isodow(l_shipdate) >= 6 AS INTEGER) AS weekend, CAST(1 + floor(l_extendedprice / 20000) AS BIGINT) AS legs FROM lineitem""")
 def engineer_shipment(spark, d):
     price = F.col("l_extendedprice")
     return rounded(
         table(spark, d, "lineitem").select(
-            *LINE_KEYS, "l_partkey", (F.col("l_quantity") > 25).cast("int").alias("heavy"), S.safe_ratio(price, F.col("l_quantity"), 1).alias("unit_price"),
-            (price * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("paid"), (S.weekday(F.col("l_shipdate")) >= 5).cast("int").alias("weekend"), (1 + F.floor(price / 20000)).alias("legs"),
-        )
+            *LINE_KEYS, "l_partkey", (F.col("l_quantity") > 25).cast("int").alias("heavy"), F.round(S.safe_ratio(price, F.col("l_quantity"), 1), 9).alias("unit_price"),
+            F.round(price * (1 - F.col("l_discount")) * (1 + F.col("l_tax")), 6).alias("paid"), (S.weekday(F.col("l_shipdate")) >= 5).cast("int").alias("weekend"), (1 + F.floor(price / 20000)).alias("legs"),
+        ), 9
     )
 
 

@@ -31,7 +31,7 @@ def join_left_chain(spark, d):
 
 
 @query("""
-SELECT c.n_name AS customer_nation, s.n_name AS supplier_nation, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+SELECT c.n_name AS customer_nation, s.n_name AS supplier_nation, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey
 JOIN nation c ON c.n_nationkey = c_nationkey JOIN nation s ON s.n_nationkey = s_nationkey GROUP BY 1, 2""")
 def join_left_two_role(spark, d):
@@ -40,7 +40,7 @@ def join_left_two_role(spark, d):
     df = t("lineitem").join(t("supplier"), F.col("s_suppkey") == F.col("l_suppkey")).join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(t("customer"), F.col("c_custkey") == F.col("o_custkey"))
     lanes = df.groupBy("c_nationkey", "s_nationkey").agg(F.count("*").alias("n"), F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
     role = lambda key, name: t("nation").select(F.col("n_nationkey").alias(key), F.col("n_name").alias(name))
-    return rounded(lanes.join(role("c_nationkey", "customer_nation"), "c_nationkey").join(role("s_nationkey", "supplier_nation"), "s_nationkey").drop("c_nationkey", "s_nationkey"), 2)
+    return rounded(lanes.join(role("c_nationkey", "customer_nation"), "c_nationkey").join(role("s_nationkey", "supplier_nation"), "s_nationkey").drop("c_nationkey", "s_nationkey"))
 
 
 @query(f"""
