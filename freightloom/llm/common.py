@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 from array import array
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,22 +65,38 @@ class UnitEncoder:
     of keys. At most about `room` units are remembered in a worker; a full memory is emptied.
     """
 
-    def __init__(self, keys: Callable[[str], list[str]], encode: Callable[[list[str]], Iterable[bytes]], room: int = 400_000):
+    def __init__(self, keys: Callable[[str], list[str]], encode: Callable[[list[str]], Iterable[bytes]], room: int):
         self.keys, self.encode, self.room = keys, encode, room
         self.known: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
         """The ids of `text` as little-endian 16-bit integers."""
-        keys = self.keys(text)
-        got = list(map(self.known.get, keys))
-        if None in got:
-            if len(self.known) > self.room:
-                self.known.clear()
-            new = list(dict.fromkeys(k for k, g in zip(keys, got) if g is None))
-            found = dict(zip(new, self.encode(new)))
-            self.known.update(found)
-            got = [found[k] if g is None else g for k, g in zip(keys, got)]
-        return b"".join(got)
+        return self.together([text])[0]
+
+    def together(self, texts: list[str]) -> list[bytes]:
+        """The ids of each of the texts; units that are new to the worker are encoded in one go."""
+        known = self.known
+        cut = [self.keys(t) for t in texts]
+        if new := set().union(*cut).difference(known):
+            if len(known) > self.room:
+                known.clear()
+                new = set().union(*cut)
+            new = list(new)
+            known.update(zip(new, self.encode(new)))
+        return [b"".join(map(known.__getitem__, keys)) for keys in cut]
+
+    def many(self, texts: Iterable[str], chars: int = 1_000_000) -> Iterator[bytes]:
+        """The ids of each text in turn, taking texts of about `chars` characters together."""
+        held: list[str] = []
+        size = 0
+        for t in texts:
+            held.append(t)
+            size += len(t)
+            if size >= chars:
+                yield from self.together(held)
+                held, size = [], 0
+        if held:
+            yield from self.together(held)
 
 
 def byte_level_keys(text: str) -> list[str]:
@@ -115,8 +131,31 @@ def packed(ids: list[int]) -> bytes:
     return array("H", ids).tobytes()
 
 
-def unit_encoder(path: str, room: int = 400_000) -> UnitEncoder:
-    """The encoder for a tokenizer file whose ids are under 65,536: byte-level with leading spaces, or of bare words."""
+#: Letters up to U+00FF, which lower-casing and normal forms treat one by one, and marks that end a word.
+_PLAIN = re.compile("([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies use for bytes: printable ones stand for themselves, the others follow."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+_ENCODERS: dict[tuple[str, int], UnitEncoder] = {}
+
+
+def unit_encoder(path: str, room: int = 1_000_000) -> UnitEncoder:
+    """The encoder for a tokenizer file whose ids are under 65,536: byte-level with leading spaces, or of bare words.
+
+    One for each worker process, so that what it remembers serves all its tasks.
+    """
+    if (path, room) not in _ENCODERS:
+        _ENCODERS[path, room] = _loaded(path, room)
+    return _ENCODERS[path, room]
+
+
+def _loaded(path: str, room: int) -> UnitEncoder:
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -125,20 +164,31 @@ def unit_encoder(path: str, room: int = 400_000) -> UnitEncoder:
     if tokenizer.get_vocab_size() > 1 << 16:
         raise ValueError(f"{path} has ids of more than 16 bits")
     bare = tokenizer.model.end_of_word_suffix is not None
-    piece, batch = tokenizer.model.tokenize, tokenizer.encode_batch_fast
+    piece, batch, letters = tokenizer.model.tokenize, tokenizer.encode_batch_fast, _byte_letters()
+
+    def word(text: str, space: bool = False) -> list[int]:
+        """The ids of one word of the pattern, behind a space or not."""
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(letters)
+        return [t.id for t in piece("\u0120" + text if space else text)]
+
+    ends: dict[str, list[int]] = {"": []}
 
     def encode(keys: list[str]) -> list[bytes]:
-        units = keys if bare else list(map(byte_level_unit, keys))
-        out: list[bytes | None] = [None] * len(units)
+        out: list[bytes | None] = [None] * len(keys)
         rest = []
-        for k, u in enumerate(units):
-            # A unit of ASCII letters is one word to the pattern and the same in the byte alphabet.
-            if u.isascii() and (w := u.lower() if bare else u.removeprefix(" ")).isalpha():
-                out[k] = packed([t.id for t in piece(w if bare or len(w) == len(u) else "\u0120" + w)])
+        for k, key in enumerate(keys):
+            # Letters with marks behind them are two words to the pattern; the library's model knows both.
+            if m := _PLAIN.fullmatch(key):
+                if (end := ends.get(m[2])) is None:
+                    end = ends[m[2]] = word(m[2])
+                out[k] = packed((word(m[1].lower()) if bare else word(m[1], True)) + end)
             else:
                 rest.append(k)
-        for k, e in zip(rest, batch([units[k] for k in rest], add_special_tokens=False)):
-            out[k] = packed(e.ids)
+        if rest:
+            texts = [keys[k] if bare else byte_level_unit(keys[k]) for k in rest]
+            for k, e in zip(rest, batch(texts, add_special_tokens=False)):
+                out[k] = packed(e.ids)
         return out
 
     return UnitEncoder(word_keys if bare else byte_level_keys, encode, room)

@@ -125,8 +125,8 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int, key: str = "doc_id", te
         first, second = (np.random.default_rng(s).permutation(1 << 16).astype(np.int64) for s in (1, 2))
         for batch in batches:
             found, near = [], []
-            for t in batch.column(1):
-                found.append(encode(t.as_py()) + close)
+            for got in encode.many(t.as_py() for t in batch.column(1)):
+                found.append(got + close)
                 ids = np.frombuffer(found[-1], "<u2")
                 near.append(int(first[ids].min()) << 16 | int(second[ids].min()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array([len(f) // 2 for f in found], pa.int64()), pa.array(near, pa.int64())], names=["key", "ids", "n", "near"])

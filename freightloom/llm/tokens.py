@@ -99,9 +99,10 @@ def encoded(docs: DataFrame, tokenizer: str, end: int | None, key: str = "doc_id
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.bool_(), pa.int32(), pa.list_(pa.int32()), pa.binary()))], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
         for batch in batches:
-            for p, k, t in zip(*(batch.column(i) for i in range(3))):
+            found = encode.many(t.as_py() for t in batch.column(2))
+            for p, k, ids in zip(batch.column(0), batch.column(1), found):
                 part = p.as_py()
-                ids = encode(t.as_py()) + close
+                ids += close
                 if held and size + len(ids) // 2 > chunk_ids:
                     yield out()
                 held.append(ids)

@@ -21,7 +21,7 @@ ROWS = [(None, None), (None, "null id"), *enumerate(TEXTS), (3, TEXTS[3])]
 
 
 @pytest.mark.parametrize("path", [BYTES, WORDS])
-@pytest.mark.parametrize("room", [400_000, 10])
+@pytest.mark.parametrize("room", [1_000_000, 10])
 def test_units_give_the_ids_of_whole_texts(path, room):
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
