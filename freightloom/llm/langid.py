@@ -23,6 +23,8 @@ _LETTER = regex.compile(r"\p{L}")
 #: ASCII letters and all bytes beyond ASCII are kept, anything else is a space.
 _KEEP = np.array([c if chr(c).isalpha() and c < 128 or c > 127 else 32 for c in range(256)], np.uint8)
 _CHUNK = 1 << 20
+#: A text is rejected under this share of the cosine that all but one in a hundred texts of its length reach.
+REJECT = 0.3
 
 
 def has_letter(text: str | None) -> bool:
@@ -100,10 +102,10 @@ def learned(rows: list[tuple[str, np.ndarray]], per_language: int = 4) -> Model:
     own, score, _ = model.predict(counts)
     right, lengths = own == owner, buckets(counts)
     for b in range(40):
-        # Half of what nearly all texts of such a length reach; lengths with few examples reject nothing.
+        # Lengths with few examples reject nothing.
         of = score[right & (lengths == b)]
         if len(of) >= 20:
-            model.floors[b] = 0.5 * np.quantile(of, 0.01)
+            model.floors[b] = REJECT * np.quantile(of, 0.01)
     return model
 
 
