@@ -60,7 +60,7 @@ def routing_instances(spark: SparkSession, path: str) -> DataFrame:
     A file is a row of its own; sections are found by pattern, their lines cut into numbers, so that many files are
     read side by side.
     """
-    raw = spark.read.option("wholetext", True).text(path).select(F.regexp_replace("value", r"\r", "").alias("t"))
+    raw = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"\r", "").alias("t"))
     head = lambda key: F.trim(F.regexp_extract("t", rf"(?m)^{key}[ \t]*:[ \t]*(.*)$", 1))
     lines = lambda key: F.filter(F.split(F.regexp_extract("t", rf"(?s){key}[^\n]*\n(.*?)(?:[A-Z]+_SECTION|EOF|$)", 1), "\n"), lambda x: F.trim(x) != "")
     cells = lambda key: F.transform(lines(key), lambda x: F.split(F.trim(x), r"\s+"))
@@ -73,7 +73,7 @@ def routing_instances(spark: SparkSession, path: str) -> DataFrame:
 
 def routing_solutions(spark: SparkSession, path: str) -> DataFrame:
     """(file, route, seq, node, cost) from lines `Route #k: a b c` and `Cost n`."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.regexp_replace("value", r"\r", "").alias("t"))
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", r"\r", "").alias("t"))
     raw = raw.withColumn("cost", F.regexp_extract("t", r"(?mi)^cost\s+([\d.]+)", 1).cast("double"))
     routes = raw.select("file", "cost", F.explode(F.filter(F.split("t", "\n"), lambda x: x.rlike(r"(?i)^route\s*#"))).alias("line"))
     route = F.regexp_extract("line", r"#\s*(\d+)", 1).cast("int")
