@@ -52,7 +52,7 @@ def topk_budget(spark, d):
 @query("""
 WITH q AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_extendedprice * (1 - l_discount) AS cost FROM lineitem WHERE l_quantity > 45), g AS (SELECT unnest(generate_series(0, 9)) AS k),
 e AS (SELECT q.*, cost * (1.0::DOUBLE + 0.1::DOUBLE * k) AS price, cost * 0.1::DOUBLE * k / (1 + exp(6 * (1.0::DOUBLE + 0.1::DOUBLE * k - 1.4::DOUBLE))) AS margin FROM q CROSS JOIN g)
-SELECT l_orderkey, l_linenumber, l_partkey, round(price, 2) AS price, round(margin, 2) AS margin FROM e
+SELECT l_orderkey, l_linenumber, l_partkey, round(price, 7) AS price, round(margin, 6) AS margin FROM e
 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate ORDER BY margin DESC, price) = 1""")
 def price_grid_argmax(spark, d):
     """Each quote's price of the largest expected margin on a grid of multipliers: within the row, no join."""
@@ -60,7 +60,7 @@ def price_grid_argmax(spark, d):
     df = table(spark, d, "lineitem").where("l_quantity > 45").withColumn("c", cost)
     options = F.array(*[F.struct((F.col("c") * (0.1 * k) / (1 + F.exp(F.lit(6 * (1.0 + 0.1 * k - 1.4))))).alias("margin"), (-F.col("c") * (1.0 + 0.1 * k)).alias("low")) for k in range(10)])
     best = df.withColumn("b", F.array_max(options))
-    return rounded(best.select("l_orderkey", "l_linenumber", "l_partkey", (-F.col("b.low")).alias("price"), F.col("b.margin").alias("margin")), 2)
+    return best.select("l_orderkey", "l_linenumber", "l_partkey", F.round(-F.col("b.low"), 7).alias("price"), F.round("b.margin", 6).alias("margin"))
 
 
 @query("""
