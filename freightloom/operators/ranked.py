@@ -1,7 +1,9 @@
 """Ranked tables: deciles, lift, thresholds, top fractions and curves, without a global sort in one task.
 
-A global rank is built from a range partitioning: rows are sorted within ranges, and each range starts where the
-counts of the ranges before it end. Only the counts of the ranges (as many as partitions) meet in one place.
+A global rank is built from a range partitioning: rows are sorted within ranges and written with their places, and
+each range starts where the counts of the ranges before it end. Only the counts of the ranges (as many as partitions)
+meet in one place. The rows are written because a range partitioning samples its bounds: computed a second time it
+may cut elsewhere.
 """
 
 from __future__ import annotations
@@ -11,19 +13,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from freightloom.operators.scratch import written
+
 
 def running(df: DataFrame, order: Sequence[Column], sums: dict[str, Column] | None = None, rank: str = "rank") -> DataFrame:
     """All rows with a long `rank` (from 1) in a total order, and running sums up to the row, itself included."""
     sums = sums or {}
-    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).withColumns({f"_v_{k}": v for k, v in sums.items()})
-    inner = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = parts.withColumns({"_n": F.count(F.lit(1)).over(inner)} | {f"_s_{k}": F.sum(f"_v_{k}").over(inner) for k in sums})
-    totals = ranked.groupBy("_part").agg(F.max("_n").alias("_n"), *[F.sum(f"_v_{k}").alias(f"_s_{k}") for k in sums])
+    laid = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_id": F.monotonically_increasing_id()} | {f"_v_{k}": v for k, v in sums.items()})
+    # The upper bits of the id are the range, the lower 33 the place in it.
+    rows = written(laid).withColumn("_part", F.shiftright("_id", 33))
+    bases = rows.groupBy("_part").agg(F.count("*").alias("_n"), *[F.sum(f"_v_{k}").alias(f"_s_{k}") for k in sums])
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("_part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_base") for c in ["_n", *[f"_s_{k}" for k in sums]]])
-    out = ranked.join(F.broadcast(bases), "_part")  # a row for each partition
-    out = out.withColumns({rank: F.col("_n") + F.col("_n_base")} | {k: F.col(f"_s_{k}") + F.col(f"_s_{k}_base") for k in sums})
-    return out.drop("_part", "_n", "_n_base", *[x for k in sums for x in (f"_v_{k}", f"_s_{k}", f"_s_{k}_base")])
+    bases = bases.select("_part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ["_n", *[f"_s_{k}" for k in sums]]])
+    inner = Window.partitionBy("_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({k: F.sum(f"_v_{k}").over(inner) for k in sums}) if sums else rows
+    out = rows.join(F.broadcast(bases), "_part")  # a row for each partition
+    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return out.withColumns({rank: place + F.col("_n")} | {k: F.col(k) + F.col(f"_s_{k}") for k in sums}).drop("_part", "_id", "_n", *[x for k in sums for x in (f"_v_{k}", f"_s_{k}")])
 
 
 def deciles(df: DataFrame, order: Sequence[Column], n: int = 10) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from freightloom.functions import scalar as S
 from freightloom.operators import clean as C
 from freightloom.operators import ranked as R
 from freightloom.operators import windows as W
+from freightloom.operators.scratch import new_path
 from freightloom.plans.panels import TYPE_DAYS, USER_DAYS, type_days, user_days
 from freightloom.plans.registry import query, rounded, table
 from freightloom.plans.routing import _STOPS, stops
@@ -18,16 +17,10 @@ from freightloom.plans.scores import _FORECAST, SCORED, TIED, forecasts, scored,
 from freightloom.sources import files
 
 
-def _folder(spark) -> str:
-    """A new path in the folder that the cluster shares, else in the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/freightloom-{uuid.uuid4().hex}"
-
-
 @query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate FROM orders")
 def scan_csv_typed(spark, d):
     """Orders written as CSV and read with declared types."""
-    path = _folder(spark)
+    path = new_path(spark)
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
     files.write_csv(o, path)
     return files.csv_typed(spark, path, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz")
@@ -36,7 +29,7 @@ def scan_csv_typed(spark, d):
 @query("SELECT s_suppkey AS supplier, s_acctbal AS balance FROM supplier")
 def scan_csv_bom_rename(spark, d):
     """Whitelisted columns under new names; the rest stays at the door."""
-    path = _folder(spark)
+    path = new_path(spark)
     files.write_csv(table(spark, d, "supplier"), path)
     return files.csv_renamed(spark, path, {"s_suppkey": "supplier", "s_acctbal": "balance"}, {"supplier": "long", "balance": "double"})
 
