@@ -16,14 +16,15 @@ WINDOW = 3
 
 
 def windows(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
-    """Rows (key, print, place, lines, hash): each window of each text. print tells texts with one key apart, place
-    numbers the windows of a text from 0, lines holds the numbers of the window's lines in the text."""
-    said = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x, i: F.struct(i.alias("i"), F.when(F.length(F.btrim(x, F.lit(WORD_SEPARATORS))) > 0, F.xxhash64(x)).alias("h")))
+    """Rows (key, print, place, lines, hash, hash2): each window of each text. print tells texts with one key apart,
+    place numbers the windows of a text from 0, lines holds the numbers of the window's lines in the text. Two hashes,
+    128 bits: 64 would collide among the windows of a very large corpus."""
+    said = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x, i: F.struct(i.alias("i"), F.when(F.length(F.btrim(x, F.lit(WORD_SEPARATORS))) > 0, F.xxhash64(x)).alias("h"), F.xxhash64(F.lit(1), x).alias("h2")))
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("print"), F.filter(said, lambda x: x["h"].isNotNull()).alias("lines"))
     rows = rows.where(F.size("lines") > 0)
     places = F.sequence(F.lit(0), F.greatest(F.size("lines") - size, F.lit(0)))
     cut = lambda i: F.slice("lines", i + 1, size)
-    hashed = F.transform(places, lambda i: F.struct(i.alias("place"), F.transform(cut(i), lambda x: x["i"]).alias("lines"), F.xxhash64(F.transform(cut(i), lambda x: x["h"])).alias("hash")))
+    hashed = F.transform(places, lambda i: F.struct(i.alias("place"), F.transform(cut(i), lambda x: x["i"]).alias("lines"), F.xxhash64(F.transform(cut(i), lambda x: x["h"])).alias("hash"), F.xxhash64(F.transform(cut(i), lambda x: x["h2"])).alias("hash2")))
     return rows.select("key", "print", F.inline(hashed))
 
 
@@ -35,8 +36,8 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     found = written(windows(docs, key, text, size))
     at = F.struct("key", "print", "place")
     # Written, so that the join shuffles both sides by itself and Spark can split a window that many texts share.
-    firsts = written(found.groupBy("hash").agg(F.min(at).alias("first"), F.count("*").alias("times")).where("times > 1").select("hash", "first"))
-    later = found.join(firsts, "hash").where(~at.eqNullSafe(F.col("first"))).select("key", "print", F.explode("lines").alias("line"))
+    firsts = written(found.groupBy("hash", "hash2").agg(F.min(at).alias("first"), F.count("*").alias("times")).where("times > 1").select("hash", "hash2", "first"))
+    later = found.join(firsts, ["hash", "hash2"]).where(~at.eqNullSafe(F.col("first"))).select("key", "print", F.explode("lines").alias("line"))
     return later.groupBy("key", "print").agg(F.collect_set("line").alias("gone"))
 
 
@@ -49,10 +50,10 @@ def deduped(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     lose the same lines. Lines without a word stay. An input column `lines_removed` is replaced.
     """
     kept = [c for c in docs.columns if c.lower() != "lines_removed"]
-    k, p, gone = fresh(docs, "_key"), fresh(docs, "_print"), fresh(docs, "_gone")
-    lost = removals(docs, key, text, size).select(F.col("key").alias(k), F.col("print").alias("_lost_print"), F.col("gone").alias(gone))
+    k, p, q, gone = (fresh(docs, x) for x in ("_key", "_print", "_lost_print", "_gone"))
+    lost = removals(docs, key, text, size).select(F.col("key").alias(k), F.col("print").alias(q), F.col("gone").alias(gone))
     rows = docs.select(*kept, F.xxhash64(text).alias(p))
-    rows = rows.join(written(lost), F.col(key).eqNullSafe(F.col(k)) & (F.col(p) == F.col("_lost_print")), "left")
+    rows = rows.join(written(lost), F.col(key).eqNullSafe(F.col(k)) & (F.col(p) == F.col(q)), "left")
     lines = F.split(F.col(text), "\n")
     left = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)))
     cleaned = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
