@@ -15,7 +15,7 @@ from freightloom.llm.common import written
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weighed rules keep."""
-    return quality.judged(docs).where("kept").select(*docs.columns)
+    return quality.judged(docs, once=False).where("kept").select(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,10 +34,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest doc_id."""
     groups = simhash.grouped(docs)
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("key"), "print")
-    stay = written(groups.groupBy("group").agg(F.min(order).alias("first")).select(F.col("first.key").alias("key"), "first.print"))
-    rows = docs.withColumn("_print", F.xxhash64("text"))
-    rows = rows.join(stay, rows["doc_id"].eqNullSafe(stay["key"]) & (rows["_print"] == stay["print"]), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_print"]).select(*docs.columns)
+    first = groups.groupBy("group").agg(F.min(order).alias("first")).select("first.*")
+    # The same plain keys for the join and for repeated rows, so that the texts are shuffled once.
+    keys = ["_null", "_key", "_print"]
+    stay = written(first.select(F.col("last").alias("_null"), F.coalesce("key", F.lit(0)).alias("_key"), F.col("print").alias("_print")))
+    rows = docs.withColumns({"_null": F.col("doc_id").isNull(), "_key": F.coalesce("doc_id", F.lit(0)), "_print": F.xxhash64("text")})
+    return rows.join(stay.hint("merge"), keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

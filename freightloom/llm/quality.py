@@ -50,7 +50,9 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_capitals": F.length(filled) - F.length(F.regexp_replace(filled, r"[A-Z]+", "")),
         "n_distinct": F.size(F.array_distinct(h)),
     }
-    return df.withColumn("measures", F.struct(*[v.cast("long").alias(k) for k, v in found.items()])).select(*[c for c in docs.columns if c.lower() != "measures"], "measures")
+    # As the one row of an array: else every later use of a measure would repeat its expression.
+    once = F.explode(F.array(F.struct(*[v.cast("long").alias(k) for k, v in found.items()])))
+    return df.select(*[c for c in docs.columns if c.lower() != "measures"], once.alias("measures"))
 
 
 def rules(m: str = "measures") -> dict[str, Column]:
@@ -118,20 +120,22 @@ def log_odds(votes: Votes, prior: float, habits: list[Habits]) -> float:
     return max(-500.0, min(500.0, odds))
 
 
-def judged(docs: DataFrame, text: str = "text", carry: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
+def judged(docs: DataFrame, text: str = "text", carry: list[str] | None = None, threshold: float = 0.5, once: bool = True) -> DataFrame:
     """The columns in `carry` (default: all) of every row, with `measures`, `votes`, `base_failed`, `posterior`
     (probability of a good text) and `kept`.
 
     base_failed: under 20 words, or over 30 of 100 words in repeated windows. kept: not base_failed and a
     posterior of `threshold` or more. Null and empty texts fail the base; repeated rows get equal verdicts; an
-    empty table stays empty. Input columns with the names of the new ones are replaced. The measured rows are
-    written once to the shared folder, so that texts are measured once for both the estimate and the verdict.
+    empty table stays empty. Input columns with the names of the new ones are replaced. With `once` the measured rows
+    are written to the shared folder, so that texts are measured once for both the estimate and the verdict; without,
+    they are measured twice, which saves the room where whole texts are carried.
     """
     taken = {"measures", "votes", "base_failed", "posterior", "kept"}
     rows = measures(docs, text)
     keep = [c for c in (docs.columns if carry is None else carry) if c.lower() not in taken]
     voted = {f"v_{k}": v.cast("int").alias(k) for k, v in rules().items()}
-    rows = written(rows.select(*keep, "measures", F.struct(*voted.values()).alias("votes")))
+    rows = rows.select(*keep, "measures", F.struct(*voted.values()).alias("votes"))
+    rows = written(rows) if once else rows
     counted = rows.groupBy("votes").count().collect()  # at most 3 ** rules rows
     patterns = sorted(((tuple(r["votes"]), r["count"]) for r in counted), key=str)
     prior, habits = fitted(patterns)
