@@ -71,7 +71,7 @@ def rules(m: str = "measures") -> dict[str, Column]:
         "symbols": vote(x["n_symbols"] / words, never, (-inf, 0.3)),
         "capitals": vote(x["n_capitals"] / F.greatest(x["word_chars"], F.lit(1)), never, (-inf, 0.5)),
         # One rule for the signs of repetition, which come together: the estimate takes rules for independent.
-        "repetition": F.when((x["n_dup_lines"] > 0.3 * x["n_lines"]) | (x["n_repeat_words"] > 0.2 * words) | ((x["n_words"].between(20, 400)) & (x["n_distinct"] < 0.25 * words)), 0),
+        "repetition": F.when((x["n_dup_lines"] > 0.5 * x["n_lines"]) | (x["n_repeat_words"] > 0.3 * words) | (x["n_words"].between(20, 400) & (x["n_distinct"] < 0.15 * words)), 0),
     }
 
 
