@@ -1,37 +1,21 @@
-"""What several corpus operators share: scratch tables, words, row keys and tokenizer caches."""
+"""What several corpus operators share: words, column names and tokenizer caches."""
 
 from __future__ import annotations
 
 import os
 import re
-import tempfile
-import uuid
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from freightloom.operators.scratch import written  # noqa: F401  (used by the operators here)
+
 #: The separators of words: space, and tab to carriage return.
 WORD_SEPARATORS = " \t\n\x0b\x0c\r"
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it; one of our own only where none is named."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """The rows of `df`, written to a table in the shared folder and read again: its lineage ends there."""
-    path = f"{scratch(df.sparkSession)}/freightloom-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def words_of(text: Column) -> Column:
     """The words of a text, in order; a null text has none."""
     spaced = F.coalesce(text, F.lit(""))
