@@ -53,7 +53,8 @@ def deduped(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     k, p, q, gone = (fresh(docs, x) for x in ("_key", "_print", "_lost_print", "_gone"))
     lost = removals(docs, key, text, size).select(F.col("key").alias(k), F.col("print").alias(q), F.col("gone").alias(gone))
     rows = docs.select(*kept, F.xxhash64(text).alias(p))
-    rows = rows.join(written(lost), F.col(key).eqNullSafe(F.col(k)) & (F.col(p) == F.col(q)), "left")
+    # Merged, not broadcast: how many texts lose lines has no bound, and small tables shall run as large ones do.
+    rows = rows.join(written(lost).hint("merge"), F.col(key).eqNullSafe(F.col(k)) & (F.col(p) == F.col(q)), "left")
     lines = F.split(F.col(text), "\n")
     left = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)))
     cleaned = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
