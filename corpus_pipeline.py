@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freightloom.llm import langid, linededup, packing, quality, simhash
+from freightloom.llm import langid, linededup, packing, quality, shingles
 from freightloom.llm.common import written
 
 
@@ -31,8 +31,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id."""
-    groups = simhash.grouped(docs)
+    """One document of each group of near-duplicates: the one with the smallest doc_id. Documents link where the
+    Jaccard similarity of their five-word shingles is 0.8 or more."""
+    groups = shingles.grouped(docs)
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("key"), "print")
     first = groups.groupBy("group").agg(F.min(order).alias("first")).select("first.*")
     # The same plain keys for the join and for repeated rows, so that the texts are shuffled once.

@@ -23,22 +23,30 @@ from freightloom.llm.common import fresh, written
 MASK = 0xFFFFFFFF
 
 
-def fingerprint(text: bytes | None, shingle: int = 3) -> int:
-    """The unsigned 64-bit SimHash of a UTF-8 text: A-Z lower-cased, word shingles hashed by XXH64 with seed 42,
-    repeats included. A bit is set if more than half of the hashes set it. Fewer words than a shingle: the whole
-    sequence is one. No word, or null: 0."""
+def shingle_hashes(text: bytes | None, shingle: int) -> list[int]:
+    """XXH64 (seed 42) of each word shingle of a UTF-8 text in order, A-Z lower-cased, words joined by one space.
+    Fewer words than a shingle: the whole sequence is one. No word, or null: none."""
     words = text.lower().split() if text else []  # of bytes: ASCII letters and white space only
     if not words:
-        return 0
+        return []
     line = b" ".join(words)
     n = max(1, len(words) - shingle + 1)
     if n == 1:
-        hashes = [xxhash.xxh64_intdigest(line, 42)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[: n - 1] + 1))
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[a:b], 42) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist())]
+        return [xxhash.xxh64_intdigest(line, 42)]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[: n - 1] + 1))
+    digest = xxhash.xxh64_intdigest
+    return [digest(line[a:b], 42) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist())]
+
+
+def fingerprint(text: bytes | None, shingle: int = 3) -> int:
+    """The unsigned 64-bit SimHash of a UTF-8 text: A-Z lower-cased, word shingles hashed by XXH64 with seed 42,
+    repeats included. A bit is set if more than half of the hashes set it. Fewer words than a shingle: the whole
+    sequence is one. No word, or null: 0."""
+    hashes = shingle_hashes(text, shingle)
+    if not hashes:
+        return 0
+    n = len(hashes)
     array = np.array(hashes, dtype=">u8")
     ones = np.zeros(64, np.int64)
     for k in range(0, n, 65536):
