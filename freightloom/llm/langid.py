@@ -24,7 +24,7 @@ _LETTER = regex.compile(r"\p{L}")
 _KEEP = np.array([c if chr(c).isalpha() and c < 128 or c > 127 else 32 for c in range(256)], np.uint8)
 _CHUNK = 1 << 20
 #: A text is rejected under this share of the cosine that all but one in a hundred texts of its length reach.
-REJECT = 0.3
+REJECT = 0.6
 
 
 def has_letter(text: str | None) -> bool:
@@ -102,10 +102,13 @@ def learned(rows: list[tuple[str, np.ndarray]], per_language: int = 4) -> Model:
     own, score, _ = model.predict(counts)
     right, lengths = own == owner, buckets(counts)
     for b in range(40):
-        # Lengths with few examples reject nothing.
-        of = score[right & (lengths == b)]
-        if len(of) >= 20:
-            model.floors[b] = REJECT * np.quantile(of, 0.01)
+        # Lengths with few examples take in their neighbours, as far as it needs, so that every length rejects.
+        away = np.abs(lengths[right] - b)
+        for reach in range(40):
+            of = score[right][away <= reach]
+            if len(of) >= 20 or reach == 39 and len(of):
+                model.floors[b] = REJECT * np.quantile(of, 0.01)
+                break
     return model
 
 

@@ -79,6 +79,19 @@ def test_language_id(spark):
         langid.fitted(docs, ~langid.held_out(), most_languages=2)
 
 
+def test_every_length_rejects():
+    rnd = random.Random(6)
+    stems = {"aa": ["the", "ing", "of", "and"], "bb": ["der", "sch", "ung", "ei"]}
+    make = lambda s, n: " ".join("".join(rnd.choice(s) for _ in range(rnd.randint(1, 3))) for _ in range(n))
+    model = langid.learned([(lang, langid.grams(make(stems[lang], rnd.randint(20, 80)))) for _ in range(100) for lang in stems])
+    letters = [chr(c) for c in range(0x3B1, 0x3C9)]
+    for n in (5, 150, 5000, 20000):
+        own, score, rejected = model.predict(langid.grams(make(stems["aa"], n))[None])
+        assert model.langs[own[0]] == "aa" and not rejected[0], (n, score)
+        assert model.predict(langid.grams(make(letters, n))[None])[2][0], n
+    assert (model.floors > 0).all()
+
+
 def test_grams_of_chunks_equal_grams_of_the_whole(monkeypatch):
     text = "Über die Brücke 12 gehen wir, dann weiter. " * 30
     whole = langid.grams(text)
