@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from freightloom.functions.scalar import between_or_null, sentinel_or_null
 from freightloom.functions.text import tidy
+from freightloom.operators.ranked import quantiles
+from freightloom.operators.scratch import written
 
 
 class SchemaError(ValueError):
@@ -47,18 +49,17 @@ def drop_nulls(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
-    """Exact medians of all columns in one aggregate."""
-    row = df.agg(*[F.percentile(c, 0.5).alias(c) for c in columns]).first()
-    return row.asDict()
+    """Exact medians, each by counting: no task sees a whole column."""
+    return {c: quantiles(df, c, [0.5])[0] for c in columns}
 
 
 def impute_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Nulls take the column's median over the table; a flag <column>__was_missing tells."""
-    middle = df.agg(*[F.percentile(c, 0.5).alias(f"_m_{c}") for c in columns])
-    out = df.crossJoin(F.broadcast(middle))  # one row
-    for c in columns:
-        out = out.withColumn(f"{c}__was_missing", F.col(c).isNull().cast("int")).withColumn(c, F.coalesce(c, f"_m_{c}"))
-    return out.drop(*[f"_m_{c}" for c in columns])
+    """Nulls take the column's median over the table; a flag <column>__was_missing tells. A column without values
+    stays null. The rows are written first, so that what made them is computed once."""
+    out = written(df)
+    for c, middle in medians(out, columns).items():
+        out = out.withColumn(f"{c}__was_missing", F.col(c).isNull().cast("int")).withColumn(c, F.coalesce(F.col(c), F.lit(middle).cast("double")))
+    return out
 
 
 def impute_zero(df: DataFrame, columns: Sequence[str]) -> DataFrame:

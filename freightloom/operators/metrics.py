@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from freightloom.operators.ranked import quantiles, running
+
 
 def wape(forecast: Column, actual: Column) -> Column:
     return F.sum(F.abs(forecast - actual)) / F.sum(actual)
@@ -86,16 +88,14 @@ def threshold_sweep(df: DataFrame, confidence: Column, right: Column, cost: Colu
 
 def calibration(df: DataFrame, p: str, y: Column, n: int = 10) -> DataFrame:
     """(bin, n, mean_p, rate) over quantile bins of p; empty bins are absent."""
-    edges = df.agg(F.percentile(p, [k / n for k in range(1, n)]).alias("_e"))
-    binned = df.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("_e", lambda e: e < F.col(p))).cast("long"))
+    edges = F.lit([x for x in quantiles(df, p, [k / n for k in range(1, n)]) if x is not None])
+    binned = df.withColumn("bin", F.size(F.filter(edges, lambda e: e < F.col(p))).cast("long"))
     return binned.groupBy("bin").agg(F.count("*").alias("n"), F.avg(p).alias("mean_p"), F.avg(y.cast("double")).alias("rate"))
 
 
 def conformal_threshold(df: DataFrame, score: str, positive: Column, alpha: float) -> DataFrame:
     """One row, `threshold`: the k-th smallest score of the positives, k = floor((n + 1) * alpha - 1) counted from 0;
     minus infinity where k is negative."""
-    from freightloom.operators.ranked import running
-
     hits = df.where(positive).select(score)
     k = hits.agg(F.floor((F.count("*") + 1) * F.lit(alpha) - 1).alias("_k"))
     found = running(hits, [F.col(score)]).crossJoin(F.broadcast(k)).where(F.col("rank") == F.col("_k") + 1).select(F.col(score).alias("threshold"))
@@ -104,8 +104,6 @@ def conformal_threshold(df: DataFrame, score: str, positive: Column, alpha: floa
 
 def interval_widening(df: DataFrame, low: str, high: str, actual: str, level: float) -> DataFrame:
     """One row, `widening`: the ceil((n + 1) * level)-th smallest of max(low - y, y - high), the largest if there are fewer."""
-    from freightloom.operators.ranked import running
-
     s = df.select(F.greatest(F.col(low) - F.col(actual), F.col(actual) - F.col(high)).alias("widening"))
     k = s.agg(F.least(F.ceil((F.count("*") + 1) * F.lit(level)), F.count("*")).alias("_k"))
     return running(s, [F.col("widening")]).crossJoin(F.broadcast(k)).where(F.col("rank") == F.col("_k")).select("widening")

@@ -8,6 +8,7 @@ may cut elsewhere.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -85,5 +86,49 @@ def lowest_threshold(df: DataFrame, score: str, label: Column, precision: float,
     return curve.agg(F.coalesce(F.min(F.when(good, F.col("score"))), F.lit(default)).alias("threshold"), (F.coalesce(F.max(F.when(good, F.col("cum_n"))), F.lit(0)) / F.sum("n")).alias("coverage"))
 
 
+def order_statistics(df: DataFrame, value: str, ranks: Sequence[int], most: int = 1 << 18, cuts: int = 1 << 10) -> list[float]:
+    """The values at the ranks (from 0) among the non-null values in ascending order; ranks must exist.
+
+    For each rank the range of values that holds it is cut into `cuts` equal parts, counted in one aggregate, until a
+    part has `most` values at most, or a single one; only those are sorted in one place. Equal values are one.
+    """
+    v = F.col(value).cast("double")
+    rows = df.where(v.isNotNull()).select(v.alias("v"))
+    found: dict[int, float] = {}
+    low, high, n = rows.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    parts = [(low, high, 0, n, sorted(set(ranks)))]  # values from low to high, with the count of those below and inside
+    while parts:
+        a, b, below, n, inside = parts.pop()
+        part = rows.where(F.col("v").between(a, b))
+        if a == b:
+            found |= {k: a for k in inside}
+        elif n <= most:
+            line = part.agg(F.sort_array(F.collect_list("v")).alias("s")).select([F.get("s", F.lit(k - below)).alias(f"r{k}") for k in inside]).first()
+            found |= {k: line[f"r{k}"] for k in inside}
+        else:
+            width = (b - a) / cuts
+            cell = F.least(F.floor((F.col("v") - a) / width), F.lit(cuts - 1)) if width > 0 else F.when(F.col("v") > a, 1).otherwise(0)
+            for _, lo, hi, count in sorted(tuple(r) for r in part.groupBy(cell.alias("c")).agg(F.min("v"), F.max("v"), F.count("*")).collect()):
+                if some := [k for k in inside if below <= k < below + count]:
+                    parts.append((lo, hi, below, count, some))
+                below += count
+    return [found[k] for k in ranks]
+
+
+def quantiles(df: DataFrame, value: str, qs: Sequence[float]) -> list[float | None]:
+    """Exact quantiles with linear interpolation, null where there is no value. No task sees more than a bounded
+    number of values. Infinite values are not supported."""
+    n = df.agg(F.count(value)).first()[0]
+    if not n:
+        return [None] * len(qs)
+    at = [(n - 1) * q for q in qs]
+    ranks = sorted({k for x in at for k in (math.floor(x), math.ceil(x))})
+    by = dict(zip(ranks, order_statistics(df, value, ranks)))
+    low, high = [by[math.floor(x)] for x in at], [by[math.ceil(x)] for x in at]
+    return [a + (b - a) * (x - math.floor(x)) for a, b, x in zip(low, high, at)]
+
+
 def quantile_edges(df: DataFrame, value: str, qs: Sequence[float]) -> DataFrame:
-    return df.agg(*[F.percentile(value, q).alias(f"q{k}") for k, q in enumerate(qs, 1)])
+    """One row (q1, q2, ...) of `quantiles`."""
+    names = ", ".join(f"q{k} double" for k in range(1, len(qs) + 1))
+    return df.sparkSession.createDataFrame([tuple(quantiles(df, value, qs))], names)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from freightloom.functions import scalar as S
 from freightloom.functions import text as T
 from freightloom.operators import clean as C
+from freightloom.operators import ranked as R
 from freightloom.plans.registry import query, rounded, table
 
 ALL_LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
@@ -164,8 +165,8 @@ SELECT o_orderkey, epoch_us(o_orderdate) > cut AS is_test FROM orders, c""")
 def time_split_quantile(spark, d):
     at = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
     df = table(spark, d, "orders").withColumn("at", at)
-    cut = df.agg(F.percentile("at", 0.8).alias("cut"))
-    return df.crossJoin(F.broadcast(cut)).select("o_orderkey", (F.col("at") > F.col("cut")).alias("is_test"))
+    cut = R.quantiles(df, "at", [0.8])[0]
+    return df.select("o_orderkey", (F.col("at") > F.lit(cut)).alias("is_test"))
 
 
 @query("SELECT o_orderkey, o_orderdate > (SELECT max(o_orderdate) FROM orders) - INTERVAL 90 DAY AS is_test FROM orders")
@@ -198,9 +199,9 @@ WITH q AS (SELECT quantile_cont(o_totalprice, 0.7) AS a, quantile_cont(o_totalpr
 SELECT o_orderkey, CASE WHEN o_totalprice <= a THEN 'standard' WHEN o_totalprice <= b THEN 'premium' ELSE 'contract' END AS tier FROM orders, q""")
 def tier_by_quantile(spark, d):
     df = table(spark, d, "orders")
-    edges = df.agg(F.percentile("o_totalprice", 0.7).alias("a"), F.percentile("o_totalprice", 0.92).alias("b"))
+    a, b = R.quantiles(df, "o_totalprice", [0.7, 0.92])
     p = F.col("o_totalprice")
-    return df.crossJoin(F.broadcast(edges)).select("o_orderkey", F.when(p <= F.col("a"), "standard").when(p <= F.col("b"), "premium").otherwise("contract").alias("tier"))
+    return df.select("o_orderkey", F.when(p <= F.lit(a), "standard").when(p <= F.lit(b), "premium").otherwise("contract").alias("tier"))
 
 
 @query("""

@@ -157,7 +157,8 @@ WITH {_FORECAST} SELECT round(quantile_cont(actual - mean, 0.8), 4) AS up, round
 def cqr_margins(spark, d):
     """One-sided and two-sided margins at a plain linear quantile."""
     gap = F.col("actual") - F.col("mean")
-    return rounded(forecasts(spark, d).agg(F.percentile(gap, 0.8).alias("up"), F.percentile(-gap, 0.8).alias("down"), F.percentile(F.abs(gap), 0.8).alias("both")))
+    f = forecasts(spark, d).select(gap.alias("up"), (-gap).alias("down"), F.abs(gap).alias("both"))
+    return rounded(spark.createDataFrame([tuple(R.quantiles(f, c, [0.8])[0] for c in f.columns)], "up double, down double, both double"))
 
 
 @query("""

@@ -16,12 +16,12 @@ FEATURES = ["l_quantity", "price", "l_discount", "l_tax", "weekday", "is_open"]
 def lines(spark, d) -> DataFrame:
     """Lines with model features and labels; the last fifth by ship date is the test part."""
     df = table(spark, d, "lineitem").withColumn("at", F.unix_micros(F.col("l_shipdate").cast("timestamp")))
-    cut = df.agg(F.percentile("at", 0.8).alias("cut"), F.percentile("at", 0.68).alias("late"))
+    cut, late = R.quantiles(df, "at", [0.8, 0.68])
     returned = (F.col("l_returnflag") == "R").cast("double")
     key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    return df.crossJoin(F.broadcast(cut)).select(
+    return df.select(
         key.alias("line"), "l_quantity", (F.col("l_extendedprice") / 1000).alias("price"), "l_discount", "l_tax", S.weekday(F.col("l_shipdate")).cast("double").alias("weekday"),
-        (F.col("l_linestatus") == "O").cast("double").alias("is_open"), returned.alias("returned"), (F.col("at") > F.col("cut")).alias("is_test"), (F.col("at") > F.col("late")).alias("is_late"),
+        (F.col("l_linestatus") == "O").cast("double").alias("is_open"), returned.alias("returned"), (F.col("at") > F.lit(cut)).alias("is_test"), (F.col("at") > F.lit(late)).alias("is_late"),
         (S.uniform(key, "arm") < 0.5).cast("double").alias("treated"),
     )
 

@@ -235,7 +235,8 @@ def agg_explode_taxonomy(spark, d):
 
 @query("SELECT round(quantile_cont(o_totalprice, 0.5), 4) AS price, quantile_cont(o_custkey, 0.5) AS customer, quantile_cont(month(o_orderdate), 0.5) AS month FROM orders")
 def agg_median_row(spark, d):
-    return rounded(orders(spark, d).agg(F.percentile("o_totalprice", 0.5).alias("price"), F.percentile("o_custkey", 0.5).alias("customer"), F.percentile(F.month("o_orderdate"), 0.5).alias("month")))
+    o = orders(spark, d).select(F.col("o_totalprice").alias("price"), F.col("o_custkey").alias("customer"), F.month("o_orderdate").alias("month"))
+    return rounded(spark.createDataFrame([tuple(R.quantiles(o, c, [0.5])[0] for c in o.columns)], "price double, customer double, month double"))
 
 
 @query(f"WITH {SCORED}, c AS (SELECT CAST(month(o_orderdate) AS INTEGER) AS month, avg(p) AS predicted, avg(y) AS actual FROM s GROUP BY 1) SELECT month, round(predicted, 4) AS predicted, round(actual, 4) AS actual FROM c")
