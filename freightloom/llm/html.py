@@ -1,9 +1,14 @@
 """Main text of web pages by composite text density.
 
-A page is parsed into a tree. Each node's composite density is its characters per tag, adjusted by the share of
-characters inside links; the node whose children's densities sum to the most holds the main text. The threshold is
-the least density on the path from the body down to that node; below the node, subtrees that look like chrome
-(menus, adverts, forms and the like, or link lists under the threshold) are left out.
+A page is parsed into a tree. Each node's composite density is its characters per tag, scaled down by the share of
+characters inside links; a stretch of text counts as a node of one tag. The node whose children's densities sum to
+the most is the core of the main text. The threshold is the least density on the path from it up to the body (up to
+the `article` or `main` around it, where there is one: what surrounds those is menus more often than text).
+
+The core's container is the main region. From the body down, every other subtree of threshold density or more is text
+as well, and so are headings beside a region; all in page order. Left out everywhere are subtrees that their element,
+role, class or id marks as chrome (menus, headers, footers, sidebars, notices, adverts, forms, comments), and lists of
+links under the threshold.
 """
 
 from __future__ import annotations
@@ -11,6 +16,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,28 +24,48 @@ from pyspark.sql import functions as F
 
 from freightloom.llm.common import fresh
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_MARK = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: Comments and the like, end tags, start tags. A quote opens a string only behind an equals sign.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
+    r"|<([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*|))*+)(?:>|\Z)",
+    re.S,
+)
+_MARK = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _SPACE = re.compile(r"[ \t\n\r\f\v\x85\xa0  -     　]+")
 
 # Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math canvas audio video head".split())
+RAW = frozenset("script style template iframe svg canvas audio video head noframes".split())
 VERBATIM = frozenset("script style textarea title xmp iframe noembed noframes".split())
-CHROME = frozenset("nav header footer aside form button select option textarea input label fieldset dialog menu menuitem".split())
+CHROME = frozenset("nav header footer aside form button select option textarea input fieldset dialog menu menuitem".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table "
     "tbody td tfoot th thead tr ul caption".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words in a class, id or role that mark chrome.
+#: Elements that hold the parts of a text, rather than being one.
+CONTAINERS = frozenset("html body article main section div td center details".split())
+LANDMARKS = frozenset("article main".split())
+#: Words in a class or id that mark chrome, whatever words are beside them.
 CHROME_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices "
-    "alert popup modal overlay sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs header masthead footer "
-    "comment comments commentlist reply replies disqus share sharing social related recommended newsletter subscribe signup "
-    "login search toolbar widget pagination pager complementary contentinfo search".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies gdpr sidebar navbar breadcrumb "
+    "breadcrumbs masthead comment comments commentlist disqus newsletter".split()
+)
+#: Words that mark chrome where nothing but such words and neutral ones are in the name.
+CHROME_NAMES = frozenset(
+    "header footer menu nav navigation side aside notice notices banner consent alert popup modal overlay promo promotion reply replies "
+    "share sharing social related recommended subscribe signup login search toolbar widget widgets pagination pager".split()
 )
+NEUTRAL_WORDS = frozenset(
+    "site page global top bottom left right upper lower main primary secondary mobile desktop user reader box bar area block container "
+    "wrapper wrap inner outer row col column list item items section panel links link icons buttons button form the of my sticky fixed".split()
+)
+#: A name that starts so tells a state, and a name of such words alone is of text.
+STATE_WORDS = frozenset("has with without no is not".split())
+TEXT_WORDS = frozenset("content contents article post entry story body text main page".split())
+CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 #: A start tag closes the open elements that it can't be inside of, up to an element that bounds the search.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOUNDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -53,15 +79,38 @@ class Node:
         self.children: list[Node | str] = []
 
 
-def _is_chrome(tag: str, attributes: str, inside: set[str]) -> bool:
-    if tag in CHROME and not (tag == "header" and ("article" in inside or "main" in inside)):
+@lru_cache(maxsize=65536)
+def _kind(name: str) -> str:
+    """Of a class or id: `chrome`, `text` or nothing in particular."""
+    parts = [p.lower() for p in _NAME.findall(name)]
+    if not parts or parts[0] in STATE_WORDS:
+        return ""
+    if CHROME_WORDS.intersection(parts):
+        return "chrome"
+    if all(p in TEXT_WORDS for p in parts):
+        return "text"
+    if CHROME_NAMES.intersection(parts) and all(p in CHROME_NAMES or p in NEUTRAL_WORDS or p.isdigit() for p in parts):
+        return "chrome"
+    return ""
+
+
+def _is_chrome(tag: str, attributes: str, in_text: bool) -> bool:
+    if tag in CHROME and not (tag == "header" and in_text):
         return True
-    if tag in ("html", "body", "article", "main") or not attributes:
+    if tag in ("html", "body", "main") or not attributes:
         return False
+    kinds = set()
     for m in _MARK.finditer(attributes):
-        if m[1].lower() != "aria-label" and CHROME_WORDS & set(re.split(r"[^a-z0-9]+", (m[2] or m[3] or m[4] or "").lower())):
-            return True
-    return False
+        value = m[2] or m[3] or m[4] or ""
+        if m[1].lower() == "role":
+            if value.strip().lower() in CHROME_ROLES:
+                return True
+        else:
+            kinds.update(_kind(name) for name in value.split())
+    # An article is left out only as a comment; a header in one, or a name of text beside, isn't chrome.
+    if tag == "article":
+        return "comment" in attributes.lower() and "chrome" in kinds
+    return "chrome" in kinds and "text" not in kinds and not (tag == "header" and in_text)
 
 
 def parse(page: str) -> Node:
@@ -119,7 +168,7 @@ def parse(page: str) -> Node:
                 while node.tag != "head":
                     node = node.parent
                 close(node)
-            node = Node(tag, at, _is_chrome(tag, m[3], {t for t in ("article", "main") if open_tags.get(t)}))
+            node = Node(tag, at, _is_chrome(tag, m[3], bool(open_tags.get("article") or open_tags.get("main"))))
             at.children.append(node)
             if tag in VERBATIM:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.I).search(page, pos)
@@ -137,7 +186,7 @@ def _counted(root: Node) -> list[Node]:
     while stack:
         node = stack.pop()
         order.append(node)
-        stack.extend(x for x in node.children if not isinstance(x, str))
+        stack.extend(x for x in reversed(node.children) if not isinstance(x, str))
     for node in reversed(order):
         node.chars = node.tags = node.link_chars = node.link_tags = 0
         if node.tag in RAW:
@@ -156,65 +205,106 @@ def _counted(root: Node) -> list[Node]:
     return order
 
 
-def _density(node: Node, body: Node) -> float:
+def _density(chars: int, tags: int, link_chars: int, link_tags: int, body: Node) -> float:
     """Characters per tag, scaled down the more of them lie in links, against the body's own share."""
-    if not node.chars:
+    if not chars:
         return 0.0
-    c, t, lc, lt = node.chars, max(node.tags, 1), node.link_chars, max(node.link_tags, 1)
+    c, t, lc, lt = chars, max(tags, 1), link_chars, max(link_tags, 1)
     base = math.log(c * lc / max(c - lc, 1) + body.link_chars * c / max(body.chars, 1) + math.e)
-    return c / t * math.log(c * t / (max(lc, 1) * lt) + 1e-9) / math.log(base) if base > 1 else c / t
+    found = c / t * math.log(c * t / (max(lc, 1) * lt) + 1e-9) / math.log(base) if base > 1 else c / t
+    return max(0.0, found)
+
+
+def _text_density(text: str, body: Node) -> float:
+    return _density(len(text.strip()), 1, 0, 0, body)
 
 
-def main_node(root: Node) -> tuple[Node, float]:
-    """The node with the largest sum of its children's densities, and the least density on the path to it."""
+def main_node(root: Node) -> tuple[Node, Node, float]:
+    """The body, the node with the largest sum of its children's densities (ties to the first in page order), and the
+    least density on the path to it. Chrome takes no part; a form around most of the page isn't chrome."""
     order = _counted(root)
     body = next((x for x in order if x.tag == "body"), root)
-    within = {id(body)}
-    best, most = body, -1.0
     for node in order:
-        if node.parent is not None and id(node.parent) in within and not node.chrome and node.tag not in RAW:
-            within.add(id(node))
+        if node.tag == "form" and 2 * node.chars > body.chars:
+            node.chrome = False
+        node.density = _density(node.chars, node.tags, node.link_chars, node.link_tags, body) if node.tag not in RAW else 0.0
+    within, best, most = {id(body)}, body, -1.0
     for node in order:
-        node.density = max(0.0, _density(node, body)) if node.tag not in RAW else 0.0
-    for node in order:
-        if id(node) in within:
-            node.total = sum(x.density for x in node.children if not isinstance(x, str) and not x.chrome)
-            node.total += sum(len(x.strip()) for x in node.children if isinstance(x, str))
-            if node.total > most:
-                best, most = node, node.total
-    # A text cut up by stray markup sits in an element that holds all its pieces: an article or main around it.
-    node = best
-    while node is not body and node is not None:
-        if node.tag in ("article", "main"):
-            best = node
-        node = node.parent
-    threshold, node = best.density, best
+        if node is not body and (node.parent is None or id(node.parent) not in within or node.chrome or node.tag in RAW):
+            continue
+        within.add(id(node))
+        total = sum(_text_density(x, body) if isinstance(x, str) else x.density for x in node.children if isinstance(x, str) or not x.chrome)
+        if total > most:
+            best, most = node, total
+    landmark = node = best
     while node is not body and node.parent is not None:
+        landmark, node = node if node.tag in LANDMARKS else landmark, node.parent
+    top = landmark if landmark.tag in LANDMARKS else body
+    threshold, node = best.density, best
+    while node is not top and node.parent is not None:
         node = node.parent
         threshold = min(threshold, node.density)
-    return best, threshold
+    return body, best, threshold
+
+
+def _regions(body: Node, best: Node, threshold: float) -> set[int]:
+    """Ids of the nodes whose subtrees are the main text."""
+    region = best
+    while region.tag not in CONTAINERS and region.parent is not None and region is not body:
+        region = region.parent
+    path, node = set(), region
+    while node is not body and node.parent is not None:
+        if node.tag in LANDMARKS:
+            region, path = node, set()
+        node = node.parent
+        path.add(id(node))
+    path.discard(id(region))
+    found: set[int] = {id(region)}
+    headings: list[Node] = []
+    holds = set(path)  # nodes with a region below them
+    stack = [body] if body is not region else []
+    while stack:
+        node = stack.pop()
+        for x in node.children:
+            if isinstance(x, str) or x.chrome or x.tag in RAW or id(x) in found:
+                continue
+            if id(x) not in path and x.chars and (x.density >= threshold or x.tag == "article"):
+                found.add(id(x))
+                while id(node) not in holds:
+                    holds.add(id(node))
+                    node = node.parent
+                node = x.parent
+            elif x.tag in HEADINGS:
+                headings.append(x)
+            else:
+                stack.append(x)
+    return found | {id(x) for x in headings if id(x.parent) in holds}
 
 
 def main_text(page: str | None) -> str:
     """The blocks of the main text, joined by line feeds; empty for null, or where there is none."""
     if not page:
         return ""
-    best, threshold = main_node(parse(page))
+    body, best, threshold = main_node(parse(page))
+    regions = _regions(body, best, threshold)
     blocks: list[list[str]] = [[]]
-    # Depth first without recursion: pages nest without bound.
-    stack: list[tuple[Node | str, bool]] = [(best, True)]
+    # Depth first without recursion: pages nest without bound. A node closes, or opens outside or inside a region.
+    stack: list[tuple[Node | str, bool, bool]] = [(body, True, False)]
     while stack:
-        x, opens = stack.pop()
+        x, opens, inside = stack.pop()
         if isinstance(x, str):
-            blocks[-1].append(x)
+            if inside or _text_density(x, body) >= threshold:
+                blocks[-1].append(x)
             continue
         if not opens:
             blocks.append([])
             continue
-        if x.tag in RAW or (x.chrome and x is not best):
+        starts = not inside and id(x) in regions
+        inside = inside or starts
+        if x.tag in RAW or (x.chrome and not starts):
             blocks.append([])
             continue
-        if x is not best and x.tag in ("ul", "ol", "div", "section", "table") and x.link_chars > 0.5 * x.chars and x.density < threshold:
+        if inside and not starts and x.tag in ("ul", "ol", "div", "section", "table") and x.link_chars > 0.5 * x.chars and x.density < threshold:
             blocks.append([])
             continue
         if x.tag == "br":
@@ -222,8 +312,8 @@ def main_text(page: str | None) -> str:
             continue
         if x.tag in BLOCK:
             blocks.append([])
-            stack.append((x, False))
-        stack.extend((c, True) for c in reversed(x.children))
+            stack.append((x, False, inside))
+        stack.extend((c, True, inside) for c in reversed(x.children))
     out = []
     for parts in blocks:
         if line := _SPACE.sub(" ", entities.unescape("".join(parts))).strip():
