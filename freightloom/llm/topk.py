@@ -2,9 +2,9 @@
 
 Vectors are dealt into blocks of bounded size. A block keeps one list per dimension, sorted by component. For a
 query, the lists are read in step from their favourable ends; every vector met has a lower bound (what was read of
-it, and the worst of the rest) and an upper bound (what was read, and the lists' frontiers). Reading stops once no
-outsider's upper bound reaches the k-th lower bound; then the scores of those left are resolved. Each block gives its
-k best, and the k best of those are the answer.
+it, and the worst of the rest) and an upper bound (what was read, and the lists' frontiers), in whole numbers. Reading
+for all ends once no outsider's upper bound reaches the k-th lower bound; then the lists are read on in order for those
+left alone, until their scores are whole. A block gives its k best for every query, and the k best of those are the answer.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from freightloom.llm.common import written
 
 #: Shares of the lists that are read before the bounds are compared.
-READS = (0.25, 0.4, 0.55, 0.7, 0.85, 1.0)
+READS = (0.25, 0.4, 0.55, 0.7, 0.85)
 
 
 class Block:
@@ -29,37 +29,52 @@ class Block:
         self.order = np.argsort(self.rows, axis=0, kind="stable").T.copy()
         self.sorted = np.take_along_axis(self.rows.T, self.order, axis=1)
 
+    def _part(self, largest: bool, at: int, to: int) -> slice:
+        """Entries `at` to `to` of a list, counted from its largest or smallest end."""
+        n = len(self.ids)
+        return slice(n - to, n - at) if largest else slice(at, to)
+
     def best(self, query: np.ndarray, k: int, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows, without ids equal to `own`; ties to smaller ids."""
         n, dims = self.rows.shape
         skip = np.flatnonzero(self.ids == own) if own is not None else np.zeros(0, int)
         left = np.arange(n)
         use = np.flatnonzero(query)
+        read = np.zeros(n, np.int64)  # sums of what was read
+        at = 0
         if len(use) and n - len(skip) > k:
-            read = np.zeros(n)  # sums of what was read
             worst = np.array([(self.sorted[d, 0] if query[d] > 0 else self.sorted[d, -1]) * query[d] for d in use])
-            rest_low = np.full(n, float(worst.sum()))
-            last = np.zeros(len(use))  # the lists' frontiers
-            unread = np.ones((len(use), n), bool)
-            at = 0
-            for share in READS[:-1]:
+            rest_low = np.full(n, worst.sum())
+            last = np.zeros(len(use), np.int64)  # the lists' frontiers
+            # What the frontiers still allow a vector: their sum, without those of lists that it was met in.
+            for share in READS:
+                if at == n:
+                    break
                 to = max(at + 1, int(n * share))
                 for j, d in enumerate(use):
-                    part = slice(at, to) if query[d] < 0 else slice(n - to, n - at)
+                    part = self._part(query[d] > 0, at, to)
                     met = self.order[d, part]
                     gained = self.sorted[d, part] * query[d]
                     read[met] += gained
                     rest_low[met] -= worst[j]
-                    unread[j, met] = False
-                    last[j] = gained[-1] if query[d] < 0 else gained[0]
+                    last[j] = gained[0] if query[d] > 0 else gained[-1]
                 at = to
-                low, high = read + rest_low, read + last @ unread
-                low[skip] = high[skip] = -np.inf
+                low, high = read + rest_low, read + last.sum()
+                for j, d in enumerate(use):
+                    high[self.order[d, self._part(query[d] > 0, 0, at)]] -= last[j]
+                low[skip] = high[skip] = np.iinfo(np.int64).min
                 bar = np.partition(low, n - k)[n - k]
                 left = np.flatnonzero(high >= bar)
                 if len(left) <= 4 * k:
                     break
-        scores = self.rows[left] @ query
+        wanted = np.zeros(n, bool)
+        wanted[left] = True
+        if at < n:
+            for d in use:
+                part = self._part(query[d] > 0, at, n)
+                hit = np.flatnonzero(wanted[self.order[d, part]])
+                read[self.order[d, part][hit]] += self.sorted[d, part][hit] * query[d]
+        scores = read[left]
         keep = ~np.isin(left, skip)
         left, scores = left[keep], scores[keep]
         pick = np.lexsort((self.ids[left], -scores))[:k]
@@ -84,13 +99,15 @@ def _matrix(batch: pa.RecordBatch, name: str, dims: int) -> np.ndarray:
     return out
 
 
-def top(vectors: DataFrame, queries: DataFrame, k: int = 10, block_rows: int = 8192, query_rows: int = 1024) -> DataFrame:
+def top(vectors: DataFrame, queries: DataFrame, k: int = 10, block_rows: int = 8192, query_rows: int = 16384) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): each query's k best vectors, or all if fewer, not the one with its own id.
 
     Both inputs have columns `id` and `v` (an array of longs); rows with a null id or vector take no part, shorter
     vectors count as padded with zeros. Score: inner product. Ties go to smaller ids; repeated rows of `vectors` are
     separate answers, repeated rows of `queries` one query. Queries are cut into groups of about `query_rows`, which
-    are sent to the blocks in turn: work is queries times vectors, memory a block and a group.
+    meet every block once: work is queries times vectors, memory a block and a group, and a vector is copied once for
+    each group of queries, a query once for each block. An empty table gives an empty result; other columns don't
+    matter. Scores must fit 64 bits.
     """
     sound = written(vectors.where(F.col("id").isNotNull() & F.col("v").isNotNull()).select("id", "v"))
     asked = written(queries.where(F.col("id").isNotNull() & F.col("v").isNotNull()).select("id", "v").dropDuplicates(["id"]))
@@ -129,6 +146,8 @@ def top(vectors: DataFrame, queries: DataFrame, k: int = 10, block_rows: int = 8
 
 
 def op4_topk(spark, sf_dir: str) -> DataFrame:
+    """The ten best vectors for every hundredth one, by `top`: null vectors and such with null, NaN or infinite components
+    take no part, ties go to smaller ids, repeated rows are separate answers, an empty table gives no rows."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), whole(F.col("embedding")).alias("v"))
     return top(rows, rows.where(F.col("id") % 100 == 0))
 
