@@ -116,11 +116,11 @@ def fitted(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang
     """The model learned from rows where `train` holds, the language isn't null and the text has a letter.
 
     Fitted on a bounded sample: about `sample` rows, as many from each language where it has them, chosen by a hash
-    of the key. None where there are no such rows. More than `most_languages` languages raise ValueError.
+    of the key; of more than `most_languages` languages the most frequent ones (ties in order of name). None where
+    there are no such rows.
     """
-    found = docs.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull()).groupBy(F.col(lang).alias("lang")).count().limit(most_languages + 1).collect()
-    if len(found) > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
+    counts = docs.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull()).groupBy(F.col(lang).alias("lang")).count()
+    found = counts.orderBy(F.desc("count"), "lang").limit(most_languages).collect()
     if not found:
         return None
     each = max(1, sample // len(found))
@@ -143,7 +143,8 @@ def identified(docs: DataFrame, model: Model | None, text: str = "text", carry:
     """The columns in `carry` (default: all) of every row, with `lang_pred`, `score` (cosine, 0 to 1) and `rejected`.
 
     A null text and one without a letter are `unknown`, with score 0, and rejected; so is every text without a
-    model. Ties go to the language first in order. Input columns with those names are replaced.
+    model. Ties go to the language first in order. Texts are taken whole, however long; repeated rows get equal
+    results; an empty table stays empty. Input columns with those names are replaced.
     """
     new = ["lang_pred", "score", "rejected"]
     carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in new]
@@ -176,6 +177,9 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def op1_langid(spark, sf_dir: str) -> DataFrame:
+    """Language of every document, by `identified` with a model learned from those that aren't held out: a null text
+    and one without a letter are `und`, long texts are taken whole, repeated rows get equal results, an empty table
+    stays empty. Languages are those with labels; extra columns don't matter."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fitted(docs, ~held_out())
     out = identified(docs, model, carry=["doc_id"])
