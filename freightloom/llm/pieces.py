@@ -100,6 +100,7 @@ class Vocabulary:
                 if x != y:
                     break
                 shared += 1
+            shared = min(shared, len(last) - 1)
             del last[shared + 1 :], back[shared + 1 :], total[shared + 1 :]
             before = unit
             for end in range(shared + 1, len(unit) + 1):
@@ -122,8 +123,8 @@ class Vocabulary:
                             back.append(start)
                             total.append(total[start] + piece_scores[k])
                             break
-                    else:
-                        raise AssertionError(f"no piece ends {unit[:end]!r}")
+                    else:  # no piece ends here: the vocabulary has pieces that merging doesn't make
+                        break
                 else:
                     best, place, piece = total[end - 1] + self.unknown, end - 1, -2
                     if unit[end - 1] in chars:
@@ -134,6 +135,9 @@ class Vocabulary:
                     last.append(piece)
                     back.append(place)
                     total.append(best)
+            if len(last) <= len(unit):
+                out[unit] = np.array([k for p in self.merged(unit) for k in ([ids[p]] if p in ids else [self.byte_ids[v] for v in p.encode()])], "<u4").tobytes()
+                continue
             path, at = [], len(unit)
             while at:
                 if last[at] == -2:
@@ -171,7 +175,8 @@ def encoded(docs: DataFrame, model: str, text: str = "text", carry: list[str] |
     n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers) and decoded_crc32 (of the text that
     the ids decode to, in UTF-8).
 
-    A null text has null ids (digest: 0 tokens); an empty text has none. Texts are taken together up to about
+    A null text has null ids (digest: 0 tokens); an empty text has none. Repeated rows get equal ids, an empty table
+    stays empty, long texts are taken whole. Texts are taken together up to about
     `batch_chars` characters; a longer one is taken alone. Input columns with the new names are replaced.
     """
     new = ["n_tokens", "ids_crc32", "decoded_crc32"] if digest else ["ids"]
@@ -224,7 +229,8 @@ def decoded(rows: DataFrame, model: str, ids: str = "ids", out: str = "text", ki
 
 
 def op10_pieces(spark, sf_dir: str, model: str | None = None) -> DataFrame:
-    """round_trip: the ids decode to the text itself."""
+    """Digests of every document's ids, and round_trip: the ids decode to the text itself. A null text counts as an
+    empty one with no ids, repeated rows get equal digests, an empty table gives no rows."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("text_crc32"))
