@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -10,7 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freightloom.operators.scratch import written  # noqa: F401  (used by the operators here)
+from freightloom.operators.scratch import dropped, written  # noqa: F401  (used by the operators here)
 
 #: The separators of words: space, and tab to carriage return.
 WORD_SEPARATORS = " \t\n\x0b\x0c\r"
@@ -46,20 +47,31 @@ class UnitEncoder:
 
     A unit is a stretch of text that the tokenizer's own pattern never joins to its neighbours, so the ids of a
     text are those of its units in order. `keys` cuts a text into keys of units, `encode` gives the ids of a list
-    of keys. At most about `room` units are remembered in a worker; a full memory is emptied.
+    of keys, `whole` those of a list of texts that are not to be cut: such as have one of `uncut`. At most about
+    `room` units are remembered in a worker; a full memory is emptied. Ids are little-endian unsigned integers of
+    the numpy type `dtype`.
     """
 
-    def __init__(self, keys: Callable[[str], list[str]], encode: Callable[[list[str]], Iterable[bytes]], room: int):
-        self.keys, self.encode, self.room = keys, encode, room
+    def __init__(self, keys: Callable[[str], list[str]], encode: Callable[[list[str]], Iterable[bytes]], whole: Callable[[list[str]], list[bytes]], uncut: list[str], dtype: str, room: int):
+        self.keys, self.encode, self.whole, self.dtype, self.room = keys, encode, whole, dtype, room
+        self.uncut = re.compile("|".join(map(re.escape, uncut))) if uncut else None
         self.known: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
-        """The ids of `text` as little-endian 16-bit integers."""
+        """The ids of `text`."""
         return self.together([text])[0]
 
     def together(self, texts: list[str]) -> list[bytes]:
         """The ids of each of the texts; units that are new to the worker are encoded in one go."""
-        known = self.known
+        known, uncut = self.known, self.uncut
+        apart = [k for k, t in enumerate(texts) if uncut and uncut.search(t)]
+        if apart:
+            out: list[bytes] = [b""] * len(texts)
+            rest = sorted(set(range(len(texts))).difference(apart))
+            for some, found in ((apart, self.whole([texts[k] for k in apart])), (rest, self.together([texts[k] for k in rest]))):
+                for k, ids in zip(some, found):
+                    out[k] = ids
+            return out
         cut = [self.keys(t) for t in texts]
         if new := set().union(*cut).difference(known):
             if len(known) > self.room:
@@ -83,6 +95,13 @@ class UnitEncoder:
             yield from self.together(held)
 
 
+class WholeEncoder(UnitEncoder):
+    """The same for tokenizers whose texts can't be cut: the library encodes them whole, and nothing is remembered."""
+
+    def together(self, texts: list[str]) -> list[bytes]:
+        return self.whole(texts)
+
+
 def byte_level_keys(text: str) -> list[str]:
     """Units of a byte-level BPE whose pattern gives a word its leading space, as keys.
 
@@ -111,10 +130,6 @@ def word_keys(text: str) -> list[str]:
     return text.split()
 
 
-def packed(ids: list[int]) -> bytes:
-    return array("H", ids).tobytes()
-
-
 #: Letters up to U+00FF, which lower-casing and normal forms treat one by one, and marks that end a word.
 _PLAIN = re.compile("([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
 
@@ -126,13 +141,28 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+#: How the two kinds of tokenizer files prepare a text that can be cut into units.
+_LEADING_SPACES = (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True})
+_BARE_WORDS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+
 _ENCODERS: dict[tuple[str, int], UnitEncoder] = {}
 
 
 def unit_encoder(path: str, room: int = 1_000_000) -> UnitEncoder:
-    """The encoder for a tokenizer file whose ids are under 65,536: byte-level with leading spaces, or of bare words.
+    """The encoder for a tokenizer file: ids as the library's `encode` gives them with add_special_tokens=False.
 
-    One for each worker process, so that what it remembers serves all its tasks.
+    The files of byte-level BPE with leading spaces and of bare words are known, their texts are cut into units; texts
+    with one of the file's added tokens, and all texts of any other file, are encoded whole. One for each worker
+    process, so that what it remembers serves all its tasks.
     """
     if (path, room) not in _ENCODERS:
         _ENCODERS[path, room] = _loaded(path, room)
@@ -144,11 +174,24 @@ def _loaded(path: str, room: int) -> UnitEncoder:
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    if tokenizer.get_vocab_size() > 1 << 16:
-        raise ValueError(f"{path} has ids of more than 16 bits")
-    bare = tokenizer.model.end_of_word_suffix is not None
-    piece, batch, letters = tokenizer.model.tokenize, tokenizer.encode_batch_fast, _byte_letters()
+    parts = json.loads(tokenizer.to_str())
+    model = parts["model"]
+    dtype = "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+    code = "H" if dtype == "<u2" else "I"
+    prepared, plain = (parts["normalizer"], parts["pre_tokenizer"]), model["type"] == "BPE" and not model.get("dropout") and not parts["post_processor"]
+    bare = prepared == _BARE_WORDS and model.get("end_of_word_suffix") is not None
+    known = plain and (bare or prepared == _LEADING_SPACES)
+    batch = tokenizer.encode_batch_fast
+
+    def packed(ids: list[int]) -> bytes:
+        return array(code, ids).tobytes()
+
+    def whole(texts: list[str]) -> list[bytes]:
+        return [packed(e.ids) for e in batch(texts, add_special_tokens=False)]
+
+    if not known:
+        return WholeEncoder(lambda t: [t], whole, whole, [], dtype, room)
+    piece, letters = tokenizer.model.tokenize, _byte_letters()
 
     def word(text: str, space: bool = False) -> list[int]:
         """The ids of one word of the pattern, behind a space or not."""
@@ -170,9 +213,8 @@ def _loaded(path: str, room: int) -> UnitEncoder:
             else:
                 rest.append(k)
         if rest:
-            texts = [keys[k] if bare else byte_level_unit(keys[k]) for k in rest]
-            for k, e in zip(rest, batch(texts, add_special_tokens=False)):
-                out[k] = packed(e.ids)
+            for k, ids in zip(rest, whole([keys[k] if bare else byte_level_unit(keys[k]) for k in rest])):
+                out[k] = ids
         return out
 
-    return UnitEncoder(word_keys if bare else byte_level_keys, encode, room)
+    return UnitEncoder(word_keys if bare else byte_level_keys, encode, whole, [t["content"] for t in parts["added_tokens"]], dtype, room)

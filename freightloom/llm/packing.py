@@ -2,7 +2,7 @@
 
 Documents are tokenized once and laid out by a lexical key (the least hashed ids of a text, so that texts alike lie
 together). Ranges of that order go to tasks, and a task cuts its range into shards of bounded size. Each shard has a
-BM25 inverted index over its documents; a seed's heaviest terms query it, and the unused neighbours that it returns
+BM25 inverted index over its documents; a seed's terms query it, and the unused neighbours that it returns
 fill the seed's window, the last one cut at the window's end. The rest of a cut document seeds the next window; where
 nothing was cut or found, the next unused document does. What is left at the end of a shard is cut into powers of two,
 which need no padding.
@@ -21,14 +21,12 @@ from pyspark.sql import functions as F
 from freightloom.llm.common import unit_encoder, written
 
 K1, B = 1.2, 0.75
-#: Terms of a seed that query the index, by weight.
-QUERY_TERMS = 32
 
 
 class Index:
     """BM25 over the documents of a shard, given as arrays of ids."""
 
-    def __init__(self, docs: list[np.ndarray], terms: int = 1 << 16):
+    def __init__(self, docs: list[np.ndarray]):
         self.n = len(docs)
         found = [np.unique(d, return_counts=True) for d in docs]
         self.doc_terms = [f[0] for f in found]
@@ -37,20 +35,18 @@ class Index:
         doc = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
         tf = np.concatenate([f[1] for f in found]).astype(np.float32)
         length = np.array([len(d) for d in docs], np.float32)
-        df = np.bincount(term, minlength=terms)
+        df = np.bincount(term)
         self.idf = np.log1p((self.n - df + 0.5) / (df + 0.5)).astype(np.float32)
         norm = K1 * (1 - B + B * length / max(length.mean(), 1))
         weight = tf * (K1 + 1) / (tf + norm[doc]) * self.idf[term]
-        cuts = np.concatenate(([0], np.cumsum(sizes)))
-        self.heaviest = [t if len(t) <= QUERY_TERMS else t[np.argpartition(-weight[a:b], QUERY_TERMS)[:QUERY_TERMS]] for t, a, b in zip(self.doc_terms, cuts, cuts[1:])]
         order = np.argsort(term, kind="stable")
         self.posting_docs, self.posting_weights = doc[order], weight[order]
         self.starts = np.concatenate(([0], np.cumsum(df)))
 
     def neighbours(self, doc: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a heavy term with `doc`, best score first, ties to the earlier one."""
+        """Unused documents that share a term with `doc`, best score first, ties to the earlier one."""
         starts = self.starts
-        spans = [(starts[t], starts[t + 1]) for t in self.heaviest[doc].tolist()]
+        spans = [(starts[t], starts[t + 1]) for t in self.doc_terms[doc].tolist()]
         if not spans:
             return np.zeros(0, np.int64)
         docs = np.concatenate([self.posting_docs[a:b] for a, b in spans])
@@ -114,40 +110,48 @@ def filled(docs: list[np.ndarray], size: int) -> Iterator[list[tuple[int, int, i
         rest -= part
 
 
+#: Two odd factors that mix ids, for the lexical key.
+MIX = np.array([0x9E3779B1, 0x85EBCA77], np.uint32)
+
+
 def tokenized(docs: DataFrame, tokenizer: str, end: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, ids, n, near): ids as little-endian 16-bit integers with `end` behind them, near: the lexical key."""
+    """Rows (key, ids, n, near): n ids as little-endian unsigned integers of 16 or 32 bits with `end` behind them, and
+    near, the lexical key. A null text is an empty one."""
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     schema = rows.select("key", F.lit(b"").alias("ids"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("near")).schema
 
     def run(batches):
         encode = unit_encoder(tokenizer)
-        close = np.array([end], "<u2").tobytes()
-        first, second = (np.random.default_rng(s).permutation(1 << 16).astype(np.int64) for s in (1, 2))
+        close = np.array([end], encode.dtype).tobytes()
         for batch in batches:
             found, near = [], []
             for got in encode.many(t.as_py() for t in batch.column(1)):
                 found.append(got + close)
-                ids = np.frombuffer(found[-1], "<u2")
-                near.append(int(first[ids].min()) << 16 | int(second[ids].min()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array([len(f) // 2 for f in found], pa.int64()), pa.array(near, pa.int64())], names=["key", "ids", "n", "near"])
+                ids = np.frombuffer(found[-1], encode.dtype).astype(np.uint32)
+                near.append((int((ids * MIX[0]).min()) << 31) + (int((ids * MIX[1]).min()) >> 1))
+            n = [len(f) // len(close) for f in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array(n, pa.int64()), pa.array(near, pa.int64())], names=["key", "ids", "n", "near"])
 
     return rows.mapInArrow(run, schema)
 
 
-def packed(docs: DataFrame, tokenizer: str, end: int, size: int = 2048, key: str = "doc_id", text: str = "text", shard_ids: int = 1 << 22, with_ids: bool = False) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, end: int, size: int = 2048, key: str = "doc_id", text: str = "text", shard_ids: int = 1 << 20, part_ids: int = 1 << 25, with_ids: bool = False) -> DataFrame:
     """Pieces of all rows: key, start (ids of its document before it), length, ids_crc32 (of its ids as little-endian
     unsigned 32-bit integers), doc_tokens (of its document, with `end`), sequence_id, offset (in its sequence), and
     on request ids.
 
-    A null text is an empty one: `end` alone. Repeated rows are packed as often as they come. Sequences have `size`
-    ids, but for the leftovers of a shard, which are powers of two. A shard ends before its documents exceed
-    `shard_ids` ids, but has one at least; ids of tokenizers beyond 16 bits raise ValueError.
+    A null text is an empty one: `end` alone. A long text is cut into many pieces. Repeated rows are packed as often as
+    they come; rows of one key are told apart by order alone. An empty table gives no pieces; other columns don't
+    matter. Sequences have `size` ids, but for the leftovers of a shard, which are powers of two. A shard ends before
+    its documents exceed `shard_ids` ids, but has one at least; a task's part has about `part_ids`, or less where that
+    would leave cores idle.
     """
     spark = docs.sparkSession
     rows = written(tokenized(docs, tokenizer, end, key, text))
-    order = ["near", "key"]
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    laid = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select(F.spark_partition_id().cast("long").alias("part"), "key", "ids")
+    order = ["near", "key", F.xxhash64("ids")]
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    n = max(1, -(-total // part_ids), min(4 * spark.sparkContext.defaultParallelism, -(-total // shard_ids)))
+    laid = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select(F.spark_partition_id().cast("long").alias("part"), "key", "ids", "n")
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     schema = laid.select("key", *[F.lit(0).cast("long").alias(c) for c in names], *[F.array().cast("array<int>").alias("ids")] * with_ids).schema
 
@@ -179,9 +183,9 @@ def packed(docs: DataFrame, tokenizer: str, end: int, size: int = 2048, key: str
 
         for batch in batches:
             key_type = batch.schema.field("key").type
-            for p, k, ids in zip(batch.column(0), batch.column(1), batch.column(2)):
-                part = p.as_py()
-                new = np.frombuffer(ids.as_py(), "<u2")
+            for p, k, ids, m in zip(batch.column(0), batch.column(1), batch.column(2), batch.column(3)):
+                part, ids = p.as_py(), ids.as_py()
+                new = np.frombuffer(ids, f"<u{len(ids) // m.as_py()}")
                 if docs and held + len(new) > shard_ids:
                     yield from pack()
                 keys.append(k.as_py())
@@ -194,6 +198,8 @@ def packed(docs: DataFrame, tokenizer: str, end: int, size: int = 2048, key: str
 
 
 def op8_packing(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Pieces of all documents, by `packed`: a null or empty text is its end id alone, long texts are cut into many
+    pieces, repeated rows are packed as often as they come, an empty table gives no rows."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

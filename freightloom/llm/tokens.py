@@ -70,30 +70,35 @@ def from_planes(planes: list[bytes], n: int, width: int, bits: bool, block: int)
     return out.view(f"<u{width}")[:, 0].astype(np.uint32) if n else np.zeros(0, np.uint32)
 
 
-def encoded(docs: DataFrame, tokenizer: str, end: int | None, key: str = "doc_id", text: str = "text", parts: int | None = None, chunk_ids: int = 1 << 18, bits: bool = False) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer: str, end: int | None, key: str = "doc_id", text: str = "text", parts: int | None = None, chunk_ids: int = 1 << 18, bits: bool = False, part_chars: int = 1 << 27) -> DataFrame:
     """Chunks of all rows in ascending order of key (null first; rows with one key in order of their texts' hashes).
 
-    A null text is encoded as an empty one; `end`, if given, follows every text. `parts` ranges of keys are encoded
-    side by side (default: by Spark's setting for shuffles).
+    A null text is encoded as an empty one; `end`, if given, follows every text. Long texts are taken whole, repeated
+    rows come as often as they are there, an empty table gives no chunk, other columns don't matter. `parts` ranges
+    of keys are encoded side by side (default: as many as hold about `part_chars` characters each, or more where that
+    would leave cores idle).
     """
     spark = docs.sparkSession
     order = [F.col("key"), F.xxhash64("text")]
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "key", "text")
+    if not parts:
+        total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(1, -(-total // part_chars), min(4 * spark.sparkContext.defaultParallelism, -(-total // (1 << 20))))
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = unit_encoder(tokenizer)
-        close = b"" if end is None else np.array([end], "<u2").tobytes()
+        wide = np.dtype(encode.dtype).itemsize
+        close = b"" if end is None else np.array([end], encode.dtype).tobytes()
         held: list[bytes] = []
         keys: list[int | None] = []
         part = chunk = size = 0
 
         def out() -> pa.RecordBatch:
             nonlocal chunk, size
-            ids = np.frombuffer(b"".join(held), "<u2")
+            ids = np.frombuffer(b"".join(held), encode.dtype)
             width, planes = to_planes(ids, bits)
-            row = [part, chunk, len(ids), list(keys), [len(h) // 2 for h in held], width, bits, BLOCK, [len(p) for p in planes], b"".join(planes)]
+            row = [part, chunk, len(ids), list(keys), [len(h) // wide for h in held], width, bits, BLOCK, [len(p) for p in planes], b"".join(planes)]
             chunk, size = chunk + 1, 0
             held.clear()
             keys.clear()
@@ -104,11 +109,11 @@ def encoded(docs: DataFrame, tokenizer: str, end: int | None, key: str = "doc_id
             for p, k, ids in zip(batch.column(0), batch.column(1), found):
                 part = p.as_py()
                 ids += close
-                if held and size + len(ids) // 2 > chunk_ids:
+                if held and size + len(ids) // wide > chunk_ids:
                     yield out()
                 held.append(ids)
                 keys.append(k.as_py())
-                size += len(ids) // 2
+                size += len(ids) // wide
         if held:
             yield out()
 
@@ -162,6 +167,8 @@ def read_documents(chunks: DataFrame, with_ids: bool = False) -> DataFrame:
 
 
 def op9_tokens(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Every document's place and digest, read back from written files: a null or empty text is its end id alone, long
+    texts are taken whole, repeated rows come as often as they are there, an empty table gives no rows."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
