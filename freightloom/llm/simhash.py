@@ -5,9 +5,10 @@ fingerprints that differ in three bits at most differ in one bit at most within
 segment's Hamming ball of radius one is enumerated, table matches are fetched by a join, and whole distances are
 verified. Links are resolved to components by alternating large-star and small-star steps.
 
-A segment value that more than `crowd` fingerprints share isn't joined with itself or with another such value.
-There the other segment's balls are enumerated instead and each ball centre links its members to one of them, which
-gives the same components with rows in proportion to the members.
+Rows of a segment value that more than `crowd` fingerprints share (hot rows) are kept apart before that join: cold
+rows probe for all rows, hot rows for cold ones only. Hot rows are linked to each other by the balls of the other
+segment, where each ball centre links its members to one of them: the same components, with rows in proportion to
+the members.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freightloom.llm.common import fresh, written
+from freightloom.llm.common import dropped, fresh, written
 
 MASK = 0xFFFFFFFF
 
@@ -43,7 +44,11 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     """The unsigned 64-bit SimHash of a UTF-8 text: A-Z lower-cased, word shingles hashed by XXH64 with seed 42,
     repeats included. A bit is set if more than half of the hashes set it. Fewer words than a shingle: the whole
     sequence is one. No word, or null: 0."""
-    hashes = shingle_hashes(text, shingle)
+    return majority(shingle_hashes(text, shingle))
+
+
+def majority(hashes: list[int]) -> int:
+    """The 64 bits that more than half of the hashes set; 0 for none."""
     if not hashes:
         return 0
     n = len(hashes)
@@ -96,29 +101,28 @@ def _cut(fps: DataFrame) -> DataFrame:
 
 
 def links(fps: DataFrame, crowd: int = 512) -> DataFrame:
-    """Pairs (a, b) of distinct longs in column `fp` at three or fewer differing bits.
-
-    Outside crowded segment values these are all such pairs; inside, enough of them to keep every component.
+    """Pairs (a, b) of distinct longs in column `fp` at three or fewer differing bits: all such pairs, but among hot
+    rows enough of them to keep every component.
     """
     table = written(_cut(fps))
-    crowds = written(table.groupBy("s", "key").count().where(F.col("count") > crowd).select("s", "key"))
-    some = not crowds.isEmpty()
-    if some:
-        table = table.join(crowds.withColumn("hot", F.lit(True)), ["s", "key"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    else:
-        table = table.withColumn("hot", F.lit(False))
-    # Of two keys that differ in a bit, the one that has the bit probes for the other.
-    flips = F.filter(F.transform(F.lit(_one_bits()), lambda m: F.when(F.col("key").bitwiseAND(m) != 0, m)), lambda m: m.isNotNull())
-    probes = table.select("s", F.col("fp").alias("a"), F.col("hot").alias("a_hot"), "key", F.explode(F.concat(F.array(F.lit(0).cast("long")), flips)).alias("flip"))
-    probes = probes.select("s", "a", "a_hot", "flip", F.col("key").bitwiseXOR(F.col("flip")).alias("key"))
-    met = probes.join(table.select("s", "key", F.col("fp").alias("b"), F.col("hot").alias("b_hot")), ["s", "key"])
-    met = met.where(~(F.col("a_hot") & F.col("b_hot")) & ((F.col("flip") != 0) | (F.col("a") < F.col("b"))) & (_distance("a", "b") <= 3))
-    # A pair that the first segment finds too isn't taken twice.
-    near_above = F.bit_count(F.shiftrightunsigned(F.col("a").bitwiseXOR(F.col("b")), 32)) <= 1
-    pairs = met.where((F.col("s") == 0) | ~near_above | F.lit(some)).select("a", "b")
-    if some:
-        pairs = pairs.unionByName(_within(table.where("hot"))).unionByName(_across(table.where("hot"))).distinct()
-    return pairs
+    crowds = table.groupBy("s", "key").count().where(F.col("count") > crowd).select("s", "key", F.lit(True).alias("hot"))
+    table = written(table.join(crowds, ["s", "key"], "left").withColumn("hot", F.coalesce("hot", F.lit(False))))
+    # Hot rows are a table of their own, most often empty or small, which Spark then joins as such.
+    cold, hot = table.where(~F.col("hot")), written(table.where("hot"))
+
+    def met(probing: DataFrame, probed: DataFrame, flips: Column, both: bool) -> DataFrame:
+        probes = probing.select("s", F.col("fp").alias("a"), "key", F.explode(flips).alias("flip"))
+        probes = probes.select("s", "a", "flip", F.col("key").bitwiseXOR(F.col("flip")).alias("key"))
+        found = probes.join(probed.select("s", "key", F.col("fp").alias("b")), ["s", "key"]).where(_distance("a", "b") <= 3)
+        return found.where((F.col("flip") != 0) | (F.col("a") < F.col("b"))) if both else found
+
+    # Of two cold keys that differ in a bit, the one that has the bit probes for the other; a hot one is probed by
+    # all its neighbours, in place of probing for them.
+    bits = F.lit(_one_bits())
+    own = F.concat(F.array(F.lit(0).cast("long")), F.filter(bits, lambda m: F.col("key").bitwiseAND(m) != 0))
+    pairs = met(cold, cold, own, True).select("s", "a", "b").unionByName(met(cold, hot, bits, False).select("s", "a", "b"))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.unionByName(_within(hot)).unionByName(_across(hot)).distinct()
 
 
 def _one_bits() -> list[int]:
@@ -147,28 +151,28 @@ def _across(hot: DataFrame) -> DataFrame:
     return met.select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")).distinct()
 
 
-def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """(node, root) for every node of the pairs (a, b): root is the smallest node that can be reached.
 
-    Alternates large-star and small-star steps; each round's edges are written to the shared folder. Ends when a
-    round changes nothing. A null end is dropped.
+    Alternates large-star and small-star steps until a round changes nothing; each round's edges are written to the
+    shared folder in place of the last one's. A null end is dropped.
     """
     edges = pairs.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = written(edges)
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        edges = written(small.where(F.col("u") != F.col("v")).distinct())
+        old, edges = edges, written(small.where(F.col("u") != F.col("v")).distinct())
+        dropped(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = now
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, crowd: int = 512) -> DataFrame:
@@ -186,8 +190,10 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: i
     found = components(links(reps.select("fp"), crowd))
     # Fingerprints in links, with their component's root; every other fingerprint stands alone.
     grouped = reps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("group"))
-    low = grouped.where(F.col("fp") != F.col("group")).select("group").distinct()
-    shared = grouped.join(low, "group", "left_semi").groupBy("group").agg(F.min("rep").alias("low"))
+    grouped = written(grouped)
+    # Only groups of two fingerprints or more need a smallest key; summed up before the shuffle, joined by itself, so
+    # that Spark can split a large group.
+    shared = written(grouped.groupBy("group").agg(F.min("rep").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n"))
     labels = grouped.join(shared, "group", "left").select("fp", "group", F.coalesce("low", "rep").alias("component"))
     # Written, so that the join shuffles both sides by itself and Spark can split a fingerprint that many rows share.
     return rows.join(written(labels), "fp").select(F.col("key").alias(key), "print", "fp", "group", "component")
