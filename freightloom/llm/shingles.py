@@ -1,17 +1,21 @@
 """Near-duplicates by the exact Jaccard similarity of word shingles.
 
-A text is the set of its shingles' hashes. Sets at similarity t share a value among the smallest n - ceil(t n) + 1
-of each (its prefix), so pairs are found by a join of prefixes and none is missed. Up to the smaller of the two
-prefixes' last values both sets are known whole, which bounds what a pair can share before its sets are fetched.
-
-In prefix values that more than `crowd` sets share, members are first compared with a few centres; values whose
-members are then in one component need no pairs, and of the others only members outside the commonest component
-probe. This gives the same components.
+A text is the set of its shingles' hashes. Under any fixed order of values, sets at similarity t share a value among
+the first n - ceil(t n) + 1 of each (its prefix), so pairs are found by a join of prefixes and none is missed. Up to
+the smaller of the two prefixes' last values both sets are known whole, which bounds what a pair can share before its
+sets are fetched.
+
+First come the links of SimHash fingerprints at three bits or fewer (at 0.8, sets of equal size differ in about ten),
+and for each of a set's smallest values one other set; their whole sets are compared. This links most copies with rows
+in proportion to the sets. What is left to find are links between different components. Values that many sets of
+different components share (common passages) then go to the end of the order, so that they leave the prefixes of all
+but sets made of them; which values these are changes the work, never the result.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,19 +23,25 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freightloom.llm.common import written
-from freightloom.llm.simhash import components, shingle_hashes
+from freightloom.llm import simhash
+from freightloom.llm.common import dropped, written
+from freightloom.llm.simhash import components, majority, shingle_hashes
 
 #: Allowance for rounding in bounds.
 EPSILON = 1e-9
-#: Centres of a group of sets that share crowded values.
-CENTRES = 4
+#: Values of a set, the smallest, by which it is first compared with others.
+HEADS = 4
+#: A value is common if so many sets have it in their prefixes; so many of the commonest are put last.
+COMMON, MOST_COMMON = 32, 1 << 16
 
 
 def shingle_set(text: bytes | None, width: int = 5) -> np.ndarray:
     """The distinct shingle hashes of a text as sorted signed longs; a text without a word has the one value 0."""
-    found = shingle_hashes(text, width)
-    return np.unique(np.array(found, np.uint64).view(np.int64)) if found else np.zeros(1, np.int64)
+    return _distinct(shingle_hashes(text, width))
+
+
+def _distinct(hashes: list[int]) -> np.ndarray:
+    return np.unique(np.array(hashes, np.uint64).view(np.int64)) if hashes else np.zeros(1, np.int64)
 
 
 def _named(values: np.ndarray) -> int:
@@ -39,97 +49,117 @@ def _named(values: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(values.tobytes(), 42)).view(np.int64))
 
 
-def _sketches(source: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(key, print, set, n, last, prefix) of rows (key, print, text)."""
-    schema = source.select("key", "print", *[F.lit(0).cast("long").alias(c) for c in ("set", "n", "last")], F.array().cast("array<long>").alias("prefix")).schema
+def _sketches(source: DataFrame, width: int, similarity: float, common: np.ndarray) -> DataFrame:
+    """(key, print, set, n, fp, last, prefix) of rows (key, print, text); `last` is the place of the prefix's last value,
+    `common` the sorted values that come last in the order."""
+    schema = source.select("key", "print", *[F.lit(0).cast("long").alias(c) for c in ("set", "n", "fp", "last")], F.array().cast("array<long>").alias("prefix")).schema
 
     def run(batches):
         for batch in batches:
-            names, sizes, prefixes = [], [], []
+            names, sizes, fps, prefixes, lasts = [], [], [], [], []
             for text in batch.column(2):
-                values = shingle_set(text.as_py(), width)
+                hashes = shingle_hashes(text.as_py(), width)
+                values = _distinct(hashes)
+                fps.append(majority(hashes))
                 names.append(_named(values))
-                sizes.append(len(values))
-                prefixes.append(values[: len(values) - math.ceil(similarity * len(values) - EPSILON) + 1])
+                n = len(values)
+                sizes.append(n)
+                late = np.isin(values, common, assume_unique=True) if len(common) else np.zeros(n, bool)
+                prefix = np.concatenate([values[~late], values[late]])[: n - math.ceil(similarity * n - EPSILON) + 1]
+                prefixes.append(prefix)
+                # Early places are below zero, late ones above: the order of places is that of their halves.
+                lasts.append(int(prefix[-1] >> 1) + (1 << 62 if late.sum() and len(prefix) > n - late.sum() else -(1 << 62)))
             ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             flat = np.concatenate([*prefixes, np.zeros(0, np.int64)])
-            last = flat[ends[1:] - 1] if prefixes else flat
-            columns = [pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(last), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+            columns = [pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(lasts, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, source: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets reach the similarity. Texts are moved, which compress, not hashes."""
+    """Those of the pairs (a, b) whose whole sets reach the similarity. Texts are moved, which compress, not hashes;
+    pairs come sorted by b, whose set is made once for all its pairs in a row."""
     pairs = written(pairs)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
     prints = sets.join(ends, "set", "left_semi").select("set", "print")
     texts = written(source.select("print", "text").join(prints, "print").select("set", "text").dropDuplicates(["set"]))
-    met = pairs.join(texts.select(F.col("set").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("set").alias("b"), F.col("text").alias("y")), "b")
+    met = pairs.join(texts.select(F.col("set").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("set").alias("b"), F.col("text").alias("y")).hint("merge"), "b")
 
     def run(batches):
+        at, held = None, np.zeros(0, np.int64)
         for batch in batches:
             kept = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = shingle_set(x.as_py(), width), shingle_set(y.as_py(), width)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                kept.append(both >= similarity * (len(x) + len(y) - both) - EPSILON)
+            for b, x, y in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                if b != at:
+                    at, held = b, shingle_set(y.as_py(), width)
+                found = shingle_set(x.as_py(), width)
+                both = len(np.intersect1d(found, held, assume_unique=True))
+                kept.append(both >= similarity * (len(found) + len(held) - both) - EPSILON)
             yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
 
-    return written(met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
-
-
-def _roots(met: DataFrame, found: DataFrame) -> DataFrame:
-    return met.join(components(found).withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    found = written(met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+    dropped(pairs, texts)
+    return found
 
 
-def links(rows: DataFrame, source: DataFrame, width: int, similarity: float, crowd: int = 64) -> DataFrame:
-    """Pairs (a, b) of set names at the similarity or above: all such pairs, or, among crowded values, enough of them
-    to keep every component. `rows` are sketches of `source`."""
-    sets = written(rows.groupBy("set").agg(F.min("print").alias("print"), F.min("n").alias("n"), F.min("last").alias("last"), F.min(F.size("prefix")).alias("head")))
-    table = rows.select("set", F.explode("prefix").alias("value"))
-    shared = table.groupBy("value").count().where("count > 1").select("value")
-    met = written(table.join(shared, "value").distinct())
+def links(source: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of set names at the similarity or above: enough of them to keep every component. `rows` are the
+    sketches of `source`."""
+    sets = written(rows.groupBy("set").agg(F.min("print").alias("print"), F.min("n").alias("n"), F.min("fp").alias("fp")))
     fits = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - EPSILON
-    hot = written(met.groupBy("value").count().where(F.col("count") > crowd).select("value"))
-    crowded = not hot.isEmpty()
-    starred = None
-    if crowded:
-        some = met.join(hot, "value").join(sets.select("set", "n"), "set")
-        # Centres by a hash that many values of a group agree on, so that its members meet few of them.
-        some = written(some.withColumn("rank", F.struct(F.xxhash64("set", F.pmod("value", F.lit(CENTRES))).alias("h"), "set", "n")))
-        centre = some.groupBy("value").agg(F.min("rank").alias("c"))
-        stars = some.join(centre, "value").where((F.col("c.set") != F.col("set")) & fits(F.col("n"), F.col("c.n")))
-        stars = stars.select(F.least("c.set", "set").alias("a"), F.greatest("c.set", "set").alias("b")).distinct()
-        starred = _similar(stars, sets, source, width, similarity)
-        met = written(_roots(met, starred))
-    else:
-        met = met.withColumn("root", F.col("set"))
-    major = met.groupBy("value").agg(F.mode("root").alias("major") if crowded else F.min("root").alias("major"), F.min("root").alias("low"), F.max("root").alias("high"))
-    apart = met.join(major.where("low <> high").select("value", "major"), "value").withColumn("minor", F.col("root") != F.col("major"))
-    apart = written(apart.join(sets.select("set", "n"), "set").select("value", "set", "root", "n", "minor"))
-    left = apart.where("minor").select("value", F.col("set").alias("a"), F.col("root").alias("a_root"), F.col("n").alias("a_n"))
-    right = apart.select("value", F.col("set").alias("b"), F.col("root").alias("b_root"), F.col("n").alias("b_n"), "minor")
+    heads = written(rows.select("set", "n", F.explode(F.slice("prefix", 1, HEADS)).alias("value")).distinct())
+    centre = heads.groupBy("value").agg(F.min(F.struct("set", "n")).alias("c"), F.count("*").alias("m")).where("m > 1")
+    # Fingerprints: each set with the first one of its fingerprint, and these with each other.
+    first = written(sets.groupBy("fp").agg(F.min(F.struct("set", "n")).alias("c")))
+    end = lambda side: first.select(F.col("fp").alias(side), F.col("c").alias(f"{side}_c"))
+    near = simhash.links(first.select("fp")).join(end("a"), "a").join(end("b"), "b")
+    stars = [sets.join(first, "fp"), heads.join(centre, "value"), near.select("a_c.set", "a_c.n", F.col("b_c").alias("c"))]
+    stars = [x.where((F.col("c.set") != F.col("set")) & fits(F.col("n"), F.col("c.n"))).select(F.col("set").alias("a"), F.col("c.set").alias("b")) for x in stars]
+    starred = _similar(reduce(DataFrame.unionByName, stars).distinct(), sets, source, width, similarity)
+    roots = written(components(starred).withColumnRenamed("node", "set"))
+
+    def shared(some: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The sets' prefixes with their roots, and the values that sets of different components share."""
+        rooted = some.dropDuplicates(["set"]).join(roots, "set", "left").select("set", F.coalesce("root", "set").alias("root"), "n", "last", "prefix")
+        rooted = written(rooted)
+        by = rooted.select("root", F.explode("prefix").alias("value")).groupBy("value")
+        by = by.agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m"))
+        return rooted, written(by.where("low <> high").select("value", "m"))
+
+    rooted, values = shared(rows)
+    # A bounded number of values is collected; they only change the order.
+    common = sorted(r["value"] for r in values.where(F.col("m") > COMMON).orderBy(F.desc("m"), "value").limit(MOST_COMMON).collect())
+    if common:
+        dropped(rooted, values)
+        rooted, values = shared(written(_sketches(source, width, similarity, np.array(common, np.int64))))
+    met = written(rooted.select("set", "root", "n", F.explode("prefix").alias("value")).join(values.select("value"), "value"))
+    major = met.groupBy("value", "root").agg(F.count("*").alias("m")).groupBy("value").agg(F.max_by("root", F.struct("m", "root")).alias("major"))
+    met = written(met.join(major, "value").withColumn("minor", F.col("root") != F.col("major")).drop("major"))
+    left = met.where("minor").select("value", F.col("set").alias("a"), F.col("root").alias("a_root"), F.col("n").alias("a_n"))
+    right = met.select("value", F.col("set").alias("b"), F.col("root").alias("b_root"), F.col("n").alias("b_n"), "minor")
     pairs = left.join(right, "value").where((F.col("a_root") != F.col("b_root")) & (~F.col("minor") | (F.col("a") < F.col("b"))) & fits(F.col("a_n"), F.col("b_n")))
     # All values that two sets of different components share in their prefixes are here: counted exactly.
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("common"))
-    side = lambda s: sets.select(F.col("set").alias(s), F.col("n").alias(f"{s}_n"), F.col("last").alias(f"{s}_last"), (F.col("n") - F.col("head")).alias(f"{s}_rest"))
+    side = lambda s: rooted.select(F.col("set").alias(s), F.col("n").alias(f"{s}_n"), F.col("last").alias(f"{s}_last"), (F.col("n") - F.size("prefix")).alias(f"{s}_rest"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b")
     most = F.col("common") + F.when(F.col("a_last") <= F.col("b_last"), F.col("a_rest")).otherwise(F.col("b_rest"))
+    # Halved places may tie: then either rest may bound.
+    most = F.when(F.col("a_last") == F.col("b_last"), F.col("common") + F.greatest("a_rest", "b_rest")).otherwise(most)
     pairs = pairs.where(most >= similarity / (1 + similarity) * (F.col("a_n") + F.col("b_n")) - EPSILON).select("a", "b")
-    found = _similar(pairs, sets, source, width, similarity)
-    return found.unionByName(starred) if crowded else found
+    return starred.unionByName(_similar(pairs, sets, source, width, similarity))
 
 
-def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, crowd: int = 64) -> DataFrame:
+def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """Columns (key, print, group) of every row: rows of one group can be reached from each other by links of texts
     whose shingle sets have the Jaccard similarity or more. print is the text's hash. Words are as in SimHash; a text
-    with fewer than `width` words is one shingle, texts without a word are alike. Rows with a null key take part.
+    with fewer than `width` words is one shingle, texts without a word are alike, texts are taken whole. Rows with a
+    null key take part, repeated rows come out as often as they went in, an empty table gives no rows, other columns
+    don't matter.
     """
     source = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("print"), F.col(text).cast("binary").alias("text"))
-    rows = written(_sketches(source, width, similarity))
-    found = components(links(rows, source, width, similarity, crowd))
+    rows = written(_sketches(source, width, similarity, np.zeros(0, np.int64)))
+    found = components(links(source, rows, width, similarity))
     # Written, so that the join shuffles both sides by itself and Spark can split a set that many rows share.
     out = rows.select("key", "print", "set").join(written(found.withColumnRenamed("node", "set")), "set", "left")
     return out.select(F.col("key").alias(key), "print", F.coalesce("root", "set").alias("group"))

@@ -96,6 +96,28 @@ def test_crowded_segments_keep_components(spark, crowd):
     assert sorted(map(sorted, want.values())) == sorted(map(sorted, mine.values()))
 
 
+def test_one_segment_shared_by_thousands(spark):
+    rnd = random.Random(12)
+    low = [rnd.getrandbits(32) for _ in range(4000)]
+    low += [x ^ (1 << rnd.randrange(32)) ^ (1 << rnd.randrange(32)) for x in low[:1000]]
+    fps = {5 << 32 | x for x in low} | {7 << 32 | x for x in low[:50]} | {4 << 32 | x for x in low[:600]}
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    got = {r["node"]: r["root"] for r in simhash.components(simhash.links(df)).collect()}
+    arrays = np.array(sorted(fps), np.uint64)
+    root = {int(x): int(x) for x in arrays}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x in arrays:
+        for y in arrays[np.bitwise_count(arrays ^ x) <= 3]:
+            a, b = sorted((find(int(x)), find(int(y))))
+            root[b] = a
+    assert all(got.get(x, x) == find(x) for x in root)
+
+
 def slow_deduped(rows):
     said = {k: [(i, line) for i, line in enumerate((t or "").split("\n")) if line.strip(" \t\n\x0b\x0c\r")] for k, t in rows}
     seen, gone = set(), defaultdict(set)
@@ -150,3 +172,12 @@ def test_reading_stops_early():
     block = topk.Block(np.arange(2000), rows)
     ids, scores = block.best(np.array([5, 4, 3]), 1)
     assert list(ids) == [7] and list(scores) == [12000]
+
+
+def test_whole_numbers_stay_exact():
+    big = 1 << 30
+    rows = np.array([[big, 1], [big, 0], [big - 1, 5], [-big, 7], [0, 0]])
+    for k in (1, 2, 3, 4):
+        ids, scores = topk.Block(np.arange(5), rows).best(np.array([big, 1]), k)
+        want = sorted(((-int(r[0] * big + r[1]), i) for i, r in enumerate(rows)))[:k]
+        assert [(-int(s), int(i)) for i, s in zip(ids, scores)] == want

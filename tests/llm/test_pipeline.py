@@ -9,8 +9,9 @@ pytest.importorskip("corpus_pipeline")
 import corpus_pipeline  # noqa: E402
 from freightloom.llm import quality  # noqa: E402
 from freightloom.llm.common import unit_encoder  # noqa: E402
-from test_groups import near, reach, slow_deduped, slow_fingerprint  # noqa: E402
+from test_groups import slow_deduped  # noqa: E402
 from test_rows import measured, words  # noqa: E402
+from test_shingles import components  # noqa: E402
 
 RANDOM = random.Random(11)
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -62,12 +63,15 @@ def test_lines(staged):
 
 def test_near(staged):
     _, (*_, before, after, _) = staged
-    prints = {r["doc_id"]: slow_fingerprint(r["text"]) for r in before}
-    groups = reach(set(prints.values()), near)
-    first = {}
-    for k in sorted(prints):
-        first.setdefault(groups[prints[k]], k)
-    assert {r["doc_id"] for r in after} == set(first.values()) and len(after) < len(before)
+    kept = {g[0] for g in components([(r["doc_id"], r["text"]) for r in before])}
+    assert {r["doc_id"] for r in after} == kept and len(after) < len(before)
+
+
+def test_near_dedup_keeps_columns_with_its_names(spark):
+    rows = [(k, t, "own", "s", 1, "mine") for k, t in [(1, "a b c d e f g"), (2, "a b c d e f g"), (None, "other words"), (3, None), (3, None)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string, _print string, _null int, n string")
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[2], rows[3]], key=str)
 
 
 def test_packed(staged):

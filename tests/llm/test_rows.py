@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,9 +54,35 @@ def test_quality_verdicts(spark):
     assert quality.judged(docs.limit(0)).collect() == []
 
 
-def test_estimate_keeps_directions():
-    prior, habits = quality.fitted([((1, None), 90), ((1, 0), 5), ((0, None), 5)])
-    assert 0.5 <= prior <= 0.99 and all(h[0][0] >= quality.TRUST * h[1][0] for h in habits)
+def slow_fitted(rows, rounds):
+    """Expectation-maximisation row by row; the start counts as ten rows."""
+    prior, right = 0.8, [[0.7, 0.98] for _ in rows[0]]
+    for _ in range(rounds):
+        posts = []
+        for votes in rows:
+            like = [1 - prior, prior]
+            for k, v in enumerate(votes):
+                if v is not None:
+                    like = [x * (right[k][y] if v else 1 - right[k][y]) for y, x in enumerate(like)]
+            posts.append([x / sum(like) for x in like])
+        prior = (8 + sum(p[1] for p in posts)) / (10 + len(rows))
+        for k in range(len(right)):
+            for y in (0, 1):
+                cast = sum(p[y] for p, votes in zip(posts, rows) if votes[k] is not None)
+                right[k][y] = (10 * [0.7, 0.98][y] + sum(p[y] for p, votes in zip(posts, rows) if votes[k] == 1)) / (10 + cast)
+    return prior, right
+
+
+def test_estimate_equals_brute_force():
+    rnd = random.Random(4)
+    rows = [tuple(None if rnd.random() < 0.2 else int(rnd.random() < (0.95 if good else 0.2)) for _ in range(4)) for good in [1] * 150 + [0] * 50]
+    for rounds in (1, 5, 40):
+        prior, habits = quality.fitted(sorted(collections.Counter(rows).items(), key=str), rounds)
+        want_prior, want = slow_fitted(rows, rounds)
+        assert abs(prior - want_prior) < 1e-4 and all(abs(h[y] - w[y]) < 1e-4 for h, w in zip(habits, want) for y in (0, 1))
+    assert 0.68 < prior < 0.82
+    assert quality.weight(habits[0], None) == 0 and quality.weight(habits[0], 1) > 0 > quality.weight(habits[0], 0)
+    assert quality.fitted([]) == (quality.START_PRIOR, [])
 
 
 def test_language_id(spark):
@@ -75,8 +102,9 @@ def test_language_id(spark):
     assert bare and all(r["lang_pred"] == "und" and r["rejected"] for r in bare)
     assert langid.fitted(docs.limit(0), ~langid.held_out()) is None
     assert {r["lang_pred"] for r in langid.identified(docs, None).collect()} == {"und"}
-    with pytest.raises(ValueError):
-        langid.fitted(docs, ~langid.held_out(), most_languages=2)
+    counts = collections.Counter(lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2)
+    few = langid.fitted(docs, ~langid.held_out(), most_languages=2)
+    assert few.langs == sorted(sorted(counts, key=lambda x: (-counts[x], x))[:2])
 
 
 def test_every_length_rejects():
@@ -99,19 +127,22 @@ def test_grams_of_chunks_equal_grams_of_the_whole(monkeypatch):
     assert (langid.grams(text) == whole).all()
 
 
-def test_cascade_is_exact(spark):
+@pytest.mark.parametrize("shard_keys,rows_each", [(1 << 17, 1 << 20), (100, 50)])
+def test_cascade_is_exact(spark, shard_keys, rows_each):
     keys = [f"host{i}.example" for i in range(3000)]
     listed = [k for i, k in enumerate(keys) if i % 3 == 0]
     universe = spark.createDataFrame([(k,) for k in keys] + [(None,), (keys[0],)], "key string")
-    levels = urlfilter.cascade(universe, spark.createDataFrame([(k,) for k in [*listed, "elsewhere", None]], "key string"))
-    assert len(levels) > 1
-    rows = spark.createDataFrame([(k, "own") for k in keys] + [(None, "own")], "host string, _n string")
-    got = {r["host"]: r["listed"] for r in urlfilter.flagged(rows, "host", levels).collect()}
-    assert {k for k, v in got.items() if v} == set(listed) and got[None] is False
-    assert not any(r["listed"] for r in urlfilter.flagged(rows, "host", []).collect())
-    small = urlfilter.listed(rows, "host", universe, universe.where("key like '%7.%'"), most_bytes=1)
-    assert {r["host"] for r in small.where("listed").collect()} == {k for k in keys if "7." in k}
-    assert urlfilter.cascade(universe.limit(0), universe) == []
+    levels = urlfilter.cascade(universe, spark.createDataFrame([(k,) for k in [*listed, "elsewhere", None]], "key string"), shard_keys)
+    assert len(levels.n_bits) > 1 and levels.n_shards == (10 if shard_keys == 100 else 1)
+    rows = spark.createDataFrame([(k, "own", 1, 2) for k in [*keys, None] + keys[:1] * 400], "host string, _n string, _shard int, _bitmap int")
+    got = urlfilter.depths(rows, "host", levels, "depth", rows_each=rows_each).collect()
+    assert len(got) == 3401 and got[0].asDict().keys() == {"host", "_n", "_shard", "_bitmap", "depth"}
+    assert {r["host"] for r in got if r["depth"] % 2} == set(listed) and all(r["depth"] == 0 for r in got if r["host"] is None)
+    flags = urlfilter.flagged(rows, "host", levels)
+    assert flags.where("listed").count() == 1400 and flags.where("_n <> 'own' or _shard <> 1").isEmpty()
+    none = urlfilter.cascade(universe.limit(0), universe)
+    assert none.n_bits == [] and urlfilter.flagged(rows, "host", none).where("listed").isEmpty()
+    assert urlfilter.flagged(rows.limit(0), "host", levels).collect() == []
 
 
 def test_url_parts_and_rules(spark):
@@ -150,6 +181,67 @@ def test_text_without_an_article():
     assert html.main_text(page) == f"{LONG}\n{LONG}"
 
 
+def test_text_outside_of_the_densest_node():
+    half = "".join(f"<p>{LONG} {k}</p>" for k in range(10))
+    page = f"<body><nav><a href=x>Home</a></nav><h1>T</h1><div>{half}</div><div>{half.replace('A sentence', 'The rest')}</div></body>"
+    got = html.main_text(page).split("\n")
+    assert got == ["T", *[f"{LONG} {k}" for k in range(10)], *[f"{LONG.replace('A sentence', 'The rest')} {k}" for k in range(10)]]
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (f'<article><div class="entry-header"><h1>My title</h1></div><p>{LONG}</p></article>', f"My title\n{LONG}"),
+        (f'<article><header class="entry-header"><h1>My title</h1></header><p>{LONG}</p></article>', f"My title\n{LONG}"),
+        (f"<p data-x=don't>First</p><p>{LONG}</p><p>It's last</p>", f"First\n{LONG}\nIt's last"),
+        (f"<article><p>{LONG}<math><mi>x</mi></math></p><noscript>Plain</noscript><p>Short.</p></article>", f"{LONG}x\nPlain\nShort."),
+        (f"<body><article><p>{LONG}</p></article><div class=ad>Buy</div><article><p>Second, short.</p></article></body>", f"{LONG}\nSecond, short."),
+        (f'<body><form id="page"><div class="content has-sidebar"><p>{LONG}</p></div><div class="sidebar"><p>{LONG}</p></div></form></body>', LONG),
+        (f'<article><p>{LONG}</p><div class="share-buttons">Share</div><div class="reader-comments"><p>{LONG}</p></div></article>', LONG),
+        (f'<section id=comments><article class="comment"><p>{LONG}</p></article></section><main><p>{LONG} 1</p></main>', f"{LONG} 1"),
+        (f"<div role=navigation>Menu</div><div class='widget-area'><p>x</p></div><div><p>{LONG}</p></div>", LONG),
+    ],
+)
+def test_pages(page, text):
+    assert html.main_text(page) == text
+
+
+def test_main_node_has_the_largest_sum():
+    rnd = random.Random(9)
+
+    def tree(depth):
+        return "".join(rnd.choice(["word " * rnd.randint(1, 30), f"<a href=x>{'link ' * rnd.randint(1, 5)}</a>", f"<div>{tree(depth - 1)}</div>" if depth else "", f"<p>{'text ' * rnd.randint(1, 40)}</p>"]) for _ in range(rnd.randint(1, 5)))
+
+    def count(node):
+        """Characters, tags, link characters and link tags, recursively."""
+        c = t = lc = lt = 0
+        for x in node.children:
+            if isinstance(x, str):
+                c += len(x.strip())
+            else:
+                got = count(x)
+                c, t, lc, lt = c + got[0], t + got[1] + 1, lc + got[2], lt + got[3] + (x.tag == "a")
+        return (c, t, c, t) if node.tag == "a" else (c, t, lc, lt)
+
+    def nodes(node):
+        yield node
+        for x in node.children:
+            if not isinstance(x, str):
+                yield from nodes(x)
+
+    for _ in range(40):
+        root = html.parse(f"<body>{tree(3)}</body>")
+        body, best, threshold = html.main_node(root)
+        own = {id(x): html._density(*count(x), body) for x in nodes(body)}
+        sums = {id(x): sum(html._density(len(y.strip()), 1, 0, 0, body) if isinstance(y, str) else own[id(y)] for y in x.children) for x in nodes(body)}
+        assert abs(sums[id(best)] - max(sums.values())) < 1e-9
+        path, x = [best], best
+        while x is not body:
+            x = x.parent
+            path.append(x)
+        assert abs(threshold - min(own[id(x)] for x in path)) < 1e-9
+
+
 def test_extracted_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "own"), (1, "u", PAGE, "own"), (None, None, None, None)], "page_id long, url string, html string, text string")
     got = html.extracted(pages).collect()

@@ -44,14 +44,16 @@ def components(rows):
     return sorted(map(sorted, out.values()))
 
 
-@pytest.mark.parametrize("crowd", [1000, 5])
-def test_groups_equal_brute_force(spark, crowd):
+@pytest.mark.parametrize("common,most", [(32, 1 << 16), (2, 50)])
+def test_groups_equal_brute_force(spark, monkeypatch, common, most):
+    monkeypatch.setattr(shingles, "COMMON", common)
+    monkeypatch.setattr(shingles, "MOST_COMMON", most)
     rows = list(enumerate(texts(1, [8, 30, 31, 120, 200, 400], 20)))
     got = {}
-    for r in shingles.grouped(spark.createDataFrame(rows, "doc_id long, text string"), crowd=crowd).collect():
+    for r in shingles.grouped(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         got.setdefault(r["group"], []).append(r["doc_id"])
     assert sorted(map(sorted, got.values())) == components(rows)
-    assert shingles.grouped(spark.createDataFrame([], "doc_id long, text string"), crowd=crowd).collect() == []
+    assert shingles.grouped(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
 def test_stage_drops_copies_beyond_three_bits(spark):

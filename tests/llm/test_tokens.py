@@ -24,7 +24,6 @@ ROWS = [(None, None), (None, "null id"), *enumerate(TEXTS), (3, TEXTS[3])]
 @pytest.mark.parametrize("room", [1_000_000, 10])
 def test_units_give_the_ids_of_whole_texts(path, room):
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     encode = unit_encoder(path, room)
     for text, e in zip(TEXTS, tokenizer.encode_batch(TEXTS, add_special_tokens=False)):
         assert np.frombuffer(encode(text), "<u2").tolist() == e.ids, text
@@ -45,7 +44,6 @@ def test_token_files_round_trip(spark, tmp_path, bits):
     tokens.write(tokens.encoded(docs, BYTES, 0, parts=3, chunk_ids=500, bits=bits), str(tmp_path / "t"))
     got = sorted(tokens.read_documents(tokens.read(spark, str(tmp_path / "t")), with_ids=True).collect(), key=lambda r: r["start"])
     tokenizer = Tokenizer.from_file(BYTES)
-    tokenizer.encode_special_tokens = True
     assert len(got) == len(ROWS)
     start, texts = 0, {}
     for k, t in ROWS:
