@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freightloom.llm import langid, linededup, packing, quality, shingles
-from freightloom.llm.common import written
+from freightloom.llm.common import fresh, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weighed rules keep."""
-    return quality.judged(docs, once=False).where("kept").select(*docs.columns)
+    return quality.judged(docs).where("kept").select(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,14 +32,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest doc_id. Documents link where the
-    Jaccard similarity of their five-word shingles is 0.8 or more."""
+    Jaccard similarity of their five-word shingles is 0.8 or more: SimHash links first, then those that three bits
+    don't reach."""
     groups = shingles.grouped(docs)
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("key"), "print")
     first = groups.groupBy("group").agg(F.min(order).alias("first")).select("first.*")
     # The same plain keys for the join and for repeated rows, so that the texts are shuffled once.
-    keys = ["_null", "_key", "_print"]
-    stay = written(first.select(F.col("last").alias("_null"), F.coalesce("key", F.lit(0)).alias("_key"), F.col("print").alias("_print")))
-    rows = docs.withColumns({"_null": F.col("doc_id").isNull(), "_key": F.coalesce("doc_id", F.lit(0)), "_print": F.xxhash64("text")})
+    keys = [fresh(docs, c) for c in ("_null", "_key", "_print")]
+    stay = written(first.select(F.col("last").alias(keys[0]), F.coalesce("key", F.lit(0)).alias(keys[1]), F.col("print").alias(keys[2])))
+    rows = docs.withColumns(dict(zip(keys, (F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.xxhash64("text")))))
     return rows.join(stay.hint("merge"), keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
 
 
