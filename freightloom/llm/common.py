@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 import os
 import re
-from array import array
 from collections.abc import Callable, Iterable, Iterator
+from unicodedata import is_normalized
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,28 +34,29 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-#: White space to the patterns of the tokenizers (Unicode's White_Space).
-SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
-_ODD = [c for c in SPACES if c not in " \n"]
-_ODD_ASCII = [c for c in _ODD if c.isascii()]
-#: Python's str.split() also cuts at these; the tokenizers don't.
-_SEPARATOR_CODES = "\x1c\x1d\x1e\x1f"
-_UNIT = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
+#: White space to the patterns of the tokenizers, as far as texts that are cut have it.
+_SPACES = "\t-\r \x85\xa0"
+#: Letters up to U+052F that lower-casing and normal forms treat one by one.
+_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff" + "".join(
+    c for c in map(chr, range(0x100, 0x530)) if c.isalpha() and is_normalized("NFC", c) and len(c.lower()) == 1 and c != "Σ"
+)
+_DIGITS = "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: A text with any other character than these is encoded whole.
+_OTHER = re.compile(f"[^\0-\xff‐-‧€{_LETTERS}]")
+_ENDINGS = "'(?:s|t|re|ve|m|ll|d)"
 
 
 class UnitEncoder:
     """Ids of whole texts through the tokenizers library, which sees each distinct unit of a text once.
 
-    A unit is a stretch of text that the tokenizer's own pattern never joins to its neighbours, so the ids of a
-    text are those of its units in order. `keys` cuts a text into keys of units, `encode` gives the ids of a list
-    of keys, `whole` those of a list of texts that are not to be cut: such as have one of `uncut`. At most about
-    `room` units are remembered in a worker; a full memory is emptied. Ids are little-endian unsigned integers of
-    the numpy type `dtype`.
+    A unit is a word of the tokenizer's own pattern, so the ids of a text are those of its units in order. `cut` gives
+    the units of a text, `learn` the ids of distinct units, `whole` those of texts that aren't cut: such as match
+    `uncut`. At most about `room` units are remembered in a worker; a full memory is emptied. Ids are little-endian
+    unsigned integers of the numpy type `dtype`.
     """
 
-    def __init__(self, keys: Callable[[str], list[str]], encode: Callable[[list[str]], Iterable[bytes]], whole: Callable[[list[str]], list[bytes]], uncut: list[str], dtype: str, room: int):
-        self.keys, self.encode, self.whole, self.dtype, self.room = keys, encode, whole, dtype, room
-        self.uncut = re.compile("|".join(map(re.escape, uncut))) if uncut else None
+    def __init__(self, cut: Callable[[str], list[str]], learn: Callable[[list[str]], dict[str, bytes]], whole: Callable[[list[str]], list[bytes]], uncut: re.Pattern, dtype: str, room: int):
+        self.cut, self.learn, self.whole, self.uncut, self.dtype, self.room = cut, learn, whole, uncut, dtype, room
         self.known: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
@@ -63,8 +65,7 @@ class UnitEncoder:
 
     def together(self, texts: list[str]) -> list[bytes]:
         """The ids of each of the texts; units that are new to the worker are encoded in one go."""
-        known, uncut = self.known, self.uncut
-        apart = [k for k, t in enumerate(texts) if uncut and uncut.search(t)]
+        apart = [k for k, t in enumerate(texts) if self.uncut.search(t)]
         if apart:
             out: list[bytes] = [b""] * len(texts)
             rest = sorted(set(range(len(texts))).difference(apart))
@@ -72,16 +73,15 @@ class UnitEncoder:
                 for k, ids in zip(some, found):
                     out[k] = ids
             return out
-        cut = [self.keys(t) for t in texts]
-        if new := set().union(*cut).difference(known):
-            if len(known) > self.room:
-                known.clear()
-                new = set().union(*cut)
-            new = list(new)
-            known.update(zip(new, self.encode(new)))
-        return [b"".join(map(known.__getitem__, keys)) for keys in cut]
-
-    def many(self, texts: Iterable[str], chars: int = 1_000_000) -> Iterator[bytes]:
+        units = list(map(self.cut, texts))
+        if new := set().union(*units).difference(self.known):
+            if len(self.known) + len(new) > self.room:
+                self.known.clear()
+                new = set().union(*units)
+            self.known.update(self.learn(list(new)))
+        return [b"".join(map(self.known.__getitem__, u)) for u in units]
+
+    def many(self, texts: Iterable[str], chars: int = 4_000_000) -> Iterator[bytes]:
         """The ids of each text in turn, taking texts of about `chars` characters together."""
         held: list[str] = []
         size = 0
@@ -95,53 +95,7 @@ class UnitEncoder:
             yield from self.together(held)
 
 
-class WholeEncoder(UnitEncoder):
-    """The same for tokenizers whose texts can't be cut: the library encodes them whole, and nothing is remembered."""
-
-    def together(self, texts: list[str]) -> list[bytes]:
-        return self.whole(texts)
-
-
-def byte_level_keys(text: str) -> list[str]:
-    """Units of a byte-level BPE whose pattern gives a word its leading space, as keys.
-
-    A key that starts with NUL stands for the rest of itself, one that starts with a line feed for itself, any
-    other for itself behind a space. Where white space is only single spaces and line feeds between other
-    characters, plain splits do; any other text is cut by a pattern.
-    """
-    if not text:
-        return []
-    odd = any(c in text for c in (_ODD_ASCII if text.isascii() else _ODD))
-    if odd or "\0" in text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
-        return ["\0" + u for u in _UNIT.findall(text)]
-    keys = text.replace("\n", " \n").split(" ")
-    keys[0] = "\0" + keys[0]
-    return keys
-
-
-def byte_level_unit(key: str) -> str:
-    return key[1:] if key[0] == "\0" else key if key[0] == "\n" else " " + key
-
-
-def word_keys(text: str) -> list[str]:
-    """Units of a BPE that drops white space: the words."""
-    if any(c in text for c in _SEPARATOR_CODES):
-        return [text]
-    return text.split()
-
-
-#: Letters up to U+00FF, which lower-casing and normal forms treat one by one, and marks that end a word.
-_PLAIN = re.compile("([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
-
-
-def _byte_letters() -> dict[int, str]:
-    """The letters that byte-level vocabularies use for bytes: printable ones stand for themselves, the others follow."""
-    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(256 + k) for k, b in enumerate(hidden)}
-
-
-#: How the two kinds of tokenizer files prepare a text that can be cut into units.
+#: How the two kinds of tokenizer files whose texts can be cut prepare them.
 _LEADING_SPACES = (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True})
 _BARE_WORDS = (
     {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -161,8 +115,8 @@ def unit_encoder(path: str, room: int = 1_000_000) -> UnitEncoder:
     """The encoder for a tokenizer file: ids as the library's `encode` gives them with add_special_tokens=False.
 
     The files of byte-level BPE with leading spaces and of bare words are known, their texts are cut into units; texts
-    with one of the file's added tokens, and all texts of any other file, are encoded whole. One for each worker
-    process, so that what it remembers serves all its tasks.
+    with one of the file's added tokens or letters beyond U+052F, and all texts of any other file, are encoded whole.
+    One for each worker process, so that what it remembers serves all its tasks.
     """
     if (path, room) not in _ENCODERS:
         _ENCODERS[path, room] = _loaded(path, room)
@@ -176,45 +130,48 @@ def _loaded(path: str, room: int) -> UnitEncoder:
     tokenizer = Tokenizer.from_file(path)
     parts = json.loads(tokenizer.to_str())
     model = parts["model"]
-    dtype = "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-    code = "H" if dtype == "<u2" else "I"
-    prepared, plain = (parts["normalizer"], parts["pre_tokenizer"]), model["type"] == "BPE" and not model.get("dropout") and not parts["post_processor"]
-    bare = prepared == _BARE_WORDS and model.get("end_of_word_suffix") is not None
-    known = plain and (bare or prepared == _LEADING_SPACES)
+    dtype = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
     batch = tokenizer.encode_batch_fast
 
-    def packed(ids: list[int]) -> bytes:
-        return array(code, ids).tobytes()
-
     def whole(texts: list[str]) -> list[bytes]:
-        return [packed(e.ids) for e in batch(texts, add_special_tokens=False)]
-
-    if not known:
-        return WholeEncoder(lambda t: [t], whole, whole, [], dtype, room)
-    piece, letters = tokenizer.model.tokenize, _byte_letters()
-
-    def word(text: str, space: bool = False) -> list[int]:
-        """The ids of one word of the pattern, behind a space or not."""
-        if not text.isascii():
-            text = text.encode().decode("latin-1").translate(letters)
-        return [t.id for t in piece("\u0120" + text if space else text)]
-
-    ends: dict[str, list[int]] = {"": []}
-
-    def encode(keys: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(keys)
-        rest = []
-        for k, key in enumerate(keys):
-            # Letters with marks behind them are two words to the pattern; the library's model knows both.
-            if m := _PLAIN.fullmatch(key):
-                if (end := ends.get(m[2])) is None:
-                    end = ends[m[2]] = word(m[2])
-                out[k] = packed((word(m[1].lower()) if bare else word(m[1], True)) + end)
-            else:
-                rest.append(k)
-        if rest:
-            for k, ids in zip(rest, whole([keys[k] if bare else byte_level_unit(keys[k]) for k in rest])):
-                out[k] = ids
-        return out
-
-    return UnitEncoder(word_keys if bare else byte_level_keys, encode, whole, [t["content"] for t in parts["added_tokens"]], dtype, room)
+        return [np.array(e.ids, dtype).tobytes() for e in batch(texts, add_special_tokens=False)]
+
+    prepared = (parts["normalizer"], parts["pre_tokenizer"])
+    plain = model["type"] == "BPE" and not model.get("dropout") and not model.get("ignore_merges") and not parts["post_processor"]
+    bare = prepared == _BARE_WORDS and bool(model.get("end_of_word_suffix"))
+    if not plain or not (bare or prepared == _LEADING_SPACES):
+        return UnitEncoder(list, dict, whole, re.compile(""), dtype.str, room)
+    # In the ids of a line of units, bare ones end with a piece of the suffix, ones behind a space start with a piece
+    # that has it, ones behind a line feed have its id before them.
+    last, first, feed = np.zeros((3, tokenizer.get_vocab_size()), bool)
+    for piece, k in tokenizer.get_vocab(with_added_tokens=False).items():
+        last[k] = bare and piece.endswith(model["end_of_word_suffix"])
+        first[k], feed[k] = piece[0] == "Ġ", piece == "Ċ"
+
+    def lined(units: list[str], before: str, marks: np.ndarray) -> Iterator[tuple[str, bytes]]:
+        """The ids of units from lines of them, cut where the marked ids are."""
+        for k in range(0, len(units), 16384):
+            some = units[k : k + 16384]
+            ids = np.array(batch([before + before.join(some)], add_special_tokens=False)[0].ids, np.int64)
+            at = np.flatnonzero(marks[ids])
+            starts, ends = (np.append(0, at[:-1] + 1), at + 1) if bare else (at + len(before), np.append(at[1:], len(ids)))
+            raw, wide = ids.astype(dtype).tobytes(), dtype.itemsize
+            yield from zip(some, [raw[a * wide : b * wide] for a, b in zip(starts.tolist(), ends.tolist())])
+
+    if bare:
+        pattern = re.compile(f"{_ENDINGS}|[{_LETTERS}]+|[{_DIGITS}]|[^{_SPACES}{_LETTERS}{_DIGITS}]+")
+        cut = lambda text: pattern.findall(text.lower())
+        learn = lambda new: dict(lined(new, " ", last))
+    else:
+        pattern = re.compile(f"{_ENDINGS}| ?[{_LETTERS}]+| ?[{_DIGITS}]+| ?[^{_SPACES}{_LETTERS}{_DIGITS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
+        blank = re.compile(f"[{_SPACES}]+")
+        cut = pattern.findall
+
+        def learn(new: list[str]) -> dict[str, bytes]:
+            gaps = [u for u in new if blank.fullmatch(u)]
+            behind = [u for u in new if u[0] == " " and not blank.fullmatch(u)]
+            others = [u for u in new if not blank.match(u)]
+            return dict(zip(gaps, whole(gaps))) | dict(lined(behind, "", first)) | dict(lined(others, "\n", feed))
+
+    added = [re.escape(t["content"]) for t in parts["added_tokens"]]
+    return UnitEncoder(cut, learn, whole, re.compile("|".join([*added, _OTHER.pattern])), dtype.str, room)
