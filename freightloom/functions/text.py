@@ -51,7 +51,7 @@ def sorted_chars(text: Column) -> Column:
 def phonetic(text: Column, length: int = 4) -> Column:
     """The first letter and the consonants after it without repeats in a row, cut at `length`."""
     up = F.regexp_replace(F.upper(text), "[^A-Z]", "")
-    rest = F.regexp_replace(F.substring(up, 2, 1 << 20), "[AEIOUYHW]", "")
+    rest = F.regexp_replace(F.substring(up, 2, 1 << 20), "[AEIOU]", "")
     return F.substring(F.regexp_replace(F.concat(F.substring(up, 1, 1), rest), r"(.)\1+", "$1"), 1, length)
 
 
@@ -65,3 +65,9 @@ def swapped_once(a: Column, b: Column) -> Column:
 
 def occurrences(text: Column, char: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
+
+
+def shown(name: Column) -> Column:
+    """A column's name for display: underscores as spaces, a capital in front."""
+    spaced = F.replace(name, F.lit("_"), F.lit(" "))
+    return F.concat(F.upper(F.substring(spaced, 1, 1)), F.substring(spaced, 2, 1 << 20))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from freightloom.operators.ranked import running
+from freightloom.operators.scratch import dropped, written
 
 
 def best_action(df: DataFrame, key: str, p: Column, stake: Column, actions: Mapping[str, tuple[float, float]]) -> DataFrame:
@@ -109,24 +110,28 @@ def cusum(df: DataFrame, keys: Sequence[str], day: str, z: str, k: float, h: flo
 
 
 def coupled_cusum(df: DataFrame, day: str, lane: str, z: str, weight: str, k: float, h: float, suspect: float) -> DataFrame:
-    """CUSUM after the day's shared effect is taken out, where lanes under suspicion lose their vote on it.
+    """(day, lane, shared, s, alarm): CUSUM after the day's shared effect is taken out, where lanes under suspicion
+    (a state of `suspect` or more) lose their vote on it. Votes are clipped at 3 deviations; an alarm at h sets a
+    lane's state back to 0; a lane without a row on a day keeps its state.
 
-    A day's shared effect needs the state of all lanes on the day before, so days are handled one after the other, by
-    one task; what it holds is a number for each lane and day, and lanes are summed to days before.
+    A day's shared effect needs the state of all lanes on the day before. Days, whose number doesn't grow with the
+    lanes, are handled one after the other: an aggregate of the day's votes, then an update of all lanes by a join,
+    written as the next day's states.
     """
-    cols = df.select(F.col(day).cast("date").alias("day"), F.col(lane).cast("string").alias("lane"), F.col(z).cast("double").alias("z"), F.col(weight).cast("double").alias("w"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state: dict[str, float] = {}
-        out = []
-        for d, rows in pdf.sort_values(["day", "lane"]).groupby("day", sort=True):
-            votes = [(min(max(x, -3.0), 3.0), w) for n, x, w in zip(rows.lane, rows.z, rows.w) if state.get(n, 0.0) < suspect]
-            total = sum(w for _, w in votes)
-            shared = sum(x * w for x, w in votes) / total if total else 0.0
-            for n, x in zip(rows.lane, rows.z):
-                s = max(0.0, state.get(n, 0.0) + x - shared - k)
-                out.append((d, n, shared, s, s >= h))
-                state[n] = 0.0 if s >= h else s
-        return pd.DataFrame(out, columns=["day", "lane", "shared", "s", "alarm"])
-
-    return cols.groupBy().applyInPandas(run, "day date, lane string, shared double, s double, alarm boolean")
+    cols = written(df.select(F.col(day).cast("date").alias("day"), F.col(lane).cast("string").alias("lane"), F.col(z).cast("double").alias("z"), F.col(weight).cast("double").alias("w")))
+    schema = "day date, lane string, shared double, s double, alarm boolean"
+    out = [df.sparkSession.createDataFrame([], schema)]
+    state = df.sparkSession.createDataFrame([], "lane string, state double")
+    for (at,) in cols.select("day").distinct().orderBy("day").collect():
+        rows = cols.where(F.col("day") == F.lit(at)).join(state, "lane", "left").withColumn("state", F.coalesce("state", F.lit(0.0)))
+        votes = rows.where(F.col("state") < suspect)
+        clipped = F.greatest(F.least(F.col("z"), F.lit(3.0)), F.lit(-3.0))
+        total, sums = votes.agg(F.sum("w"), F.sum(clipped * F.col("w"))).first()
+        shared = sums / total if total else 0.0
+        s = F.greatest(F.lit(0.0), F.col("state") + F.col("z") - shared - k)
+        done = written(rows.select("day", "lane", F.lit(shared).alias("shared"), s.alias("s"), (s >= h).alias("alarm")))
+        out.append(done)
+        now = done.select("lane", F.when(F.col("alarm"), 0.0).otherwise(F.col("s")).alias("new"))
+        old, state = state, written(state.join(now, "lane", "full").select("lane", F.coalesce("new", "state").alias("state")))
+        dropped(old)
+    return reduce(DataFrame.unionByName, out)

@@ -129,5 +129,5 @@ def lower_bound(pairs: DataFrame, trucks: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     ranked = pairs.withColumn("r", F.row_number().over(Window.partitionBy("instance", "a").orderBy("miles", "b")))
-    links = ranked.join(F.broadcast(trucks), "instance").where(F.col("r") <= F.when(F.col("a") == 0, 2 * F.col("trucks")).otherwise(2))
+    links = ranked.join(trucks, "instance").where(F.col("r") <= F.when(F.col("a") == 0, 2 * F.col("trucks")).otherwise(2))
     return links.groupBy("instance").agg((F.sum("miles") / 2).alias("bound"))

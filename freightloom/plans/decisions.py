@@ -50,14 +50,14 @@ def topk_budget(spark, d):
 
 
 @query("""
-WITH q AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_extendedprice * (1 - l_discount) AS cost FROM lineitem WHERE l_quantity > 45), g AS (SELECT unnest(generate_series(0, 9)) AS k),
+WITH q AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_extendedprice * (1 - l_discount) AS cost FROM lineitem), g AS (SELECT unnest(generate_series(0, 9)) AS k),
 e AS (SELECT q.*, cost * (1.0::DOUBLE + 0.1::DOUBLE * k) AS price, cost * 0.1::DOUBLE * k / (1 + exp(6 * (1.0::DOUBLE + 0.1::DOUBLE * k - 1.4::DOUBLE))) AS margin FROM q CROSS JOIN g)
 SELECT l_orderkey, l_linenumber, l_partkey, round(price, 7) AS price, round(margin, 6) AS margin FROM e
 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate ORDER BY margin DESC, price) = 1""")
 def price_grid_argmax(spark, d):
     """Each quote's price of the largest expected margin on a grid of multipliers: within the row, no join."""
     cost = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    df = table(spark, d, "lineitem").where("l_quantity > 45").withColumn("c", cost)
+    df = table(spark, d, "lineitem").withColumn("c", cost)
     options = F.array(*[F.struct((F.col("c") * (0.1 * k) / (1 + F.exp(F.lit(6 * (1.0 + 0.1 * k - 1.4))))).alias("margin"), (-F.col("c") * (1.0 + 0.1 * k)).alias("low")) for k in range(10)])
     best = df.withColumn("b", F.array_max(options))
     return best.select("l_orderkey", "l_linenumber", "l_partkey", F.round(-F.col("b.low"), 7).alias("price"), F.round("b.margin", 6).alias("margin"))
@@ -102,12 +102,24 @@ def cooldown_replay(spark, d):
     return D.cooled_down(user_days(spark, d).where("failed = 1"), ["user_id"], "day", 5)
 
 
-_Z = f"{USER_DAYS}, z AS (SELECT user_id, day, (total - avg(total) OVER w) / greatest(stddev_pop(total) OVER w, 1e-9) AS z, row_number() OVER (PARTITION BY user_id ORDER BY day) AS i FROM u WINDOW w AS (PARTITION BY user_id))"
+#: Days up to here are the baseline; detectors start after it.
+BASELINE = "2024-01-10"
+_Z = f"""{USER_DAYS}, g AS (SELECT avg(total) AS gm, stddev_pop(total) AS gs FROM u WHERE day <= DATE '{BASELINE}'),
+m AS (SELECT user_id, avg(total) AS m, stddev_pop(total) AS s, count(*) AS k FROM u WHERE day <= DATE '{BASELINE}' GROUP BY 1),
+z AS (SELECT user_id, day, (total - CASE WHEN k >= 3 THEN m ELSE gm END) / greatest(CASE WHEN k >= 3 THEN s ELSE gs END, 1e-9) AS z, row_number() OVER (PARTITION BY user_id ORDER BY day) AS i FROM u LEFT JOIN m USING (user_id), g WHERE day > DATE '{BASELINE}')"""
 
 
 def standardised(spark, d) -> DataFrame:
-    w = Window.partitionBy("user_id")
-    return user_days(spark, d).select("user_id", "day", ((F.col("total") - F.avg("total").over(w)) / F.greatest(F.stddev_pop("total").over(w), F.lit(1e-9))).alias("z"), F.col("n").alias("weight"))
+    """Days after the baseline, by what the baseline knows: each user's mean and deviation where it has three days or
+    more there, everyone's otherwise."""
+    u = user_days(spark, d)
+    known = u.where(F.col("day") <= F.lit(BASELINE).cast("date"))
+    everyone = known.agg(F.avg("total").alias("gm"), F.stddev_pop("total").alias("gs"))
+    own = known.groupBy("user_id").agg(F.avg("total").alias("m"), F.stddev_pop("total").alias("s"), F.count("*").alias("k"))
+    df = u.where(F.col("day") > F.lit(BASELINE).cast("date")).join(own, "user_id", "left").crossJoin(F.broadcast(everyone))
+    enough = F.coalesce(F.col("k") >= 3, F.lit(False))
+    z = (F.col("total") - F.when(enough, F.col("m")).otherwise(F.col("gm"))) / F.greatest(F.when(enough, F.col("s")).otherwise(F.col("gs")), F.lit(1e-9))
+    return df.select("user_id", "day", z.alias("z"), F.col("n").alias("weight"))
 
 
 @query(f"""

@@ -1,4 +1,4 @@
-"""Routing over stops taken from the embeddings' first components: an instance for each label."""
+"""Routing over stops taken from the embeddings' first components: an instance for each block of so many keys."""
 
 from __future__ import annotations
 
@@ -10,13 +10,14 @@ from freightloom.operators import routes as R
 from freightloom.plans.registry import query, rounded, table
 
 CAPACITY = 60.0
-_STOPS = "s AS (SELECT CAST(label AS VARCHAR) || '-' || CAST(vec_id % 3 AS VARCHAR) AS instance, vec_id AS stop, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, (1 + vec_id % 4)::DOUBLE AS packages FROM embeddings)"
+#: Stops of an instance, at most: what one task holds doesn't grow with the table.
+BLOCK = 25
+_STOPS = f"s AS (SELECT CAST(vec_id // {BLOCK} AS VARCHAR) AS instance, vec_id AS stop, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, (1 + vec_id % 4)::DOUBLE AS packages FROM embeddings)"
 
 
 def stops(spark, d) -> DataFrame:
     e = table(spark, d, "embeddings")
-    key = F.concat_ws("-", F.col("label").cast("string"), (F.col("vec_id") % 3).cast("string"))
-    return e.select(key.alias("instance"), F.col("vec_id").alias("stop"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"), (1 + F.col("vec_id") % 4).cast("double").alias("packages"))
+    return e.select(F.floor(F.col("vec_id") / BLOCK).cast("string").alias("instance"), F.col("vec_id").alias("stop"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"), (1 + F.col("vec_id") % 4).cast("double").alias("packages"))
 
 
 @query(f"WITH {_STOPS} SELECT instance, CAST(ceil(sum(packages) / 60) AS BIGINT) AS trucks FROM s GROUP BY 1")

@@ -72,7 +72,7 @@ _TYPO = U.format("p_partkey", "typo")
 
 
 @query(f"""
-WITH l AS (SELECT p_partkey AS truth, p_brand, p_size, CASE WHEN ({_TYPO}) < 0.5 THEN concat(substr(p_name, 2, 1), substr(p_name, 1, 1), substr(p_name, 3)) ELSE p_name END AS said FROM part WHERE p_partkey % 5 = 0),
+WITH l AS (SELECT p_partkey AS truth, p_brand, p_size, CASE WHEN ({_TYPO}) < 0.5 THEN concat(substr(p_name, 2, 1), substr(p_name, 1, 1), substr(p_name, 3)) ELSE p_name END AS said FROM part),
 c AS (SELECT truth, said, p_partkey, levenshtein(said, p_name) + abs(l.p_size - p.p_size) AS gap FROM l JOIN part p ON p.p_brand = l.p_brand AND abs(l.p_size // 5 - p.p_size // 5) <= 1),
 b AS (SELECT *, row_number() OVER (PARTITION BY truth ORDER BY gap, p_partkey DESC) AS n FROM c)
 SELECT truth, p_partkey AS matched, gap, truth = p_partkey AS hit FROM b WHERE n = 1 AND gap <= 3""")
@@ -83,7 +83,7 @@ def match_run(spark, d):
     typo = F.concat(F.substring(name, 2, 1), F.substring(name, 1, 1), F.substring(name, 3, 99))
     said = F.when(S.uniform(F.col("p_partkey"), "typo") < 0.5, typo).otherwise(name)
     block = F.floor(F.col("p_size") / 5)
-    labels = p.where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("truth"), "p_brand", F.col("p_size").alias("size"), said.alias("said"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
+    labels = p.select(F.col("p_partkey").alias("truth"), "p_brand", F.col("p_size").alias("size"), said.alias("said"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
     met = labels.join(p.withColumn("block", block), ["p_brand", "block"])
     met = met.withColumn("gap", (F.levenshtein("said", "p_name") + F.abs(F.col("size") - F.col("p_size"))).cast("long"))
     best = J.best_match(met.withColumn("score", -F.col("gap")), "truth", "score", [F.desc("p_partkey")])

@@ -16,12 +16,12 @@ def fn_trigrams(spark, d):
 
 
 @query(f"""
-WITH g AS (SELECT p_partkey, p_brand, {_GRAMS.format('p_name')} AS g FROM part WHERE p_partkey % 10 = 0)
-SELECT a.p_partkey AS left_key, b.p_partkey AS right_key, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 4) AS jaccard FROM g a JOIN g b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey""")
+WITH g AS (SELECT p_partkey, {_GRAMS.format('p_name')} AS a, {_GRAMS.format("concat(lower(p_type), ' widget')")} AS b FROM part)
+SELECT p_partkey, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 4) AS jaccard FROM g""")
 def fn_jaccard(spark, d):
-    g = table(spark, d, "part").where("p_partkey % 10 = 0").select("p_partkey", "p_brand", T.trigrams(F.col("p_name")).alias("g"))
-    a, b = g.select(F.col("p_partkey").alias("left_key"), "p_brand", F.col("g").alias("a")), g.select(F.col("p_partkey").alias("right_key"), "p_brand", F.col("g").alias("b"))
-    return rounded(a.join(b, "p_brand").where("left_key < right_key").select("left_key", "right_key", T.jaccard(F.col("a"), F.col("b")).alias("jaccard")))
+    """Of two texts of a row."""
+    other = F.concat(F.lower("p_type"), F.lit(" widget"))
+    return rounded(table(spark, d, "part").select("p_partkey", T.jaccard(T.trigrams(F.col("p_name")), T.trigrams(other)).alias("jaccard")))
 
 
 @query("""
@@ -31,9 +31,10 @@ def fn_token_overlap(spark, d):
     return rounded(table(spark, d, "part").select("p_partkey", T.token_overlap(F.col("p_name"), F.lit("red #widget")).alias("overlap")))
 
 
-@query()
+@query("""
+WITH l AS (SELECT p_partkey, string_split(regexp_replace(upper(p_name), '[^A-Z]', '', 'g'), '') AS c FROM part), k AS (SELECT p_partkey, list_filter(c, lambda x, i: i = 1 OR NOT list_contains(['A', 'E', 'I', 'O', 'U'], x)) AS k FROM l)
+SELECT p_partkey, array_to_string(list_filter(k, lambda x, i: i = 1 OR x <> k[i - 1])[1:4], '') AS phonetic FROM k""")
 def fn_phonetic(spark, d):
-    """RE2 has no back references, so there is no SQL here."""
     return table(spark, d, "part").select("p_partkey", T.phonetic(F.col("p_name")).alias("phonetic"))
 
 

@@ -6,7 +6,7 @@ import json
 import math
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -125,6 +125,11 @@ def to_markdown(df: DataFrame, digits: int = 3, most: int = 1000) -> str:
     return "\n".join("| " + " | ".join(r) + " |" for r in [df.columns, ["---"] * len(df.columns), *body])
 
 
+def markdown_line(df: DataFrame) -> Column:
+    """A row as a line of a Markdown table, for reports of any length."""
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]), F.lit(" |"))
+
+
 def routes_long(routes: DataFrame, stops: DataFrame) -> DataFrame:
     """(policy, truck, seq, stop) and the stop's columns, from a row for each policy with nested routes."""
     flat = routes.select("policy", F.posexplode("routes").alias("truck", "route")).select("policy", "truck", F.posexplode("route").alias("seq", "stop"))
