@@ -40,21 +40,19 @@ class Index:
         norm = K1 * (1 - B + B * length / max(length.mean(), 1))
         weight = tf * (K1 + 1) / (tf + norm[doc]) * self.idf[term]
         order = np.argsort(term, kind="stable")
-        self.posting_docs, self.posting_weights = doc[order], weight[order]
-        self.starts = np.concatenate(([0], np.cumsum(df)))
+        # In the types that sums by document take as they are.
+        self.posting_docs, self.posting_weights = doc[order].astype(np.intp), weight[order].astype(np.float64)
+        self.starts = np.concatenate(([0], np.cumsum(df))).tolist()
 
     def neighbours(self, doc: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share a term with `doc`, best score first, ties to the earlier one."""
-        starts = self.starts
-        spans = [(starts[t], starts[t + 1]) for t in self.doc_terms[doc].tolist()]
+        spans = [slice(self.starts[t], self.starts[t + 1]) for t in self.doc_terms[doc].tolist()]
         if not spans:
             return np.zeros(0, np.int64)
-        docs = np.concatenate([self.posting_docs[a:b] for a, b in spans])
-        weights = np.concatenate([self.posting_weights[a:b] for a, b in spans])
-        free = unused[docs]
-        scores = np.bincount(docs[free], weights[free], minlength=1)
-        some = np.flatnonzero(scores)
-        return some[np.lexsort((some, -scores[some]))]
+        docs = np.concatenate([self.posting_docs[s] for s in spans])
+        scores = np.bincount(docs, np.concatenate([self.posting_weights[s] for s in spans]), minlength=self.n)
+        some = np.flatnonzero((scores > 0) & unused)
+        return some[np.argsort(-scores[some], kind="stable")]
 
 
 def filled(docs: list[np.ndarray], size: int) -> Iterator[list[tuple[int, int, int]]]:
@@ -135,7 +133,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int, key: str = "doc_id", te
     return rows.mapInArrow(run, schema)
 
 
-def packed(docs: DataFrame, tokenizer: str, end: int, size: int = 2048, key: str = "doc_id", text: str = "text", shard_ids: int = 1 << 20, part_ids: int = 1 << 25, with_ids: bool = False) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, end: int, size: int = 2048, key: str = "doc_id", text: str = "text", shard_ids: int = 1 << 18, part_ids: int = 1 << 22, with_ids: bool = False) -> DataFrame:
     """Pieces of all rows: key, start (ids of its document before it), length, ids_crc32 (of its ids as little-endian
     unsigned 32-bit integers), doc_tokens (of its document, with `end`), sequence_id, offset (in its sequence), and
     on request ids.
@@ -143,14 +141,14 @@ def packed(docs: DataFrame, tokenizer: str, end: int, size: int = 2048, key: str
     A null text is an empty one: `end` alone. A long text is cut into many pieces. Repeated rows are packed as often as
     they come; rows of one key are told apart by order alone. An empty table gives no pieces; other columns don't
     matter. Sequences have `size` ids, but for the leftovers of a shard, which are powers of two. A shard ends before
-    its documents exceed `shard_ids` ids, but has one at least; a task's part has about `part_ids`, or less where that
-    would leave cores idle.
+    its documents exceed `shard_ids` ids, but has one at least. A task's part has about `part_ids`, or more where that
+    would make over 20,000 parts: memory is a shard's, whatever the part.
     """
     spark = docs.sparkSession
     rows = written(tokenized(docs, tokenizer, end, key, text))
     order = ["near", "key", F.xxhash64("ids")]
     total = rows.agg(F.sum("n")).first()[0] or 0
-    n = max(1, -(-total // part_ids), min(4 * spark.sparkContext.defaultParallelism, -(-total // shard_ids)))
+    n = max(1, min(20_000, -(-total // part_ids)), -(-total // (16 * part_ids)))
     laid = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select(F.spark_partition_id().cast("long").alias("part"), "key", "ids", "n")
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     schema = laid.select("key", *[F.lit(0).cast("long").alias(c) for c in names], *[F.array().cast("array<int>").alias("ids")] * with_ids).schema

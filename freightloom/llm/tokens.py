@@ -70,20 +70,20 @@ def from_planes(planes: list[bytes], n: int, width: int, bits: bool, block: int)
     return out.view(f"<u{width}")[:, 0].astype(np.uint32) if n else np.zeros(0, np.uint32)
 
 
-def encoded(docs: DataFrame, tokenizer: str, end: int | None, key: str = "doc_id", text: str = "text", parts: int | None = None, chunk_ids: int = 1 << 18, bits: bool = False, part_chars: int = 1 << 27) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer: str, end: int | None, key: str = "doc_id", text: str = "text", parts: int | None = None, chunk_ids: int = 1 << 18, bits: bool = False, part_chars: int = 1 << 24) -> DataFrame:
     """Chunks of all rows in ascending order of key (null first; rows with one key in order of their texts' hashes).
 
     A null text is encoded as an empty one; `end`, if given, follows every text. Long texts are taken whole, repeated
     rows come as often as they are there, an empty table gives no chunk, other columns don't matter. `parts` ranges
-    of keys are encoded side by side (default: as many as hold about `part_chars` characters each, or more where that
-    would leave cores idle).
+    of keys are encoded side by side (default: as many as hold about `part_chars` bytes each, or more bytes where that
+    would make over 20,000: memory is a chunk's, whatever the part).
     """
     spark = docs.sparkSession
     order = [F.col("key"), F.xxhash64("text")]
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     if not parts:
         total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        parts = max(1, -(-total // part_chars), min(4 * spark.sparkContext.defaultParallelism, -(-total // (1 << 20))))
+        parts = max(1, min(20_000, -(-total // part_chars)), -(-total // (16 * part_chars)))
     rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
