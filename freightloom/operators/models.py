@@ -13,6 +13,9 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, IsotonicR
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from freightloom.operators.ranked import quantiles
+from freightloom.operators.scratch import dropped, written
+
 
 def _assembled(features: Sequence[str], scaled: bool) -> list:
     parts = [VectorAssembler(inputCols=list(features), outputCol="raw")]
@@ -61,6 +64,28 @@ def quantile_leaves(train: DataFrame, df: DataFrame, features: Sequence[str], la
     return out.select(*df.columns, *[ordered[k].alias(n) for k, n in enumerate(names)])
 
 
+def boosted_quantiles(train: DataFrame, df: DataFrame, features: Sequence[str], label: str, alphas: Sequence[float], rounds: int = 3, depth: int = 3, rate: float = 0.6) -> DataFrame:
+    """`df` with q_<alpha> columns by boosting on the pinball loss: each round's tree splits by the loss's gradient and
+    moves its leaves by the quantile of what is left in them; the quantiles of a row are put in order."""
+    names = [f"q_{round(a * 100):02d}" for a in alphas]
+    rows = train.select(*features, label, F.lit(True).alias("_learns")).unionByName(df.withColumn("_learns", F.lit(False)), allowMissingColumns=True)
+    rows = written(rows.withColumns({n: F.lit(q) for n, q in zip(names, quantiles(train, label, alphas))}))
+    for _ in range(rounds):
+        old = rows
+        for a, n in zip(alphas, names):
+            left = F.col(label) - F.col(n)
+            learning = rows.where("_learns").withColumns({"_left": left, "_slope": F.when(left < 0, a - 1.0).otherwise(a)})
+            tree = DecisionTreeRegressor(labelCol="_slope", maxDepth=depth, minInstancesPerNode=20, leafCol="_leaf", seed=7)
+            model = Pipeline(stages=[*_assembled(features, False), tree]).fit(learning)
+            step = model.transform(learning).groupBy("_leaf").agg(F.percentile("_left", a).alias("_step"))
+            moved = model.transform(rows).join(F.broadcast(step), "_leaf", "left")  # at most 2 ** depth leaves
+            rows = moved.withColumn(n, F.col(n) + rate * F.coalesce("_step", F.lit(0.0))).select(*rows.columns)
+        rows = written(rows)
+        dropped(old)
+    ordered = F.array_sort(F.array(*names))
+    return rows.where("NOT _learns").select(*df.columns, *[ordered[k].alias(n) for k, n in enumerate(names)])
+
+
 def isotonic(train: DataFrame, score: str, label: str, df: DataFrame, name: str = "calibrated") -> DataFrame:
     """`df` with the score made monotone against the label's rate, kept inside (0, 1)."""
     model = IsotonicRegression(featuresCol=score, labelCol=label).fit(train.withColumn(label, F.col(label).cast("double")))

@@ -52,9 +52,64 @@ def ml_linear(spark, d):
 
 @query()
 def ml_quantile_gbt(spark, d):
-    """Quantiles of the price in the leaves of a tree, in order by construction."""
+    """Quantiles of the price by boosted trees, in order."""
     train, test = _split(spark, d)
-    return rounded(M.quantile_leaves(train, test, ["l_quantity", "l_discount", "weekday"], "price", [0.1, 0.5, 0.9]).select("line", "price", "q_10", "q_50", "q_90"))
+    return rounded(M.boosted_quantiles(train, test.select("line", "l_quantity", "l_discount", "weekday", "price"), ["l_quantity", "l_discount", "weekday"], "price", [0.1, 0.5, 0.9]).select("line", "price", "q_10", "q_50", "q_90"))
+
+
+@query()
+def ml_quantile_lane(spark, d):
+    """Quantiles of a lane's week from its recent mean and season, by boosted trees."""
+    from freightloom.operators.windows import trailing_mean
+    from freightloom.plans.variants import lane_weeks
+
+    w = trailing_mean(lane_weeks(spark, d), ["lane"], "week", "n", 28, 2, "mean_4").where("mean_4 IS NOT NULL")
+    w = w.select("lane", "week", F.col("n").cast("double").alias("n"), "mean_4", F.weekofyear("week").cast("double").alias("season"))
+    late = F.col("week") >= F.lit("2000-06-01").cast("date")
+    return rounded(M.boosted_quantiles(w.where(~late), w.where(late), ["mean_4", "season"], "n", [0.1, 0.5, 0.9], rounds=2).select("lane", "week", "n", "q_10", "q_50", "q_90"))
+
+
+@query()
+def ml_gbt_maint(spark, d):
+    """Does a user-day with an error follow within a week? From what the days before show."""
+    from freightloom.operators.joins import asof_after
+    from freightloom.plans.panels import user_days
+
+    u = user_days(spark, d)
+    fails = u.where("failed = 1").select("user_id", F.date_sub("day", 1).alias("next"))
+    df = asof_after(u, fails, ["user_id"], "day", "next")
+    soon = F.coalesce(F.datediff("next", "day") < 7, F.lit(False)).cast("double")
+    df = df.select("user_id", "day", F.col("n").cast("double").alias("n"), "total", F.col("failed").cast("double").alias("failed"), soon.alias("soon"))
+    cut = F.lit("2024-01-20").cast("date")
+    model = M.boosted(df.where(F.col("day") < cut), ["n", "total", "failed"], "soon", trees=6)
+    return rounded(M.probability(model, df.where(F.col("day") >= cut), "risk").select("user_id", "day", "soon", "risk"))
+
+
+@query()
+def ml_pair_scorer(spark, d):
+    """Candidate pairs scored by how likely they are the same, from their distances."""
+    from freightloom.plans.evaluations import _pairs
+
+    pairs = _pairs(spark, d).select("label", "point", F.col("gap").cast("double").alias("gap"), F.pmod(F.abs(F.col("label") - F.col("point")), F.lit(7)).cast("double").alias("apart"), (F.col("label") == F.col("point")).cast("double").alias("y"))
+    return rounded(M.probability(M.logistic(pairs, ["gap", "apart"], "y"), pairs, "score").select("label", "point", "y", "score"))
+
+
+@query()
+def ml_predict_accept(spark, d):
+    """The chance of a return at three prices of each line."""
+    train, test = _split(spark, d)
+    model = M.logistic(train, FEATURES, "returned")
+    priced = test.select("line", *[f for f in FEATURES if f != "price"], F.col("price").alias("own"), F.explode(F.lit([0.9, 1.0, 1.1])).alias("m")).withColumn("price", F.col("own") * F.col("m"))
+    return rounded(M.probability(model, priced).select("line", "m", "p"))
+
+
+@query()
+def ml_isotonic_apply(spark, d):
+    """Calibration learned on early lines and applied to late ones."""
+    train, test = _split(spark, d)
+    model = M.logistic(train, FEATURES, "returned")
+    early, late = M.probability(model, train), M.probability(model, test)
+    return rounded(M.isotonic(early, "p", "returned", late).select("line", "p", "calibrated"))
 
 
 @query()
