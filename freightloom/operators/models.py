@@ -3,12 +3,14 @@ and what a score is made of."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Matrices
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, IsotonicRegression, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,6 +103,49 @@ def contributions(model: PipelineModel, df: DataFrame, key: str, features: Seque
     return df.select(key, F.inline(F.array(*parts)))
 
 
+def tree_contributions(model: PipelineModel, df: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
+    """(key, feature, contribution): what each feature's splits on a row's way through boosted trees add to the root's
+    value, by the trees' weights. With the roots' values they add up to the margin or the value that is predicted.
+    Made of column expressions over the splits, so it runs where the rows are; splits are on numbers."""
+    last = model.stages[-1]
+    sums: dict[int, Column] = {}
+
+    def walk(node, weight: float) -> dict[int, Column]:
+        if node.getClass().getSimpleName() == "LeafNode":
+            return {}
+        f, low, high = node.split().featureIndex(), node.leftChild(), node.rightChild()
+        goes = F.col(features[f]) <= node.split().threshold()
+        parts = [walk(child, weight) for child in (low, high)]
+        own = [weight * (child.prediction() - node.prediction()) for child in (low, high)]
+        zero = F.lit(0.0)
+        return {k: F.when(goes, parts[0].get(k, zero) + (own[0] if k == f else 0.0)).otherwise(parts[1].get(k, zero) + (own[1] if k == f else 0.0)) for k in {f, *parts[0], *parts[1]}}
+
+    for tree, weight in zip(last.trees, last.treeWeights):
+        for k, c in walk(tree._call_java("rootNode"), weight).items():
+            sums[k] = sums[k] + c if k in sums else c
+    return df.select(key, F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), sums.get(k, F.lit(0.0)).alias("contribution")) for k, f in enumerate(features)])))
+
+
+def class_contributions(model: PipelineModel, df: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
+    """(key, class, feature, contribution): each feature's part of each class's score in a scaled multinomial model."""
+    scaler, weights = model.stages[-2], model.stages[-1].coefficientMatrix.toArray()
+    means, stds = scaler.mean.toArray(), scaler.std.toArray()
+    parts = [
+        F.struct(F.lit(c).alias("class"), F.lit(f).alias("feature"), ((F.col(f) - float(m)) / float(s or 1.0) * float(w)).alias("contribution"))
+        for c, row in enumerate(weights) for f, m, s, w in zip(features, means, stds, row)
+    ]
+    return df.select(key, F.inline(F.array(*parts)))
+
+
+def monotone_logistic(train: DataFrame, features: Sequence[str], label: str, signs: dict[str, int], l2: float = 0.01) -> PipelineModel:
+    """A logistic model whose chance rises (1) or falls (-1) in the named features, by bounds on their weights."""
+    n = len(features)
+    low = [0.0 if signs.get(f) == 1 else -math.inf for f in features]
+    high = [0.0 if signs.get(f) == -1 else math.inf for f in features]
+    bounded = LogisticRegression(labelCol=label, regParam=l2, maxIter=50, lowerBoundsOnCoefficients=Matrices.dense(1, n, low), upperBoundsOnCoefficients=Matrices.dense(1, n, high))
+    return Pipeline(stages=[*_assembled(features, True), bounded]).fit(train)
+
+
 def largest_contributions(parts: DataFrame, key: str, k: int) -> DataFrame:
     """The k largest by size for each row, sign kept."""
     w = Window.partitionBy(key).orderBy(F.desc(F.abs("contribution")), "feature")

@@ -144,3 +144,111 @@ def eval_commit(spark, d):
     """Lift of the baseline on rows after its training time."""
     train, test = _split(spark, d)
     return rounded(R.lift(M.probability(M.logistic(train, FEATURES, "returned"), test), [F.desc("p"), F.col("line")], F.col("returned")))
+
+
+def _tree_parts(spark, d, label: str, features: list[str], value: bool) -> DataFrame:
+    train, test = _split(spark, d)
+    model = M.boosted_value(train, features, label, trees=6) if value else M.boosted(train, features, label, trees=6)
+    return rounded(M.tree_contributions(model, test, "line", features))
+
+
+@query()
+def ml_contrib_tree(spark, d):
+    """What each feature adds to a line's margin in boosted trees."""
+    return _tree_parts(spark, d, "returned", FEATURES, False)
+
+
+@query()
+def ml_contrib_eta(spark, d):
+    return _tree_parts(spark, d, "price", ["l_quantity", "l_discount", "weekday"], True)
+
+
+@query()
+def ml_contrib_order(spark, d):
+    return _tree_parts(spark, d, "is_open", ["l_quantity", "price", "l_discount"], False)
+
+
+@query()
+def ml_contrib_volume(spark, d):
+    return _tree_parts(spark, d, "l_quantity", ["price", "weekday"], True)
+
+
+@query()
+def ml_contrib_fleet(spark, d):
+    """What each sensor adds to a user-day's margin."""
+    from freightloom.plans.panels import user_days
+
+    u = user_days(spark, d).select(F.concat_ws("-", "user_id", "day").alias("line"), F.col("n").cast("double").alias("n"), "total", F.col("failed").cast("double").alias("failed"))
+    return rounded(M.tree_contributions(M.boosted(u, ["n", "total"], "failed", trees=6), u, "line", ["n", "total"]))
+
+
+def _class_parts(spark, d) -> DataFrame:
+    train, test = _split(spark, d)
+    of = F.when(F.col("returned") == 1, 0.0).when(F.col("is_open") == 1, 1.0).otherwise(2.0)
+    features = ["l_quantity", "price", "l_discount"]
+    model = M.logistic(train.withColumn("class", of), features, "class")
+    return M.class_contributions(model, test, "line", features)
+
+
+@query()
+def ml_contrib_multi(spark, d):
+    return rounded(_class_parts(spark, d))
+
+
+@query()
+def agg_push_ranking(spark, d):
+    """For each class its features by how much they push towards it."""
+    from pyspark.sql import Window
+
+    pushes = _class_parts(spark, d).groupBy("class", "feature").agg(F.avg(F.greatest("contribution", F.lit(0.0))).alias("push"))
+    return rounded(pushes.withColumn("rank", F.row_number().over(Window.partitionBy("class").orderBy(F.desc("push"), "feature"))))
+
+
+@query()
+def ml_monotone_price(spark, d):
+    """A chance that can only fall as the price rises, at three prices."""
+    train, test = _split(spark, d)
+    model = M.monotone_logistic(train, FEATURES, "returned", {"price": -1})
+    priced = test.select("line", *[f for f in FEATURES if f != "price"], F.col("price").alias("own"), F.explode(F.lit([0.9, 1.0, 1.1])).alias("m")).withColumn("price", F.col("own") * F.col("m"))
+    return rounded(M.probability(model, priced).select("line", "m", "p"))
+
+
+@query()
+def loop_score_day(spark, d):
+    """The last part's lines scored by a model of the days before."""
+    train, test = _split(spark, d)
+    return rounded(M.probability(M.logistic(train, FEATURES, "returned"), test).select("line", "price", "returned", "p"))
+
+
+@query()
+def alloc_run_loop(spark, d):
+    """Train, score, spend the budget by risk or by value, and count what each policy caught."""
+    from freightloom.operators.decide import within_budget
+
+    day = loop_score_day(spark, d).withColumn("cost", F.lit(40.0))
+    out = None
+    for name, order in (("risk", F.desc("p")), ("value", F.desc(F.col("p") * F.col("price")))):
+        top = within_budget(day, [order, F.col("line")], "cost", 4000.0).agg(F.lit(name).alias("policy"), F.count("*").alias("acted"), F.sum("returned").alias("caught"))
+        out = top if out is None else out.unionByName(top)
+    return out
+
+
+def _example(parts: DataFrame, rows: DataFrame, score: str) -> DataFrame:
+    """The row of the largest score and what it is made of, largest parts first."""
+    top = rows.agg(F.max_by("line", F.struct(score, "line")).alias("line"))
+    return rounded(M.largest_contributions(parts.join(F.broadcast(top), "line"), "line", 3))
+
+
+@query()
+def card_example_eta(spark, d):
+    train, test = _split(spark, d)
+    features = ["l_quantity", "l_discount", "weekday"]
+    model = M.boosted_value(train, features, "price", trees=6)
+    return _example(M.tree_contributions(model, test, "line", features), M.predicted(model, test, "forecast"), "forecast")
+
+
+@query()
+def card_example_order(spark, d):
+    train, test = _split(spark, d)
+    model = M.boosted(train, FEATURES, "returned", trees=6)
+    return _example(M.tree_contributions(model, test, "line", FEATURES), M.probability(model, test), "p")
