@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 from freightloom.operators.scratch import written
 
 
-def running(df: DataFrame, order: Sequence[Column], sums: dict[str, Column] | None = None, rank: str = "rank") -> DataFrame:
-    """All rows with a long `rank` (from 1) in a total order, and running sums up to the row, itself included."""
+def running(df: DataFrame, order: Sequence[Column], sums: dict[str, Column] | None = None, rank: str = "rank", keep: Sequence[str] | None = None) -> DataFrame:
+    """All rows with a long `rank` (from 1) in a total order, and running sums up to the row, itself included. Of the
+    columns those in `keep` (default: all) are written and returned."""
     sums = sums or {}
-    laid = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_id": F.monotonically_increasing_id()} | {f"_v_{k}": v for k, v in sums.items()})
+    laid = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    laid = laid.select(*(df.columns if keep is None else keep), *[v.alias(f"_v_{k}") for k, v in sums.items()]).withColumns({"_id": F.monotonically_increasing_id()})
     # The upper bits of the id are the range, the lower 33 the place in it.
     rows = written(laid).withColumn("_part", F.shiftright("_id", 33))
     bases = rows.groupBy("_part").agg(F.count("*").alias("_n"), *[F.sum(f"_v_{k}").alias(f"_s_{k}") for k in sums])
@@ -33,16 +35,16 @@ def running(df: DataFrame, order: Sequence[Column], sums: dict[str, Column] | No
     return out.withColumns({rank: place + F.col("_n")} | {k: F.col(k) + F.col(f"_s_{k}") for k in sums}).drop("_part", "_id", "_n", *[x for k in sums for x in (f"_v_{k}", f"_s_{k}")])
 
 
-def deciles(df: DataFrame, order: Sequence[Column], n: int = 10) -> DataFrame:
-    """All rows with `decile`: ceil(rank / rows * n)."""
-    ranked = running(df, order)
-    size = df.agg(F.count("*").alias("_all"))
+def deciles(df: DataFrame, order: Sequence[Column], n: int = 10, keep: Sequence[str] | None = None) -> DataFrame:
+    """All rows with `decile`: ceil(rank / rows * n); of the columns those in `keep` (default: all)."""
+    ranked = running(df, order, keep=keep)
+    size = ranked.agg(F.max("rank").alias("_all"))
     return ranked.crossJoin(F.broadcast(size)).withColumn("decile", F.ceil(F.col("rank") / F.col("_all") * n).cast("long")).drop("_all", "rank")
 
 
 def lift(df: DataFrame, order: Sequence[Column], label: Column, n: int = 10) -> DataFrame:
     """(decile, n, positives, rate, lift, capture): lift against the base rate, capture cumulative."""
-    by = deciles(df.withColumn("_y", label.cast("double")), order, n).groupBy("decile").agg(F.count("*").alias("n"), F.sum("_y").alias("positives"))
+    by = deciles(df.withColumn("_y", label.cast("double")), order, n, ["_y"]).groupBy("decile").agg(F.count("*").alias("n"), F.sum("_y").alias("positives"))
     every = Window.partitionBy()  # of n rows
     base = F.sum("positives").over(every) / F.sum("n").over(every)
     so_far = Window.orderBy("decile").rowsBetween(Window.unboundedPreceding, 0)
