@@ -5,9 +5,9 @@ the first n - ceil(t n) + 1 of each (its prefix), so pairs are found by a join o
 the smaller of the two prefixes' last values both sets are known whole, which bounds what a pair can share before its
 sets are fetched.
 
-First come the links of SimHash fingerprints at three bits or fewer (at 0.8, sets of equal size differ in about ten),
-and for each of a set's smallest values one other set; their whole sets are compared. This links most copies with rows
-in proportion to the sets. What is left to find are links between different components. Values that many sets of
+First come the links of SimHash fingerprints at three bits or fewer (at 0.8, sets of equal size differ in about ten);
+then, in a few rounds, each set outside the largest component of one of its smallest values is compared with a member
+of it. Whole sets are compared. This links most copies with rows in proportion to the sets. What is left to find are links between different components. Values that many sets of
 different components share (common passages) then go to the end of the order, so that they leave the prefixes of all
 but sets made of them; which values these are changes the work, never the result.
 """
@@ -31,6 +31,8 @@ from freightloom.llm.simhash import components, majority, shingle_hashes
 EPSILON = 1e-9
 #: Values of a set, the smallest, by which it is first compared with others.
 HEADS = 4
+#: Rounds of such comparisons, at most; fewer once one finds nothing.
+ROUNDS = 2
 #: A value is common if so many sets have it in their prefixes; so many of the commonest are put last.
 COMMON, MOST_COMMON = 32, 1 << 16
 
@@ -109,14 +111,25 @@ def links(source: DataFrame, rows: DataFrame, width: int, similarity: float) ->
     sets = written(rows.groupBy("set").agg(F.min("print").alias("print"), F.min("n").alias("n"), F.min("fp").alias("fp")))
     fits = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - EPSILON
     heads = written(rows.select("set", "n", F.explode(F.slice("prefix", 1, HEADS)).alias("value")).distinct())
-    centre = heads.groupBy("value").agg(F.min(F.struct("set", "n")).alias("c"), F.count("*").alias("m")).where("m > 1")
     # Fingerprints: each set with the first one of its fingerprint, and these with each other.
     first = written(sets.groupBy("fp").agg(F.min(F.struct("set", "n")).alias("c")))
     end = lambda side: first.select(F.col("fp").alias(side), F.col("c").alias(f"{side}_c"))
     near = simhash.links(first.select("fp")).join(end("a"), "a").join(end("b"), "b")
-    stars = [sets.join(first, "fp"), heads.join(centre, "value"), near.select("a_c.set", "a_c.n", F.col("b_c").alias("c"))]
-    stars = [x.where((F.col("c.set") != F.col("set")) & fits(F.col("n"), F.col("c.n"))).select(F.col("set").alias("a"), F.col("c.set").alias("b")) for x in stars]
-    starred = _similar(reduce(DataFrame.unionByName, stars).distinct(), sets, source, width, similarity)
+    stars = [sets.join(first, "fp"), near.select("a_c.set", "a_c.n", F.col("b_c").alias("c"))]
+    apart = lambda x: x.where((F.col("c.set") != F.col("set")) & fits(F.col("n"), F.col("c.n"))).select(F.col("set").alias("a"), F.col("c.set").alias("b"))
+    starred = _similar(reduce(DataFrame.unionByName, map(apart, stars)).distinct(), sets, source, width, similarity)
+    # Then rounds of stars: of the sets that share one of their smallest values, those outside the value's largest
+    # component are compared with one member of it, another one for each value and round.
+    for turn in range(ROUNDS):
+        roots = written(components(starred).withColumnRenamed("node", "set"))
+        held = written(heads.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set")))
+        by = held.groupBy("value", "root").agg(F.min(F.struct(F.xxhash64("set", "value", F.lit(turn)), "set", "n")).alias("c"), F.count("*").alias("m"))
+        centre = by.groupBy("value").agg(F.max_by(F.struct("root", "c"), F.struct("m", F.xxhash64("root", "value"))).alias("major"), F.count("*").alias("k")).where("k > 1")
+        stars = held.join(centre, "value").where(F.col("root") != F.col("major.root")).select("set", "n", F.col("major.c").alias("c"))
+        found = _similar(apart(stars).distinct(), sets, source, width, similarity)
+        if found.isEmpty():
+            break
+        starred = written(starred.unionByName(found))
     roots = written(components(starred).withColumnRenamed("node", "set"))
 
     def shared(some: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -133,20 +146,23 @@ def links(source: DataFrame, rows: DataFrame, width: int, similarity: float) ->
     if common:
         dropped(rooted, values)
         rooted, values = shared(written(_sketches(source, width, similarity, np.array(common, np.int64))))
-    met = written(rooted.select("set", "root", "n", F.explode("prefix").alias("value")).join(values.select("value"), "value"))
+    met = written(rooted.select("set", "root", "n", F.posexplode("prefix").alias("at", "value")).join(values.select("value"), "value"))
     major = met.groupBy("value", "root").agg(F.count("*").alias("m")).groupBy("value").agg(F.max_by("root", F.struct("m", "root")).alias("major"))
     met = written(met.join(major, "value").withColumn("minor", F.col("root") != F.col("major")).drop("major"))
-    left = met.where("minor").select("value", F.col("set").alias("a"), F.col("root").alias("a_root"), F.col("n").alias("a_n"))
-    right = met.select("value", F.col("set").alias("b"), F.col("root").alias("b_root"), F.col("n").alias("b_n"), "minor")
-    pairs = left.join(right, "value").where((F.col("a_root") != F.col("b_root")) & (~F.col("minor") | (F.col("a") < F.col("b"))) & fits(F.col("a_n"), F.col("b_n")))
-    # All values that two sets of different components share in their prefixes are here: counted exactly.
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("common"))
-    side = lambda s: rooted.select(F.col("set").alias(s), F.col("n").alias(f"{s}_n"), F.col("last").alias(f"{s}_last"), (F.col("n") - F.size("prefix")).alias(f"{s}_rest"))
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b")
+    left = met.where("minor").select("value", F.col("set").alias("a"), F.col("root").alias("a_root"), F.col("n").alias("a_n"), F.col("at").alias("a_at"))
+    right = met.select("value", F.col("set").alias("b"), F.col("root").alias("b_root"), F.col("n").alias("b_n"), F.col("at").alias("b_at"), "minor")
+    least = similarity / (1 + similarity)
+    # At the first value that a pair shares, no more can be shared than either set has from there on. So sets made of a
+    # common text and something of their own, which come first in the order, meet nobody here.
+    can = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) >= least * (F.col("a_n") + F.col("b_n")) - EPSILON
+    pairs = left.join(right, "value").where((F.col("a_root") != F.col("b_root")) & (~F.col("minor") | (F.col("a") < F.col("b"))) & can)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda s: rooted.select(F.col("set").alias(s), F.col("n").alias(f"{s}_n"), F.col("last").alias(f"{s}_last"), (F.col("n") - F.size("prefix")).alias(f"{s}_rest"), F.col("prefix").alias(f"{s}_prefix"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("a_prefix", "b_prefix")))
     most = F.col("common") + F.when(F.col("a_last") <= F.col("b_last"), F.col("a_rest")).otherwise(F.col("b_rest"))
     # Halved places may tie: then either rest may bound.
     most = F.when(F.col("a_last") == F.col("b_last"), F.col("common") + F.greatest("a_rest", "b_rest")).otherwise(most)
-    pairs = pairs.where(most >= similarity / (1 + similarity) * (F.col("a_n") + F.col("b_n")) - EPSILON).select("a", "b")
+    pairs = pairs.where(most >= least * (F.col("a_n") + F.col("b_n")) - EPSILON).select("a", "b")
     return starred.unionByName(_similar(pairs, sets, source, width, similarity))
 
 
