@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from freightloom.llm.ctw import op11_ctw
 from freightloom.llm.html import op7_html
 from freightloom.llm.langid import op1_langid
 from freightloom.llm.linededup import OP5_SQL, op5_linededup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_tokens": op9_tokens,
     "op10_pieces": op10_pieces,
+    "op11_ctw": op11_ctw,
 }
 
 #: The others tokenize, estimate or follow links; they are tested against brute force.
