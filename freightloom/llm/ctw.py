@@ -14,24 +14,24 @@ asks for the windows and words that it has, and gets back each one's value.
 from __future__ import annotations
 
 import math
-import secrets
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from freightloom.llm.common import dropped, fresh, written
+from freightloom.llm.common import added, dropped, fresh, sliced, written
 
 DEPTH = 5
 #: The bytes for the end of a text and for what lies before its start; UTF-8 has neither.
 END, BEFORE = 0xFE, 0xFF
 #: Lower-cases A-Z and turns the two marks, which only broken texts hold, into another byte that UTF-8 lacks.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 0xFD if c >= END else c for c in range(256))
-_BATCH = 1 << 22
+_BATCH = 1 << 20
 
 
 def folded(text: bytes | None) -> bytes:
@@ -58,14 +58,6 @@ def byte_windows(texts: list[bytes], depth: int) -> np.ndarray:
     return out[buf[depth:] != BEFORE]
 
 
-def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, sorted, with the sums of their counts."""
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))[: len(keys)]
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
-
-
 class Tally:
     """Counts of windows and words of one chunk; what is only scored counts zero."""
 
@@ -76,7 +68,7 @@ class Tally:
     def add(self, texts: list[bytes], train: bool) -> None:
         found, times = np.unique(byte_windows(texts, self.depth), return_counts=True)
         self.parts.append((found, times if train else np.zeros_like(times)))
-        if sum(len(p[0]) for p in self.parts[1:]) > len(self.parts[0][0]) + _BATCH:
+        if sum(len(p[0]) for p in self.parts[1:]) > len(self.parts[0][0]) + 4 * _BATCH:
             self.parts = [self.windows()]
         for t in texts:
             if train:
@@ -89,18 +81,6 @@ class Tally:
         return added(np.concatenate([p[0] for p in self.parts]), np.concatenate([p[1] for p in self.parts]))
 
 
-def sliced(sizes: list[int], bound: int) -> Iterator[range]:
-    """Runs of positions whose sizes sum to about `bound` at most; a larger one is alone."""
-    start, total = 0, 0
-    for k, n in enumerate(sizes):
-        if k > start and total + n > bound:
-            yield range(start, k)
-            start, total = k, 0
-        total += n
-    if len(sizes) > start:
-        yield range(start, len(sizes))
-
-
 def chunked(docs: DataFrame, train: Column, text: str, carry: list[str], depth: int, chunk_bytes: int) -> tuple[DataFrame, list[str]]:
     """Written rows of three kinds: 0 a document with its columns, 1 a window of its chunk, 2 a word of its chunk (the
     empty word stands for ends of texts), with counts over the training texts. The new columns' names are given, too."""
@@ -128,7 +108,8 @@ def chunked(docs: DataFrame, train: Column, text: str, carry: list[str], depth:
                 n = len(some)
                 yield filled(**{rest[0]: pa.array(np.full(n, chunk)), rest[1]: pa.array(np.full(n, 2, np.int32)), rest[3]: pa.array([words[k] for k in some], pa.binary()), rest[4]: pa.array([counts[k] for k in some], pa.int64())})
 
-        chunk, tally, size = 0, None, 0
+        # Numbers by partition: of a partition's attempts one alone is written.
+        chunk, tally, size = TaskContext.get().partitionId() << 32, None, 0
         for batch in batches:
             if not names:
                 names = [*batch.schema.names, *rest]
@@ -137,7 +118,7 @@ def chunked(docs: DataFrame, train: Column, text: str, carry: list[str], depth:
             teaches = batch.column(len(carry) + 1).to_pylist()
             for some in sliced([len(t) for t in texts], _BATCH):
                 if tally is None:
-                    chunk, tally, size = secrets.randbits(62), Tally(depth), 0
+                    chunk, tally, size = chunk + 1, Tally(depth), 0
                 for learn in (True, False):
                     if mine := [texts[k] for k in some if teaches[k] == learn]:
                         tally.add(mine, learn)
@@ -160,7 +141,7 @@ def log_gamma(x: Column) -> Column:
     steps = x
     for k in range(1, 8):
         steps = steps * (x + k)
-    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * F.pow(y, F.lit(3))) + 1 / (1260 * F.pow(y, F.lit(5))) - F.log(steps)
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * F.pow(y, F.lit(3))) + 1 / (1260 * F.pow(y, F.lit(5))) - 1 / (1680 * F.pow(y, F.lit(7))) - F.log(steps)
 
 
 def log_kt(zeros: Column, ones: Column) -> Column:
@@ -205,8 +186,17 @@ def weighted(windows: DataFrame, depth: int = DEPTH) -> DataFrame:
             up = down.select(F.col("node").alias("up"), "one", "left")
             both = mine.join(up, mine["node"].bitwiseAND((1 << (8 * d)) - 1) == up["up"])
             down = both.select("node", (F.col("one") + F.col("left") * F.col("share") * F.col("p")).alias("one"), (F.col("left") * (1 - F.col("share"))).alias("left"))
-    chance = F.when(F.col("bit") == 1, F.col("one")).otherwise(1 - F.col("one"))
-    out = written(_decisions(windows.select("window")).join(down.select("node", "one"), "node").groupBy("window").agg(F.sum(F.log2(chance)).alias("log2_p")))
+    # Of the same bytes before there are 255 nodes at most: they go to their windows together.
+    context = lambda c: F.shiftright(c, 8)
+    nodes = down.groupBy(context("node").alias("context")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("node").bitwiseAND(255), "one"))).alias("ones"))
+    both = windows.select("window", context("window").alias("context")).join(nodes, "context")
+    byte = F.col("window").bitwiseAND(255)
+
+    def decided(k: int) -> Column:
+        one = F.element_at("ones", F.shiftright(byte, 8 - k).bitwiseOR(1 << k))
+        return F.log2(F.when(F.shiftright(byte, 7 - k).bitwiseAND(1) == 1, one).otherwise(1 - one))
+
+    out = written(both.select("window", sum((decided(k) for k in range(1, 8)), decided(0)).alias("log2_p")))
     dropped(*levels)
     return out
 
@@ -249,12 +239,14 @@ def scored(docs: DataFrame, train: Column, text: str = "text", carry: list[str]
     table, (body, _, chunk, kind, window, word, times) = chunked(docs, train, text, carry, depth, chunk_bytes)
     asked = table.where(F.col(kind) > 0).select(F.col(chunk).alias("chunk"), F.col(window).alias("window"), F.col(word).alias("word"), F.col(times).alias("times"))
     windows = written(asked.where("window IS NOT NULL").groupBy("window").agg(F.sum("times").alias("times")))
-    words = written(asked.where("word IS NOT NULL").groupBy("word").agg(F.sum("times").alias("times")))
-    total, distinct = words.where("times > 0").agg(F.coalesce(F.sum("times"), F.lit(0)), F.count("*")).first()
+    # A word's rows are one for each chunk that has it, the first of them stands for the word.
+    by_word = Window.partitionBy("word")
+    words = written(asked.where("word IS NOT NULL").select("chunk", "word", F.sum("times").over(by_word).alias("times"), (F.row_number().over(by_word.orderBy("chunk")) == 1).alias("first")))
+    total, distinct = words.where("first AND times > 0").agg(F.coalesce(F.sum("times"), F.lit(0)), F.count("*")).first()
     values = weighted(windows, depth)
     told = (
         asked.where("window IS NOT NULL").select("chunk", "window").join(values, "window").select("chunk", "window", F.lit(None).cast("binary").alias("word"), F.col("log2_p").alias("value"))
-        .unionByName(asked.where("word IS NOT NULL").select("chunk", "word").join(words, "word").select("chunk", F.lit(None).cast("long").alias("window"), "word", F.col("times").cast("double").alias("value")))
+        .unionByName(words.select("chunk", F.lit(None).cast("long").alias("window"), "word", F.col("times").cast("double").alias("value")))
     )
     texts = table.where(F.col(kind) == 0).select(F.col(chunk).alias(chunk), *carry, F.col(body).alias(body))
     result = docs.select(*carry)
