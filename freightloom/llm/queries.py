@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from freightloom.llm.codes import op13_codes
 from freightloom.llm.ctw import op11_ctw
 from freightloom.llm.html import op7_html
 from freightloom.llm.langid import op1_langid
 from freightloom.llm.linededup import OP5_SQL, op5_linededup
 from freightloom.llm.packing import op8_packing
+from freightloom.llm.phrases import OP12_SQL, op12_phrases
 from freightloom.llm.pieces import op10_pieces
 from freightloom.llm.quality import op3_quality
 from freightloom.llm.simhash import op2_simhash
@@ -26,7 +28,9 @@ QUERIES = {
     "op9_tokens": op9_tokens,
     "op10_pieces": op10_pieces,
     "op11_ctw": op11_ctw,
+    "op12_phrases": op12_phrases,
+    "op13_codes": op13_codes,
 }
 
 #: The others tokenize, estimate or follow links; they are tested against brute force.
-ORACLES = {"op4_topk": OP4_SQL, "op5_linededup": OP5_SQL, "op6_urls": OP6_SQL}
+ORACLES = {"op4_topk": OP4_SQL, "op5_linededup": OP5_SQL, "op6_urls": OP6_SQL, "op12_phrases": OP12_SQL}

@@ -27,8 +27,8 @@ def odd(spark, tmp_path_factory):
         folder = str(tmp_path_factory.mktemp("odd"))
         for name, data, schema in (
             ("documents", documents, f"doc_id long, text string, lang string, source string, n_chars long, {extra}"),
-            ("embeddings", vectors, "vec_id long, embedding array<double>"),
-            ("pages", pages, "page_id long, url string, html string"),
+            ("embeddings", [(*v, k % 2 or None, *own) for k, v in enumerate(vectors)], f"vec_id long, embedding array<double>, label int, {extra}"),
+            ("pages", [(*p, *own) for p in pages], f"page_id long, url string, html string, {extra}"),
         ):
             spark.createDataFrame(data if rows else [], schema).write.parquet(f"{folder}/{name}.parquet")
         folders.append(folder)
@@ -38,10 +38,15 @@ def odd(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", queries.QUERIES)
 def test_odd_rows_and_empty_tables(spark, odd, name):
     full, empty = odd
-    source = "embeddings" if "topk" in name else "pages" if "urls" in name or "html" in name else "documents"
+    source = "embeddings" if "topk" in name or "codes" in name else "pages" if "urls" in name or "html" in name else "documents"
     got, n = queries.QUERIES[name](spark, full).collect(), spark.read.parquet(f"{full}/{source}.parquet").count()
     if name == "op4_topk":
         assert {r["query_id"] for r in got} == {0, 100, 500} and all(r["rank"] <= 10 for r in got) and sum(r["vec_id"] == 7 for r in got) == 6
+    elif name == "op12_phrases":
+        assert {(r["lang"], r["phrase"]) for r in got} <= {("en", "word0"), ("und", "word0")}  # the long texts have 3,000 words once each
+    elif name == "op13_codes":
+        # Of the odd vectors four are null or hold a null or a NaN.
+        assert len(got) == 6 and all(len(r["code"]) == 8 and r["error"] == 0 for r in got) and len({r["codebooks_sha256"] for r in got}) == 1
     elif name == "op8_packing":
         assert {r["doc_id"] for r in got} == {*range(len(TEXTS)), None} and sum(r["length"] for r in got if r["doc_id"] == 0) == 1
     else:
