@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -134,3 +135,26 @@ def quantile_edges(df: DataFrame, value: str, qs: Sequence[float]) -> DataFrame:
     """One row (q1, q2, ...) of `quantiles`."""
     names = ", ".join(f"q{k} double" for k in range(1, len(qs) + 1))
     return df.sparkSession.createDataFrame([tuple(quantiles(df, value, qs))], names)
+
+
+def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """(keys, names): exact quantiles with linear interpolation of each group's values that aren't null, for all groups
+    and shares at once; a group of nulls alone has nulls.
+
+    Rows are counted by group and value, those counts ranked by group and value in ranges of any size, and a group's rows
+    may lie in many ranges: no task holds a group. The counts at a share's place are found by their running sums.
+    """
+    v = F.col(value).cast("double")
+    groups = df.select(*keys).distinct()
+    by = df.where(v.isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count("*").alias("_k"))
+    run = running(by, [*[F.col(k).asc_nulls_first() for k in keys], F.asc("_v")], {"_upto": F.col("_k")})
+    ends = run.groupBy(*keys).agg(F.min(F.col("_upto") - F.col("_k")).alias("_base"), F.sum("_k").alias("_n"))
+    ends = ends.select(*[F.col(k).alias(f"_g_{k}") for k in keys], "_base", "_n")
+    placed = run.join(ends, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys]))
+    upto, below = F.col("_upto") - F.col("_base"), F.col("_upto") - F.col("_base") - F.col("_k")
+    at = [(F.col("_n") - 1) * float(q) for q in qs]
+    holds = lambda place: F.max(F.when((below <= place) & (place < upto), F.col("_v")))
+    found = placed.groupBy(*keys).agg(F.max("_n").alias("_n"), *[x for k, a in enumerate(at) for x in (holds(F.floor(a)).alias(f"_lo{k}"), holds(F.ceil(a)).alias(f"_hi{k}"))])
+    part = lambda k: F.col(f"_lo{k}") + (F.col(f"_hi{k}") - F.col(f"_lo{k}")) * (at[k] - F.floor(at[k]))
+    found = found.select(*[F.col(k).alias(f"_g_{k}") for k in keys], *[part(k).alias(n) for k, n in enumerate(names)])
+    return groups.join(found, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys]), "left").select(*keys, *names)
