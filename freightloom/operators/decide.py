@@ -7,8 +7,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from freightloom.operators.ranked import running
+from freightloom.operators.scan import carried
 from freightloom.operators.scratch import dropped, written
 
 
@@ -30,28 +32,56 @@ def within_budget(df: DataFrame, order: Sequence[Column], cost: str, budget: flo
     return running(df, order, {"spent": F.col(cost)}).where(F.col("spent") <= budget)
 
 
-def greedy_fill(df: DataFrame, order: Sequence[Column], cost: str, budget: float) -> DataFrame:
-    """Rows in order; one that doesn't fit is passed over and the scan goes on.
+def greedy_fill(df: DataFrame, order: Sequence[Column], cost: str, budget: float, parts: int = 1024) -> DataFrame:
+    """Rows in order; one that doesn't fit is passed over and the scan goes on. Rows without a cost are never taken, costs
+    may not be negative (ValueError).
 
-    The rows before the first misfit come from running sums. After it only rows that still fit alone are candidates;
-    each round takes the longest run of them that fits, so rounds are as many as misfits between runs, at most the
-    number of distinct costs: after a round the money left is under the cost of the row that stopped it, and rows of
-    that cost or more are gone for good.
+    The money left only falls, so a cost that doesn't fit once never fits again, and costs close one after the other, from
+    the largest down. While none closes, all rows of open costs are taken: where the largest open one closes follows from
+    sums alone. The place is searched by sums over `parts` ranges of ranks at a time, which come to the driver. The ranked
+    rows are written once; passes are as many as costs that close while there are rows left.
     """
-    left, picked, rest = float(budget), None, df
+    ranked = running(df.withColumn("_cost", F.col(cost).cast("double")), order, rank="_rank")
+    c, rank = F.col("_cost"), F.col("_rank")
+    n, least = ranked.agg(F.count("*"), F.min(c)).first()
+    if (least or 0.0) < 0:
+        raise ValueError("costs may not be negative")
+    left, at, phases = float(budget), 0, []  # (what is left, the rank up to which costs of that much are taken)
     while True:
-        rest = rest.where(F.col(cost) <= left)
-        ranked = running(rest, order, {"_spent": F.col(cost)})
-        # Running sums only grow, so the fitting rows are those before the first misfit.
-        took = ranked.where(F.col("_spent") <= left)
-        row = took.agg(F.coalesce(F.max("_spent"), F.lit(0.0)), F.coalesce(F.max("rank"), F.lit(0))).first()
-        rows = took.drop("_spent", "rank")
-        picked = rows if picked is None else picked.unionByName(rows)
-        after = ranked.where(F.col("rank") > row[1]).drop("_spent", "rank")
-        left -= row[0]
-        if not row[1] or after.where(F.col(cost) <= left).isEmpty():
-            return picked
-        rest = after
+        rest = ranked.where((rank > at) & (c <= left))
+        largest = rest.agg(F.max(c)).first()[0]
+        found = None if largest is None else _passed(rest, rank, c, at, n, left - largest, parts)
+        if found is None:
+            phases.append((left, n))
+            break
+        phases.append((left, found[0]))
+        at, left = found[0], left - found[1]
+
+    def until(some: list[tuple[float, int]]) -> Column:
+        """The last rank at which a row's cost is still open."""
+        half = len(some) // 2
+        return F.when(c > some[half][0], until(some[:half])).otherwise(until(some[half:])) if half else F.lit(some[0][1])
+
+    return ranked.where((c <= float(budget)) & (rank <= until(phases))).select(*df.columns)
+
+
+def _passed(rows: DataFrame, rank: Column, value: Column, low: int, high: int, limit: float, parts: int) -> tuple[int, float] | None:
+    """The first rank at which the running sum of the values, which aren't negative, is over the limit, and that sum; None
+    if there is none. Each pass adds up at most `parts` ranges of ranks, and looks into one of them next."""
+    before = 0.0
+    while True:
+        width = -(-(high - low) // parts)
+        k = F.floor((rank - low - 1) / width)
+        for r in rows.where((rank > low) & (rank <= high)).groupBy(k.alias("k")).agg(F.sum(value).alias("s")).orderBy("k").collect():
+            if before + r["s"] > limit:
+                break
+            before += r["s"]
+        else:
+            return None
+        low += r["k"] * width
+        if width == 1:
+            return low + 1, before + r["s"]
+        high = min(high, low + width)
 
 
 def best_price(df: DataFrame, price: Column, margin: Column, grid: str, keys: Sequence[str]) -> DataFrame:
@@ -83,30 +113,39 @@ def area_over_diagonal(curve: DataFrame) -> DataFrame:
 
 
 def cooled_down(df: DataFrame, keys: Sequence[str], day: str, days: int) -> DataFrame:
-    """Flags as actions: a flagged day acts only if the key's last action is `days` or more days before.
-
-    What a day does depends on the action before it, so each key's flagged days are folded in order.
-    """
-    fold = df.groupBy(*keys).agg(F.array_sort(F.collect_set(F.datediff(F.col(day), F.lit("1970-01-01")))).alias("_d"))
-    start = F.struct(F.lit(None).cast("int").alias("last"), F.array().cast("array<int>").alias("out"))
+    """Flags as actions: a flagged day acts only if the key's last action is `days` or more days before. Days that a
+    key has twice act once; rows without a day don't act. Keys with very many days are read in bounded memory."""
+    rows = df.where(F.col(day).isNotNull()).select(*keys, F.col(day).cast("date").alias(day), F.unix_date(F.col(day).cast("date")).alias("_n"))
 
-    def step(a, d):
-        acts = a["last"].isNull() | (d - a["last"] >= days)
-        return F.struct(F.when(acts, d).otherwise(a["last"]).alias("last"), F.when(acts, F.concat(a["out"], F.array(d))).otherwise(a["out"]).alias("out"))
+    def fold(last, columns):
+        kept = []
+        for k, n in enumerate(columns[1]):
+            if last is None or n - last >= max(days, 1):
+                kept.append(k)
+                last = n
+        return last, kept, []
 
-    return fold.select(*keys, F.explode(F.aggregate("_d", start, step, lambda a: a["out"])).alias("_d")).select(*keys, F.date_add(F.lit("1970-01-01").cast("date"), F.col("_d")).alias(day))
+    return carried(rows, keys, [F.col("_n")], [day, "_n"], fold, []).drop("_n")
 
 
 def cusum(df: DataFrame, keys: Sequence[str], day: str, z: str, k: float, h: float) -> DataFrame:
-    """(keys, day, s, alarm): S = max(0, S + z - k) along each key's days; an alarm at h sets S back to 0."""
-    fold = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(day).alias("day"), F.col(z).alias("z")))).alias("_p"))
-    start = F.struct(F.lit(0.0).alias("s"), F.array().cast("array<struct<day:date,s:double,alarm:boolean>>").alias("out"))
-
-    def step(a, p):
-        s = F.greatest(F.lit(0.0), a["s"] + p["z"] - k)
-        return F.struct(F.when(s >= h, 0.0).otherwise(s).alias("s"), F.concat(a["out"], F.array(F.struct(p["day"].alias("day"), s.alias("s"), (s >= h).alias("alarm")))).alias("out"))
-
-    return fold.select(*keys, F.inline(F.aggregate("_p", start, step, lambda a: a["out"])))
+    """(keys, day, s, alarm): S = max(0, S + z - k) along each key's days; an alarm at h sets S back to 0. A day without a
+    value keeps S. Days that a key has twice go in order of their values. Keys with very many days are read in bounded
+    memory."""
+
+    def fold(state, columns):
+        s, sums = state or 0.0, []
+        for x in columns[1]:
+            if x is not None:
+                s = max(0.0, s + x - k)
+            sums.append(s)
+            if s >= h:
+                s = 0.0
+        return s, list(range(len(sums))), [sums, [x >= h for x in sums]]
+
+    rows = df.select(*keys, F.col(day).alias("day"), F.col(z).cast("double").alias("_z"))
+    out = carried(rows, keys, [F.col("day").asc_nulls_last(), F.col("_z").asc_nulls_first()], ["day", "_z"], fold, [("s", T.DoubleType()), ("alarm", T.BooleanType())])
+    return out.select(*keys, "day", "s", "alarm")
 
 
 def coupled_cusum(df: DataFrame, day: str, lane: str, z: str, weight: str, k: float, h: float, suspect: float) -> DataFrame:

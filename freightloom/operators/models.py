@@ -15,7 +15,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, IsotonicR
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from freightloom.operators.ranked import quantiles
+from freightloom.operators.ranked import group_quantiles, quantiles
 from freightloom.operators.scratch import dropped, written
 
 
@@ -60,7 +60,7 @@ def quantile_leaves(train: DataFrame, df: DataFrame, features: Sequence[str], la
     tree = DecisionTreeRegressor(labelCol=label, maxDepth=depth, minInstancesPerNode=20, leafCol="leaf", seed=7)
     model = Pipeline(stages=[*_assembled(features, False), tree]).fit(train)
     names = [f"q_{round(a * 100):02d}" for a in alphas]
-    leaves = model.transform(train).groupBy("leaf").agg(*[F.percentile(label, a).alias(n) for a, n in zip(alphas, names)])
+    leaves = group_quantiles(model.transform(train), ["leaf"], label, alphas, names)
     out = model.transform(df).join(F.broadcast(leaves), "leaf", "left")  # at most 2 ** depth leaves
     ordered = F.array_sort(F.array(*names))
     return out.select(*df.columns, *[ordered[k].alias(n) for k, n in enumerate(names)])
@@ -79,7 +79,7 @@ def boosted_quantiles(train: DataFrame, df: DataFrame, features: Sequence[str],
             learning = rows.where("_learns").withColumns({"_left": left, "_slope": F.when(left < 0, a - 1.0).otherwise(a)})
             tree = DecisionTreeRegressor(labelCol="_slope", maxDepth=depth, minInstancesPerNode=20, leafCol="_leaf", seed=7)
             model = Pipeline(stages=[*_assembled(features, False), tree]).fit(learning)
-            step = model.transform(learning).groupBy("_leaf").agg(F.percentile("_left", a).alias("_step"))
+            step = group_quantiles(model.transform(learning), ["_leaf"], "_left", [a], ["_step"])
             moved = model.transform(rows).join(F.broadcast(step), "_leaf", "left")  # at most 2 ** depth leaves
             rows = moved.withColumn(n, F.col(n) + rate * F.coalesce("_step", F.lit(0.0))).select(*rows.columns)
         rows = written(rows)
@@ -103,40 +103,6 @@ def contributions(model: PipelineModel, df: DataFrame, key: str, features: Seque
     return df.select(key, F.inline(F.array(*parts)))
 
 
-def tree_contributions(model: PipelineModel, df: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
-    """(key, feature, contribution): what each feature's splits on a row's way through boosted trees add to the root's
-    value, by the trees' weights. With the roots' values they add up to the margin or the value that is predicted.
-    Made of column expressions over the splits, so it runs where the rows are; splits are on numbers."""
-    last = model.stages[-1]
-    sums: dict[int, Column] = {}
-
-    def walk(node, weight: float) -> dict[int, Column]:
-        if node.getClass().getSimpleName() == "LeafNode":
-            return {}
-        f, low, high = node.split().featureIndex(), node.leftChild(), node.rightChild()
-        goes = F.col(features[f]) <= node.split().threshold()
-        parts = [walk(child, weight) for child in (low, high)]
-        own = [weight * (child.prediction() - node.prediction()) for child in (low, high)]
-        zero = F.lit(0.0)
-        return {k: F.when(goes, parts[0].get(k, zero) + (own[0] if k == f else 0.0)).otherwise(parts[1].get(k, zero) + (own[1] if k == f else 0.0)) for k in {f, *parts[0], *parts[1]}}
-
-    for tree, weight in zip(last.trees, last.treeWeights):
-        for k, c in walk(tree._call_java("rootNode"), weight).items():
-            sums[k] = sums[k] + c if k in sums else c
-    return df.select(key, F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), sums.get(k, F.lit(0.0)).alias("contribution")) for k, f in enumerate(features)])))
-
-
-def class_contributions(model: PipelineModel, df: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
-    """(key, class, feature, contribution): each feature's part of each class's score in a scaled multinomial model."""
-    scaler, weights = model.stages[-2], model.stages[-1].coefficientMatrix.toArray()
-    means, stds = scaler.mean.toArray(), scaler.std.toArray()
-    parts = [
-        F.struct(F.lit(c).alias("class"), F.lit(f).alias("feature"), ((F.col(f) - float(m)) / float(s or 1.0) * float(w)).alias("contribution"))
-        for c, row in enumerate(weights) for f, m, s, w in zip(features, means, stds, row)
-    ]
-    return df.select(key, F.inline(F.array(*parts)))
-
-
 def monotone_logistic(train: DataFrame, features: Sequence[str], label: str, signs: dict[str, int], l2: float = 0.01) -> PipelineModel:
     """A logistic model whose chance rises (1) or falls (-1) in the named features, by bounds on their weights."""
     n = len(features)
@@ -158,8 +124,13 @@ def driver_ranking(parts: DataFrame) -> DataFrame:
     return by.withColumn("share", F.col("strength") / F.sum("strength").over(Window.partitionBy()))
 
 
+#: Ways to say who should be treated.
+UPLIFT = ("s", "t", "dr", "risk")
+
+
 def uplift_scores(df: DataFrame, features: Sequence[str], treated: str, outcome: str, fold: Column, folds: int = 4) -> DataFrame:
-    """`df` with scores of who gains from treatment: s (one model), t (two models), dr (cross-fitted, doubly robust).
+    """`df` with scores of who gains from treatment: s (one model), t (two models), dr (cross-fitted, doubly robust), and
+    risk, which says only who is likely to lose untreated: a model of the controls.
 
     The outcome is a loss (1 is bad), so a gain is the untreated risk less the treated one.
     """
@@ -181,4 +152,4 @@ def uplift_scores(df: DataFrame, features: Sequence[str], treated: str, outcome:
         part = part.withColumn("_value", value)
         pseudo = part if pseudo is None else pseudo.unionByName(part)
     scored = predicted(linear(pseudo, features, "_value"), scored, "dr")
-    return scored.withColumns({"s": F.col("_s0") - F.col("_s1"), "t": F.col("_t0") - F.col("_t1")}).select(*df.columns, "s", "t", "dr")
+    return scored.withColumns({"s": F.col("_s0") - F.col("_s1"), "t": F.col("_t0") - F.col("_t1"), "risk": F.col("_t0")}).select(*df.columns, *UPLIFT)

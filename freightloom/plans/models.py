@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freightloom.functions import scalar as S
+from freightloom.operators import boosting as B
 from freightloom.operators import models as M
 from freightloom.operators import ranked as R
+from freightloom.operators import shapley as H
+from freightloom.operators import stored as K
+from freightloom.operators.scratch import new_path
 from freightloom.plans.registry import query, rounded, table
 
 FEATURES = ["l_quantity", "price", "l_discount", "l_tax", "weekday", "is_open"]
@@ -65,13 +69,24 @@ def ml_quantile_lane(spark, d):
 
     w = trailing_mean(lane_weeks(spark, d), ["lane"], "week", "n", 28, 2, "mean_4").where("mean_4 IS NOT NULL")
     w = w.select("lane", "week", F.col("n").cast("double").alias("n"), "mean_4", F.weekofyear("week").cast("double").alias("season"))
-    late = F.col("week") >= F.lit("2000-06-01").cast("date")
+    late = F.col("week") >= F.lit(_day_at(w, "week", 0.8))
     return rounded(M.boosted_quantiles(w.where(~late), w.where(late), ["mean_4", "season"], "n", [0.1, 0.5, 0.9], rounds=2).select("lane", "week", "n", "q_10", "q_50", "q_90"))
 
 
-@query()
-def ml_gbt_maint(spark, d):
-    """Does a user-day with an error follow within a week? From what the days before show."""
+def _day_at(df: DataFrame, day: str, share: float):
+    """The day up to which that share of the rows lies."""
+    from datetime import date, timedelta
+
+    number = R.quantiles(df.select(F.unix_date(day).alias("n")), "n", [share])[0]
+    return date(1970, 1, 1) + timedelta(days=round(number or 0))
+
+
+SENSORS = ["n", "total", "failed"]
+
+
+def sensor_days(spark, d) -> DataFrame:
+    """User-days with what they show, and whether one with an error follows within a week; the last third of the rows is
+    the test part, the last sixth before it is late."""
     from freightloom.operators.joins import asof_after
     from freightloom.plans.panels import user_days
 
@@ -80,9 +95,26 @@ def ml_gbt_maint(spark, d):
     df = asof_after(u, fails, ["user_id"], "day", "next")
     soon = F.coalesce(F.datediff("next", "day") < 7, F.lit(False)).cast("double")
     df = df.select("user_id", "day", F.col("n").cast("double").alias("n"), "total", F.col("failed").cast("double").alias("failed"), soon.alias("soon"))
-    cut = F.lit("2024-01-20").cast("date")
-    model = M.boosted(df.where(F.col("day") < cut), ["n", "total", "failed"], "soon", trees=6)
-    return rounded(M.probability(model, df.where(F.col("day") >= cut), "risk").select("user_id", "day", "soon", "risk"))
+    return df.withColumns({"is_test": F.col("day") > F.lit(_day_at(df, "day", 2 / 3)), "is_late": F.col("day") > F.lit(_day_at(df, "day", 0.55))})
+
+
+@query()
+def ml_gbt_maint(spark, d):
+    """Does a user-day with an error follow within a week? As many trees as serve on the late part, fitted on both."""
+    df = sensor_days(spark, d)
+    model, probe = B.fit_counted(df.where("NOT is_test"), SENSORS, "soon", F.col("is_late"), most=8, rate=0.4)
+    out = df.where("is_test").withColumns({"risk": model.chances()[0], "trees": F.lit(model.rounds), "probe_loss": F.lit(float(probe.curve[B.best_rounds(probe)][1] or 0.0))})
+    return rounded(out.select("user_id", "day", "soon", "risk", "trees", "probe_loss"))
+
+
+@query()
+def ml_score_policies(spark, d):
+    """A score for each policy on the same rows: by age of the last error, by use, by a line, by trees."""
+    df = sensor_days(spark, d)
+    train, test = df.where("NOT is_test"), df.where("is_test")
+    trees = B.fit(train, SENSORS, "soon", rounds=4)
+    scored = M.probability(M.logistic(train, SENSORS, "soon"), test, "line").withColumn("trees", trees.chances()[0])
+    return rounded(scored.select("user_id", "day", "soon", F.col("failed").alias("rule"), F.col("n").alias("use"), "line", "trees"))
 
 
 @query()
@@ -136,7 +168,18 @@ def agg_driver_ranking(spark, d):
 def ml_uplift_fit(spark, d):
     df = lines(spark, d)
     out = M.uplift_scores(df, ["l_quantity", "price", "l_discount", "l_tax"], "treated", "returned", F.pmod(F.xxhash64("line"), F.lit(4)))
-    return rounded(out.select("line", "treated", "s", "t", "dr"))
+    return rounded(out.select("line", "treated", *M.UPLIFT))
+
+
+@query()
+def ml_uplift_score(spark, d):
+    """Each row's score by each way of saying who should be treated, and its place among all by that score."""
+    out = M.uplift_scores(lines(spark, d), ["l_quantity", "price", "l_discount", "l_tax"], "treated", "returned", F.pmod(F.xxhash64("line"), F.lit(4)))
+    long = None
+    for name in M.UPLIFT:
+        ranked = R.running(out.select("line", F.col(name).alias("score")), [F.desc("score"), F.col("line")]).select("line", F.lit(name).alias("method"), "score", "rank")
+        long = ranked if long is None else long.unionByName(ranked)
+    return rounded(long)
 
 
 @query()
@@ -146,10 +189,15 @@ def eval_commit(spark, d):
     return rounded(R.lift(M.probability(M.logistic(train, FEATURES, "returned"), test), [F.desc("p"), F.col("line")], F.col("returned")))
 
 
+def _parts(model, df: DataFrame, features: list[str]) -> DataFrame:
+    """Exact Shapley values of the trees at the end of a pipeline."""
+    return H.shapley(H.of_pipeline(model, features), df, "line").drop("output")
+
+
 def _tree_parts(spark, d, label: str, features: list[str], value: bool) -> DataFrame:
     train, test = _split(spark, d)
     model = M.boosted_value(train, features, label, trees=6) if value else M.boosted(train, features, label, trees=6)
-    return rounded(M.tree_contributions(model, test, "line", features))
+    return rounded(_parts(model, test, features))
 
 
 @query()
@@ -179,15 +227,16 @@ def ml_contrib_fleet(spark, d):
     from freightloom.plans.panels import user_days
 
     u = user_days(spark, d).select(F.concat_ws("-", "user_id", "day").alias("line"), F.col("n").cast("double").alias("n"), "total", F.col("failed").cast("double").alias("failed"))
-    return rounded(M.tree_contributions(M.boosted(u, ["n", "total"], "failed", trees=6), u, "line", ["n", "total"]))
+    return rounded(_parts(M.boosted(u, ["n", "total"], "failed", trees=6), u, ["n", "total"]))
 
 
 def _class_parts(spark, d) -> DataFrame:
+    """Shapley values of each class's score in trees boosted for three classes."""
     train, test = _split(spark, d)
     of = F.when(F.col("returned") == 1, 0.0).when(F.col("is_open") == 1, 1.0).otherwise(2.0)
     features = ["l_quantity", "price", "l_discount"]
-    model = M.logistic(train.withColumn("class", of), features, "class")
-    return M.class_contributions(model, test, "line", features)
+    model = B.fit(train.withColumn("class", of), features, "class", loss="softmax", classes=3, rounds=3)
+    return H.shapley(model, test, "line", ["returned", "open", "closed"]).withColumnRenamed("output", "class")
 
 
 @query()
@@ -206,18 +255,45 @@ def agg_push_ranking(spark, d):
 
 @query()
 def ml_monotone_price(spark, d):
-    """A chance that can only fall as the price rises, at three prices."""
+    """A chance that can only fall as the price rises, at three prices: boosted trees whose splits keep the direction."""
     train, test = _split(spark, d)
-    model = M.monotone_logistic(train, FEATURES, "returned", {"price": -1})
+    model = B.fit(train, FEATURES, "returned", rounds=6, signs={"price": -1})
     priced = test.select("line", *[f for f in FEATURES if f != "price"], F.col("price").alias("own"), F.explode(F.lit([0.9, 1.0, 1.1])).alias("m")).withColumn("price", F.col("own") * F.col("m"))
-    return rounded(M.probability(model, priced).select("line", "m", "p"))
+    return rounded(priced.select("line", "m", model.chances()[0].alias("p")))
+
+
+def _trained(spark, d) -> tuple[str, DataFrame]:
+    """A folder with the loop's model, learned on the days before, and the last part's lines."""
+    train, test = _split(spark, d)
+    model = B.fit(train, FEATURES, "returned", rounds=5, apart=F.col("is_late"))
+    best = model.first(max(1, B.best_rounds(model)))
+    return K.save(best, new_path(spark), train, FEATURES, "returned", {"rows": str(train.count()), "rounds": str(best.rounds)}), test
 
 
 @query()
-def loop_score_day(spark, d):
-    """The last part's lines scored by a model of the days before."""
+def loop_train(spark, d):
+    """The contract of the loop's stored model, as it is read back."""
+    path, _ = _trained(spark, d)
+    back = K.load(spark, path)
+    rows = [("feature", f, t, k) for k, (f, t) in enumerate(back.features.items(), 1)] + [("label", back.label, None, 0)] + [("note", k, v, 0) for k, v in sorted(back.notes.items())]
+    return spark.createDataFrame(rows, "part string, name string, value string, place int")
+
+
+@query()
+def ml_save_load(spark, d):
+    """A scaled line and boosted trees, stored, read back, and scored by what was read."""
     train, test = _split(spark, d)
-    return rounded(M.probability(M.logistic(train, FEATURES, "returned"), test).select("line", "price", "returned", "p"))
+    line = K.save(M.logistic(train, FEATURES, "returned"), new_path(spark), train, FEATURES, "returned")
+    trees = K.save(B.fit(train, FEATURES, "returned", rounds=3), new_path(spark), train, FEATURES, "returned")
+    out = K.load(spark, trees).score(K.load(spark, line).score(test, "p_line"), "p_trees")
+    return rounded(out.select("line", "returned", "p_line", "p_trees"))
+
+
+@query()
+def loop_score_day(spark, d):
+    """The last part's lines scored by the stored model of the days before."""
+    path, test = _trained(spark, d)
+    return rounded(K.load(spark, path).score(test).select("line", "price", "returned", "p"))
 
 
 @query()
@@ -244,11 +320,11 @@ def card_example_eta(spark, d):
     train, test = _split(spark, d)
     features = ["l_quantity", "l_discount", "weekday"]
     model = M.boosted_value(train, features, "price", trees=6)
-    return _example(M.tree_contributions(model, test, "line", features), M.predicted(model, test, "forecast"), "forecast")
+    return _example(_parts(model, test, features), M.predicted(model, test, "forecast"), "forecast")
 
 
 @query()
 def card_example_order(spark, d):
     train, test = _split(spark, d)
     model = M.boosted(train, FEATURES, "returned", trees=6)
-    return _example(M.tree_contributions(model, test, "line", FEATURES), M.probability(model, test), "p")
+    return _example(_parts(model, test, FEATURES), M.probability(model, test), "p")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freightloom.functions import scalar as S
+from freightloom.operators import boosting as B
 from freightloom.operators import decide as D
 from freightloom.operators import joins as J
 from freightloom.operators import models as M
@@ -103,17 +104,15 @@ def score_detector(spark, d):
 
 @query()
 def ml_multiclass(spark, d):
-    """The probability of each of three flags for later lines."""
-    from pyspark.ml.functions import vector_to_array
-
+    """The probability of each of three flags for later lines, by boosted trees."""
     train, test = _split(spark, d)
     keyed = table(spark, d, "lineitem")
     key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     label = S.looked_up(F.col("l_returnflag"), {"A": 0.0, "N": 1.0, "R": 2.0})
     labels = keyed.select(key.alias("line"), label.alias("flag")).dropDuplicates(["line"])
-    model = M.logistic(train.join(labels, "line"), FEATURES, "flag")
-    p = vector_to_array("probability")
-    return rounded(model.transform(test).select("line", p[0].alias("p_a"), p[1].alias("p_n"), p[2].alias("p_r")))
+    model = B.fit(train.join(labels, "line"), FEATURES, "flag", loss="softmax", classes=3, rounds=5)
+    p = model.chances()
+    return rounded(test.select("line", p[0].alias("p_a"), p[1].alias("p_n"), p[2].alias("p_r")))
 
 
 @query()

@@ -25,7 +25,7 @@ def test_lines_are_summed_before_the_join(spark):
     assert text.index("Join") < text.index("HashAggregate")
 
 
-@pytest.mark.parametrize("name", ["clean_shipments", "join_left_chain", "join_range_lookback", "join_asof_first_after", "join_blocking", "win_causal_history", "win_interpolate_linear", "price_grid_argmax", "agg_frontier", "cusum_lane_local", "cooldown_replay", "fn_jaccard"])
+@pytest.mark.parametrize("name", ["clean_shipments", "join_left_chain", "join_range_lookback", "join_asof_first_after", "join_blocking", "win_causal_history", "win_interpolate_linear", "price_grid_argmax", "agg_frontier", "fn_jaccard"])
 def test_no_python_and_no_products(spark, name):
     text = plan(spark, name)
     assert not any(w in text for w in ("Python", "Pandas", "Arrow", "CartesianProduct"))
