@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,6 +59,10 @@ def byte_windows(texts: list[bytes], depth: int) -> np.ndarray:
     return out[buf[depth:] != BEFORE]
 
 
+def _sizes(texts: pa.Array | pa.ChunkedArray) -> list[int]:
+    return pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+
+
 class Tally:
     """Counts of windows and words of one chunk; what is only scored counts zero."""
 
@@ -68,7 +73,7 @@ class Tally:
     def add(self, texts: list[bytes], train: bool) -> None:
         found, times = np.unique(byte_windows(texts, self.depth), return_counts=True)
         self.parts.append((found, times if train else np.zeros_like(times)))
-        if sum(len(p[0]) for p in self.parts[1:]) > len(self.parts[0][0]) + 4 * _BATCH:
+        if sum(len(p[0]) for p in self.parts[1:]) > len(self.parts[0][0]) + 2 * _BATCH:
             self.parts = [self.windows()]
         for t in texts:
             if train:
@@ -114,9 +119,9 @@ def chunked(docs: DataFrame, train: Column, text: str, carry: list[str], depth:
             if not names:
                 names = [*batch.schema.names, *rest]
                 types = dict(zip(names, [*batch.schema.types, pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64()]))
-            texts = [folded(t.as_py()) for t in batch.column(len(carry))]
             teaches = batch.column(len(carry) + 1).to_pylist()
-            for some in sliced([len(t) for t in texts], _BATCH):
+            for some in sliced(_sizes(batch.column(len(carry))), _BATCH):
+                texts = {k: folded(batch.column(len(carry))[k].as_py()) for k in some}
                 if tally is None:
                     chunk, tally, size = chunk + 1, Tally(depth), 0
                 for learn in (True, False):
@@ -125,7 +130,7 @@ def chunked(docs: DataFrame, train: Column, text: str, carry: list[str], depth:
                 n = len(some)
                 own = batch.slice(some.start, n)
                 yield filled(**dict(zip(own.schema.names, own.columns)), **{rest[0]: pa.array(np.full(n, chunk)), rest[1]: pa.array(np.zeros(n, np.int32))})
-                size += sum(len(texts[k]) for k in some)
+                size += sum(map(len, texts.values()))
                 if size >= chunk_bytes:
                     yield from told(chunk, tally)
                     tally = None
@@ -261,10 +266,11 @@ def scored(docs: DataFrame, train: Column, text: str = "text", carry: list[str]
         counts = dict(zip(right.column("word").combine_chunks().drop_null().to_pylist(), value[~is_window].tolist()))
         out = np.zeros((3, left.num_rows))
         sums = np.zeros((2, left.num_rows), np.int64)
-        texts = [folded(t.as_py()) for t in left.column(left.num_columns - 1)]
-        sizes = np.array([len(t) + 1 for t in texts], np.int64)
+        del right, of_window, value, is_window
+        texts = left.column(left.num_columns - 1)
+        sizes = np.array(_sizes(texts), np.int64) + 1
         for some in sliced(sizes.tolist(), _BATCH):
-            mine, at = texts[some.start : some.stop], slice(some.start, some.stop)
+            mine, at = [folded(texts[k].as_py()) for k in some], slice(some.start, some.stop)
             logs = of(byte_windows(mine, depth))
             bits = np.add.reduceat(logs, np.concatenate(([0], np.cumsum(sizes[at])[:-1])))
             said = [t.split() for t in mine]

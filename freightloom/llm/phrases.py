@@ -25,9 +25,9 @@ LONGEST = 5
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: The base's inverse modulo 2 ** 64.
 BACK = np.uint64(pow(int(BASE), -1, 1 << 64))
-#: Marks that end a piece, and white space between words; A-Z are lower-cased.
+#: Marks that end a piece, and white space between words; A-Z are lower-cased, tabs are spaces.
 PIECE_MARKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
-_FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 9 else c for c in range(256))
 #: 0 for a byte of a word, 1 for a blank, 2 for a mark.
 _KIND = np.array([2 if c in PIECE_MARKS else 1 if c in BLANKS else 0 for c in range(256)], np.uint8)
 _BATCH = 1 << 21
@@ -126,9 +126,17 @@ class Tokens:
         numbers: dict[bytes, int] = {}
         return np.array([numbers.setdefault(raw[a:b], len(numbers)) for a, b in zip(self.start, self.stop)])
 
-    def phrase(self, at: int, n: int) -> bytes:
-        raw = self.buf
-        return b" ".join(raw[a:b].tobytes() for a, b in zip(self.start[at : at + n], self.stop[at : at + n]))
+    def phrases(self, at: np.ndarray, n: np.ndarray) -> list[bytes]:
+        """The words from each start, joined by one space."""
+        raw = self.buf.tobytes()
+        start, stop = self.start[at], self.stop[at + n - 1]
+        # Most lie in the text as they are told: words and single spaces alone.
+        letters = np.concatenate(([0], np.cumsum(self.stop - self.start)))
+        plain = stop - start == letters[at + n] - letters[at] + n - 1
+        out = [raw[a:b] for a, b in zip(start.tolist(), stop.tolist())]
+        for k in np.flatnonzero(~plain):
+            out[k] = b" ".join(out[k].split())
+        return out
 
 
 def grouped(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -275,7 +283,7 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", key: str =
                 continue
             own = tokens.identities()
             of_lang = np.unique(tokens.salt, return_inverse=True)[1]
-            out: list[tuple[int, int, int]] = []
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             pairs = tokens.fitting(held[1]) if longest > 1 else None
             for n in range(1, longest + 1):
                 at, keys = tokens.grams(n) if n == 1 else tokens.grams(n, linked(pairs, n - 1))
@@ -284,17 +292,17 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", key: str =
                     at, keys = at[fits], keys[fits]
                 if len(at):
                     first, times = grouped(keys, np.stack([of_lang[at], *[own[at + j] for j in range(n)]], axis=1))
-                    out.extend(zip(at[first].tolist(), [n] * len(first), times.tolist()))
+                    out.append((at[first], np.full(len(first), n, np.int32), times))
             if not out:
                 continue
-            places = np.array([o[0] for o in out])
+            places, sizes, times = map(np.concatenate, zip(*out))
             texts = tokens.text[places]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("lang").take(pa.array(texts)),
-                    pa.array([tokens.phrase(at, n) for at, n, _ in out], pa.binary()).cast(pa.string()),
-                    pa.array([o[1] for o in out], pa.int32()),
-                    pa.array([o[2] for o in out], pa.int64()),
+                    pa.array(tokens.phrases(places, sizes), pa.binary()).cast(pa.string()),
+                    pa.array(sizes),
+                    pa.array(times),
                     batch.column("key").take(pa.array(texts)),
                     pa.array((tokens.start[places] - tokens.offset[texts]).astype(np.int64)),
                 ],

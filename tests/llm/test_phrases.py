@@ -81,11 +81,11 @@ def test_small_batches_change_nothing(spark):
     at, keys = one.grams(3)
     said = collections.defaultdict(set)
     for i, k in zip(at, keys):
-        said[one.phrase(i, 3)].add(int(k))
+        said[one.phrases(np.array([i]), np.array([3]))[0]].add(int(k))
     for k in range(4):
         alone = phrases.Tokens.of(texts[k : k + 1], salts[:1])
         for i, key in zip(*alone.grams(3)):
-            said[alone.phrase(i, 3)].add(int(key))
+            said[alone.phrases(np.array([i]), np.array([3]))[0]].add(int(key))
     assert said.keys() >= {b"x y z", b"aa x y", b"z x y"} and b"z x" not in said and all(len(v) == 1 for v in said.values())
 
 
@@ -96,7 +96,7 @@ def test_collisions_are_told_apart_by_text():
     assert [len({a == b for a, b in zip(own, x)}) for x in [own]] == [1]
     assert own[0] == own[2] == own[5] and own[1] == own[4] and len(set(own.tolist())) == 3
     first, times = phrases.grouped(np.zeros(6, np.uint64), own[:, None])
-    assert sorted(zip((t.phrase(i, 1) for i in first), times.tolist())) == [(b"one", 3), (b"three", 1), (b"two", 2)]
+    assert sorted(zip(t.phrases(first, np.ones(3, int)), times.tolist())) == [(b"one", 3), (b"three", 1), (b"two", 2)]
     assert t.same(np.array([0, 0, 0]), np.array([2, 1, 3])).tolist() == [True, False, False]
 
 
