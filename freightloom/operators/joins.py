@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from freightloom.operators.ranked import running
+from freightloom.operators.scratch import written
+
 
 def checked_left(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """A left join that raises, when it runs, where a key has more than one row on the right."""
@@ -62,34 +68,86 @@ def with_grid(df: DataFrame, values: Sequence[float], name: str) -> DataFrame:
     return df.withColumn(name, F.explode(F.lit([float(v) for v in values])))
 
 
-def nearest(points: DataFrame, key: str, x: str, y: str, k: int, cell: float) -> DataFrame:
-    """(key, neighbour, distance, rank): the k nearest other points, ties by key, exactly.
+def near_keys(text: Column) -> Column:
+    """The text and what is left of it without one of its characters: texts one slip apart (a character lost, added or
+    misread, two neighbours swapped) share one, and a key is shared by few others, however many texts there are."""
+    return F.array_distinct(F.concat(F.array(text), F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))))).otherwise(F.array().cast("array<string>"))))
+
+
+def near_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_text: Column, right_text: Column, same: Sequence[tuple[Column, Column]] = ()) -> DataFrame:
+    """Distinct (left_id, right_id) whose texts share one of `near_keys` and whose columns in `same` are equal."""
+    keyed = lambda df, i, t, more: df.select(F.col(i), *[c.alias(f"_s{k}") for k, c in enumerate(more)], F.explode(near_keys(t)).alias("_k"))
+    a, b = keyed(left, left_id, left_text, [x for x, _ in same]), keyed(right, right_id, right_text, [y for _, y in same])
+    return a.join(b, ["_k", *[f"_s{k}" for k in range(len(same))]]).select(left_id, right_id).distinct()
+
+
+def cells(points: DataFrame, key: str, x: str, y: str, size: int) -> tuple[DataFrame, list[tuple]]:
+    """Points (key, x, y, strip, cell), written, in cells of `size` to 2 * `size` points (fewer only if there are not so
+    many), and the strips' (number, least x, largest x) in order: cut at equal counts by x into strips, whose number grows
+    as the square root of the points', and those by y into cells."""
+    plain = points.select(F.col(key).alias("key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    ranked = running(plain, [F.col("x"), F.col("y"), F.col("key")], rank="_rank")
+    n = ranked.count()
+    strips = max(1, n // max(1, math.ceil(math.sqrt(n * size))))
+    laid = ranked.select("key", "x", "y", F.floor((F.col("_rank") - 1) * strips / max(n, 1)).alias("strip"))
+    laid = running(laid, [F.col("strip"), F.col("y"), F.col("x"), F.col("key")], rank="_place")
+    by = laid.groupBy("strip").agg(F.min("_place").alias("_first"), F.count("*").alias("_n"), F.min("x").alias("x0"), F.max("x").alias("x1"))
+    bounds = sorted(tuple(r) for r in by.select("strip", "x0", "x1").collect())
+    of_strip = F.greatest(F.lit(1), F.floor(F.col("_n") / size))
+    cell = F.col("strip") * (1 << 31) + F.floor((F.col("_place") - F.col("_first")) * of_strip / F.col("_n"))
+    return written(laid.join(F.broadcast(by.select("strip", "_first", "_n")), "strip").select("key", "x", "y", "strip", cell.alias("cell"))), bounds
+
+
+def nearest(points: DataFrame, key: str, x: str, y: str, k: int, size: int = 128) -> DataFrame:
+    """(key, neighbour, distance, rank): the k nearest other points, ties by key, exactly. Points without a place (null or
+    NaN) take no part.
 
-    Points meet only in their own and adjacent cells of a grid first; a point whose k-th neighbour isn't nearer than
-    the cell's reach is looked up again in cells twice as large, until all are settled.
+    Points lie in cells of bounded numbers. A place's own cell tells how far its k nearest are at most; only cells whose
+    box is within that reach are looked into. Of points at one place the k + 1 first by key are candidates, and a place is
+    looked up once, so that very many points at one place don't meet each other.
     """
-    left = points.select(F.col(key).alias("key"), F.col(x).alias("x"), F.col(y).alias("y"))
-    total = points.count()
-    todo, done, side = left, None, cell
-    reach = points.agg(F.max(x) - F.min(x), F.max(y) - F.min(y)).first()
-    widest = max(reach[0] or 0.0, reach[1] or 0.0)
-    while True:
-        last = side > widest or total <= k + 1
-        at = lambda df, s=side: df.withColumns({"i": F.floor(F.col("x") / s), "j": F.floor(F.col("y") / s)})
-        around = F.explode(F.lit([-1, 0, 1]))
-        a = at(todo).withColumn("di", around).withColumn("dj", around).select("key", "x", "y", (F.col("i") + F.col("di")).alias("i"), (F.col("j") + F.col("dj")).alias("j"))
-        b = at(left).select(F.col("key").alias("neighbour"), F.col("x").alias("x2"), F.col("y").alias("y2"), "i", "j")
-        pairs = a.join(b, ["i", "j"]).where(F.col("key") != F.col("neighbour"))
-        pairs = pairs.withColumn("distance", F.sqrt((F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2))
-        w = Window.partitionBy("key").orderBy("distance", "neighbour")
-        ranked = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("key", "neighbour", "distance", "rank")
-        if last:
-            found = ranked
-        else:
-            sure = ranked.groupBy("key").agg(F.count("*").alias("n"), F.max("distance").alias("far")).where((F.col("n") == k) & (F.col("far") < side)).select("key")
-            found = ranked.join(sure, "key", "left_semi")
-            todo = todo.join(sure, "key", "left_anti")
-        done = found if done is None else done.unionByName(found)
-        if last:
-            return done
-        side *= 4
+    sound = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    rows = written(points.where(sound(x) & sound(y)).select(F.col(key).alias("key"), (F.col(x).cast("double") + 0.0).alias("x"), (F.col(y).cast("double") + 0.0).alias("y")))
+    at_place = Window.partitionBy("x", "y").orderBy("key")
+    few = rows.withColumn("_n", F.row_number().over(at_place)).where(F.col("_n") <= k + 1).drop("_n")
+    laid, strips = cells(few, "key", "x", "y", max(size, k + 2))
+    places = laid.groupBy("x", "y").agg(F.min("cell").alias("cell"))
+    far = F.sqrt((F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2)
+    others = laid.select(F.col("key").alias("neighbour"), F.col("x").alias("x2"), F.col("y").alias("y2"), "cell", "strip")
+    # The (k + 1)-th nearest candidate of its own cell, itself among them.
+    own = places.join(others, "cell").groupBy("x", "y", "cell").agg(F.sort_array(F.collect_list(far)).alias("d"))
+    places = written(own.select("x", "y", "cell", (F.coalesce(F.get("d", F.lit(k)), F.lit(float("inf"))) * (1 + 1e-12)).alias("reach")))
+    reaches = places.groupBy("cell").agg(F.min(F.col("x") - F.col("reach")).alias("x0"), F.max(F.col("x") + F.col("reach")).alias("x1"), F.min(F.col("y") - F.col("reach")).alias("y0"), F.max(F.col("y") + F.col("reach")).alias("y1"))
+    low, high = np.array([s[1] for s in strips]), np.array([s[2] for s in strips])
+
+    def over_strips(batches):
+        """Each cell's reach once for each strip that it touches; strips are in order of x."""
+        for batch in batches:
+            x0, x1 = np.asarray(batch.column("x0")), np.asarray(batch.column("x1"))
+            first, last = np.searchsorted(high, x0, "left"), np.searchsorted(low, x1, "right")
+            times = np.maximum(last - first, 0)
+            take = np.repeat(np.arange(batch.num_rows), times)
+            strip = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first, times)
+            part = batch.take(pa.array(take))
+            yield pa.RecordBatch.from_arrays([part.column("cell"), pa.array(strip), part.column("y0"), part.column("y1")], names=["cell", "strip", "y0", "y1"])
+
+    asked = reaches.mapInArrow(over_strips, "cell long, strip long, y0 double, y1 double")
+    boxes = others.groupBy("strip", "cell").agg(F.min("x2").alias("bx0"), F.max("x2").alias("bx1"), F.min("y2").alias("by0"), F.max("y2").alias("by1"))
+
+    def touching(left: pa.Table, right: pa.Table) -> pa.Table:
+        """In a strip the cells are in order of y: those that a reach touches are a run."""
+        right = right.sort_by("cell")
+        y0, y1 = np.asarray(right.column("by0")), np.asarray(right.column("by1"))
+        first, last = np.searchsorted(y1, np.asarray(left.column("y0")), "left"), np.searchsorted(y0, np.asarray(left.column("y1")), "right")
+        times = np.maximum(last - first, 0)
+        own = left.column("cell").take(pa.array(np.repeat(np.arange(left.num_rows), times)))
+        met = right.take(pa.array(np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first, times)))
+        return pa.table([own, met.column("cell"), *[met.column(c) for c in ("bx0", "bx1", "by0", "by1")]], names=["cell", "met", "bx0", "bx1", "by0", "by1"])
+
+    pairs = asked.groupBy("strip").cogroup(boxes.groupBy("strip")).applyInArrow(touching, "cell long, met long, bx0 double, bx1 double, by0 double, by1 double")
+    beside = lambda at, a, b: F.greatest(F.col(a) - F.col(at), F.col(at) - F.col(b), F.lit(0.0))
+    touched = places.join(pairs, "cell").where(F.sqrt(beside("x", "bx0", "bx1") ** 2 + beside("y", "by0", "by1") ** 2) <= F.col("reach")).select("x", "y", F.col("met").alias("cell"))
+    best = Window.partitionBy("x", "y").orderBy("distance", "neighbour")
+    found = touched.join(others, "cell").select("x", "y", "neighbour", far.alias("distance")).withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1).drop("_n")
+    ranked = rows.join(found, ["x", "y"]).where(F.col("key") != F.col("neighbour"))
+    return ranked.withColumn("rank", F.row_number().over(Window.partitionBy("key", "x", "y").orderBy("distance", "neighbour"))).where(F.col("rank") <= k).select("key", "neighbour", "distance", "rank")

@@ -14,6 +14,7 @@ from freightloom.operators.scratch import new_path
 from freightloom.plans.decisions import _ACTED, acted
 from freightloom.plans.further import _TOUR, _legs
 from freightloom.plans.panels import TYPE_DAYS, USER_DAYS, type_days, user_days
+from freightloom.plans.matching import PAIRS, matched_pairs
 from freightloom.plans.registry import query, rounded, table
 from freightloom.plans.routing import _STOPS, stops
 from freightloom.plans.runs import _DEMAND, _demand
@@ -201,27 +202,6 @@ def join_block_index(spark, d):
     return table(spark, d, "part").groupBy(block.alias("block")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))
 
 
-_PAIRS = "a AS (SELECT p_partkey AS label, p_brand, p_size, p_name FROM part WHERE p_partkey % 20 = 0), c AS (SELECT label, q.p_partkey AS point, CAST(levenshtein(a.p_name, q.p_name) AS BIGINT) AS gap FROM a JOIN part q ON q.p_brand = a.p_brand AND q.p_size = a.p_size)"
-
-
-def _pairs(spark, d) -> DataFrame:
-    """Labels with every point of their block; the labels are each twentieth part, against all parts."""
-    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_size", "p_name")
-    a = p.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("label"), "p_brand", "p_size", F.col("p_name").alias("said"))
-    return a.join(p, ["p_brand", "p_size"]).select("label", F.col("p_partkey").alias("point"), F.levenshtein("said", "p_name").cast("long").alias("gap"))
-
-
-@query(f"WITH {_PAIRS} SELECT label, point, gap FROM c")
-def join_build_pairs(spark, d):
-    return _pairs(spark, d)
-
-
-@query(f"WITH {_PAIRS} SELECT label, point, CAST(label = point AS INTEGER) AS y FROM c")
-def join_pair_truth(spark, d):
-    truth = table(spark, d, "part").select(F.col("p_partkey").alias("label"), F.col("p_partkey").alias("true_point"))
-    return _pairs(spark, d).join(truth, "label", "left").select("label", "point", (F.col("point") == F.col("true_point")).cast("int").alias("y"))
-
-
 @query(f"WITH {_STOPS} SELECT a.instance, a.stop AS a, b.stop AS b, CAST(floor(10000 * sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) + 0.5::DOUBLE) AS BIGINT) AS miles FROM s a JOIN s b ON a.instance = b.instance AND a.stop <> b.stop")
 def join_cross_matrix_int(spark, d):
     """Whole distances, half up, inside blocks of a fixed number of stops."""
@@ -372,16 +352,6 @@ def rolling_origin(spark, d):
     return rounded(f.crossJoin(F.broadcast(end)).where("day > cut").select("event_type", "day", F.col("n").alias("actual"), "forecast"))
 
 
-@query(f"""
-WITH {_FORECAST} SELECT event_type, round(avg(abs(mean - actual)), 4) AS mae, round(sqrt(avg(pow(mean - actual, 2))), 4) AS rmse, round(avg(CAST(abs(mean - actual) <= 3 AS INTEGER)), 4) AS within_3,
-  round(avg(CAST(actual BETWEEN mean * 0.8::DOUBLE AND mean * 1.2::DOUBLE AS INTEGER)), 4) AS coverage, round(avg(CAST(actual <= ceil(mean * 1.2::DOUBLE) AS INTEGER)), 4) AS promise_kept FROM g GROUP BY 1""")
-def eval_eta(spark, d):
-    """Errors, intervals and promises by segment."""
-    m, a = F.col("mean"), F.col("actual")
-    share = lambda c: F.avg(c.cast("int"))
-    return rounded(forecasts(spark, d).groupBy("event_type").agg(M.mae(m, a).alias("mae"), M.rmse(m, a).alias("rmse"), share(F.abs(m - a) <= 3).alias("within_3"), M.coverage(m * 0.8, m * 1.2, a).alias("coverage"), share(a <= F.ceil(m * 1.2)).alias("promise_kept")))
-
-
 @query(f"""
 WITH {_FORECAST} SELECT event_type, round(sum(abs(mean - actual)) / sum(actual)::DOUBLE, 4) AS wape, round(sum(mean - actual) / sum(actual)::DOUBLE, 4) AS bias, round(avg(greatest(0.8::DOUBLE * (actual - mean), -0.2::DOUBLE * (actual - mean))), 4) AS pinball,
   round(avg(CAST(actual > ceil(mean * 1.1::DOUBLE) AS INTEGER)), 4) AS short_days, round(1 - sum(abs(mean - actual)) / sum(abs(naive - actual))::DOUBLE, 4) AS skill FROM g GROUP BY 1""")
@@ -395,19 +365,6 @@ def eval_volume(spark, d):
 # --- Classifiers and matches
 
 
-@query(f"""
-WITH {_ROUTED}, c AS (SELECT DISTINCT actual AS class FROM r UNION SELECT DISTINCT predicted FROM r), f AS (SELECT class, (SELECT count(*) FROM r WHERE actual = class AND predicted = class)::DOUBLE AS tp, (SELECT count(*) FROM r WHERE actual = class) AS support, (SELECT count(*) FROM r WHERE predicted = class) AS flagged FROM c)
-SELECT class, support, flagged, round(coalesce(tp / nullif(support, 0), 0), 4) AS recall, round(coalesce(tp / nullif(flagged, 0), 0), 4) AS "precision", round(flagged / (SELECT count(*) FROM r)::DOUBLE, 4) AS load FROM f""")
-def eval_triage(spark, d):
-    """Each queue's recall, precision and load under the rules."""
-    r = routed(spark, d)
-    marks = r.select(F.inline(F.array(*[F.struct(F.col(c).alias("class"), F.lit(int(c == "actual")).alias("support"), F.lit(int(c == "predicted")).alias("flagged"), (F.col("actual") == F.col("predicted")).cast("int").alias("hit")) for c in ("actual", "predicted")])))
-    s = marks.groupBy("class").agg(F.sum("support").alias("support"), F.sum("flagged").alias("flagged"), (F.sum("hit") / 2).alias("tp"))
-    total = r.agg(F.count("*").alias("n"))
-    ratio = lambda b: F.coalesce(F.try_divide(F.col("tp"), b), F.lit(0.0))
-    return rounded(s.crossJoin(F.broadcast(total)).select("class", "support", "flagged", ratio(F.col("support")).alias("recall"), ratio(F.col("flagged")).alias("precision"), (F.col("flagged") / F.col("n")).alias("load")))
-
-
 @query(f"""
 WITH {SCORED}, r AS (SELECT *, CAST(ceil(row_number() OVER (ORDER BY p DESC, o_orderkey) / (SELECT count(*) FROM s)::DOUBLE * 10) AS BIGINT) AS decile FROM s)
 SELECT decile, count(*) AS n, round(avg(y), 4) AS rate, round(sum(y * value), 2) AS dollars, round(sum(y * value * 0.1::DOUBLE - 5), 2) AS net FROM r GROUP BY 1""")
@@ -437,13 +394,12 @@ def eval_fleet(spark, d):
 
 
 def _match_sql(tail: str) -> str:
-    return f"WITH {_PAIRS}, b AS (SELECT label, point, gap, 1.0::DOUBLE / (1 + gap + CASE WHEN label = point AND label % 40 = 0 THEN 3 ELSE 0 END) AS score FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, point) AS n FROM b), m AS (SELECT label, point, score, label = point AS hit, label % 60 = 0 AS orphan FROM k WHERE n = 1) " + tail
+    return f"WITH {PAIRS}, b AS (SELECT label, point, gap, 1.0::DOUBLE / (1 + gap) AS score FROM c), o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, point) AS n FROM b), m AS (SELECT label, point, score, label = point AS hit, label % 60 = 0 AS orphan FROM o WHERE n = 1) " + tail
 
 
 def _matches(spark, d) -> DataFrame:
-    """Each label's best point with a score; every third label counts as an orphan, which should stay unmatched."""
-    extra = F.when((F.col("label") == F.col("point")) & (F.col("label") % 40 == 0), 3).otherwise(0)
-    b = _pairs(spark, d).withColumn("score", 1.0 / (1 + F.col("gap") + extra))
+    """Each label's best point with a score; every sixtieth label is an orphan, which should stay unmatched."""
+    b = matched_pairs(spark, d).withColumn("score", 1.0 / (1 + F.col("gap")))
     n = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "point"))
     return b.withColumn("n", n).where("n = 1").select("label", "point", "score", (F.col("label") == F.col("point")).alias("hit"), (F.col("label") % 60 == 0).alias("orphan"))
 

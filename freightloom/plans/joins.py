@@ -70,16 +70,6 @@ def join_lookup_map(spark, d):
     return table(spark, d, "orders").select("o_orderkey", S.looked_up(F.col("o_orderstatus"), {"F": "finished", "O": "open"}).alias("status"), S.looked_up(F.col("o_orderpriority"), {"1-URGENT": 1.0, "2-HIGH": 0.5}, 0.1).alias("weight"))
 
 
-@query("""
-WITH k AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) AS i, p_size FROM part)
-SELECT a.p_partkey AS left_key, b.p_partkey AS right_key FROM k a JOIN k b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.i < b.i""")
-def join_self_pairs_upper(spark, d):
-    """Pairs i < j inside blocks that bound their number."""
-    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_size")
-    a, b = p.withColumnRenamed("p_partkey", "left_key"), p.withColumnRenamed("p_partkey", "right_key")
-    return a.join(b, ["p_brand", "p_size"]).where("left_key < right_key").select("left_key", "right_key")
-
-
 @query("SELECT c_custkey, c_acctbal FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def join_semi_domain(spark, d):
     big = table(spark, d, "orders").where("o_totalprice > 400000")
@@ -117,61 +107,14 @@ def join_cross_grid(spark, d):
     return rounded(df.select("o_orderkey", "m", (F.col("o_totalprice") * F.col("m")).alias("price")))
 
 
-_BLOCK_SQL = """
-WITH k AS (SELECT s_suppkey, s_nationkey AS z, CAST(floor(s_acctbal / 500) AS BIGINT) AS band, s_suppkey % 7 AS tag FROM supplier),
-c AS (SELECT a.s_suppkey AS left_key, b.s_suppkey AS right_key FROM k a JOIN k b ON a.z = b.z AND a.band = b.band
-      UNION SELECT a.s_suppkey, b.s_suppkey FROM k a JOIN k b ON a.z = b.z AND a.tag = b.tag)
-"""
-
-
-def _blocked(spark, d):
-    s = table(spark, d, "supplier")
-    band, tag = F.concat_ws("|", "s_nationkey", F.floor(F.col("s_acctbal") / 500)), F.concat_ws("|", "s_nationkey", F.col("s_suppkey") % 7)
-    keyed = s.select("s_suppkey", band.alias("band"), tag.alias("tag"))
-    a, b = keyed.withColumnRenamed("s_suppkey", "left_key"), keyed.withColumnRenamed("s_suppkey", "right_key")
-    return J.candidates(a, b, [(F.col("band"), F.col("band")), (F.col("tag"), F.col("tag"))], "left_key", "right_key")
-
-
-@query(_BLOCK_SQL + "SELECT left_key, right_key FROM c")
-def join_blocking(spark, d):
-    """Candidates that agree in one of several keys; a pair that several keys find is one row."""
-    return _blocked(spark, d)
-
-
-@query("""
-WITH k AS (SELECT s_suppkey, s_nationkey AS z, CAST(floor(s_acctbal / 500) AS BIGINT) AS band, s_suppkey % 7 AS tag, CAST(floor((s_acctbal + 180) / 500) AS BIGINT) AS band2, CASE WHEN s_suppkey % 3 = 0 THEN 9 ELSE s_suppkey % 7 END AS tag2 FROM supplier)
-SELECT round(avg(CAST(band = band2 OR tag = tag2 AS DOUBLE)), 4) AS recall FROM k""")
-def agg_blocking_recall(spark, d):
-    """The share of misread rows whose true partner is among their candidates."""
-    s = table(spark, d, "supplier")
-    band = lambda balance: F.concat_ws("|", "s_nationkey", F.floor(balance / 500))
-    tag = lambda n: F.concat_ws("|", "s_nationkey", n)
-    misread = s.select(F.col("s_suppkey").alias("left_key"), band(F.col("s_acctbal") + 180).alias("band"), tag(F.when(F.col("s_suppkey") % 3 == 0, 9).otherwise(F.col("s_suppkey") % 7)).alias("tag"))
-    known = s.select(F.col("s_suppkey").alias("right_key"), band(F.col("s_acctbal")).alias("band"), tag(F.col("s_suppkey") % 7).alias("tag"))
-    met = J.candidates(misread, known, [(F.col("band"), F.col("band")), (F.col("tag"), F.col("tag"))], "left_key", "right_key")
-    hits = met.where("left_key = right_key").select(F.col("left_key").alias("s_suppkey"), F.lit(1.0).alias("hit"))
-    return rounded(table(spark, d, "supplier").join(hits, "s_suppkey", "left").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("recall")))
-
-
 @query("""
 WITH p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
 r AS (SELECT a.vec_id, b.vec_id AS neighbour, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS distance, row_number() OVER (PARTITION BY a.vec_id ORDER BY sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), b.vec_id) AS rank FROM p a JOIN p b ON a.vec_id <> b.vec_id)
 SELECT vec_id, neighbour, round(distance, 4) AS distance, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 20""")
 def join_knn_k20(spark, d):
-    """Twenty nearest other points, by grid cells that widen only for points that need it."""
+    """Twenty nearest other points, by cells of bounded numbers of points."""
     p = table(spark, d, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
-    return rounded(J.nearest(p, "vec_id", "x", "y", 20, 0.05).withColumnRenamed("key", "vec_id"))
-
-
-@query("""
-WITH k AS (SELECT p_partkey, p_name, p_brand, p_size FROM part), m AS (SELECT a.p_partkey AS key, b.p_partkey AS other, levenshtein(a.p_name, b.p_name) AS gap FROM k a JOIN k b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey <> b.p_partkey)
-SELECT key, other, gap FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY gap, other DESC) AS n FROM m) WHERE n = 1""")
-def win_argmax_per_group(spark, d):
-    """The best candidate of each label in its block of brand and size; on equal scores the last one."""
-    p = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_size")
-    left = p.select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), "p_brand", "p_size")
-    pairs = left.join(p, ["p_brand", "p_size"]).where("key <> p_partkey").select("key", F.col("p_partkey").alias("other"), F.levenshtein("name", "p_name").cast("long").alias("gap"))
-    return J.best_match(pairs.withColumn("score", -F.col("gap")), "key", "score", [F.desc("other")]).select("key", "other", "gap")
+    return rounded(J.nearest(p, "vec_id", "x", "y", 20).withColumnRenamed("key", "vec_id"))
 
 
 @query("""

@@ -120,9 +120,9 @@ def ml_score_policies(spark, d):
 @query()
 def ml_pair_scorer(spark, d):
     """Candidate pairs scored by how likely they are the same, from their distances."""
-    from freightloom.plans.evaluations import _pairs
+    from freightloom.plans.matching import matched_pairs
 
-    pairs = _pairs(spark, d).select("label", "point", F.col("gap").cast("double").alias("gap"), F.pmod(F.abs(F.col("label") - F.col("point")), F.lit(7)).cast("double").alias("apart"), (F.col("label") == F.col("point")).cast("double").alias("y"))
+    pairs = matched_pairs(spark, d).select("label", "point", F.col("gap").cast("double").alias("gap"), F.pmod(F.abs(F.col("label") - F.col("point")), F.lit(7)).cast("double").alias("apart"), (F.col("label") == F.col("point")).cast("double").alias("y"))
     return rounded(M.probability(M.logistic(pairs, ["gap", "apart"], "y"), pairs, "score").select("label", "point", "y", "score"))
 
 
@@ -182,13 +182,6 @@ def ml_uplift_score(spark, d):
     return rounded(long)
 
 
-@query()
-def eval_commit(spark, d):
-    """Lift of the baseline on rows after its training time."""
-    train, test = _split(spark, d)
-    return rounded(R.lift(M.probability(M.logistic(train, FEATURES, "returned"), test), [F.desc("p"), F.col("line")], F.col("returned")))
-
-
 def _parts(model, df: DataFrame, features: list[str]) -> DataFrame:
     """Exact Shapley values of the trees at the end of a pipeline."""
     return H.shapley(H.of_pipeline(model, features), df, "line").drop("output")
