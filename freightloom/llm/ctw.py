@@ -8,13 +8,12 @@ predicts. Texts get the log probability of all their bytes, lower-cased (A-Z), a
 
 The tree is two Spark aggregates and joins a level over all distinct (depth + 1)-byte windows of the corpus; those of
 scored texts that training lacks are nodes with counts of zero. Texts are dealt into chunks of bounded size; a chunk
-asks for the windows and words that it has, and gets back each one's value.
+asks for the windows and words that it has, and gets back each one's value. Words are told apart by 64-bit fingerprints.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from freightloom.llm.common import added, dropped, fresh, sliced, written
+from freightloom.llm.common import WORD_SEPARATORS, added, dropped, fresh, sliced, written
+from freightloom.llm.phrases import BYTE_VALUE, mixed, prefixes, spans
 
 DEPTH = 5
 #: The bytes for the end of a text and for what lies before its start; UTF-8 has neither.
@@ -33,6 +33,11 @@ END, BEFORE = 0xFE, 0xFF
 #: Lower-cases A-Z and turns the two marks, which only broken texts hold, into another byte that UTF-8 lacks.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 0xFD if c >= END else c for c in range(256))
 _BATCH = 1 << 20
+_SEPARATES = np.isin(np.arange(256), np.frombuffer(WORD_SEPARATORS.encode(), np.uint8))
+#: Kinds of a chunk's rows.
+DOCUMENT, WINDOW, WORD = 0, 1, 2
+#: What stands for the ends of texts among the words.
+END_KEY = np.uint64(0)
 
 
 def folded(text: bytes | None) -> bytes:
@@ -63,62 +68,63 @@ def _sizes(texts: pa.Array | pa.ChunkedArray) -> list[int]:
     return pc.fill_null(pc.binary_length(texts), 0).to_pylist()
 
 
+def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of the words of folded texts, one after the other, and the number of the text that each is in."""
+    buf = np.frombuffer(b"".join(t + b" " for t in texts), np.uint8)
+    edge = np.diff(np.concatenate(([False], ~_SEPARATES[buf])).astype(np.int8))
+    start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return mixed(spans(prefixes(BYTE_VALUE[buf]), start, stop)), np.searchsorted(ends, start, side="right")
+
+
 class Tally:
     """Counts of windows and words of one chunk; what is only scored counts zero."""
 
     def __init__(self, depth: int):
-        self.depth, self.words, self.ends = depth, Counter(), 0
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.depth = depth
+        self.parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {WINDOW: [], WORD: []}
 
     def add(self, texts: list[bytes], train: bool) -> None:
-        found, times = np.unique(byte_windows(texts, self.depth), return_counts=True)
-        self.parts.append((found, times if train else np.zeros_like(times)))
-        if sum(len(p[0]) for p in self.parts[1:]) > len(self.parts[0][0]) + 2 * _BATCH:
-            self.parts = [self.windows()]
-        for t in texts:
-            if train:
-                self.words.update(t.split())
-            else:
-                self.words.update(dict.fromkeys(t.split(), 0))
-        self.ends += len(texts) if train else 0
+        words = np.concatenate((word_keys(texts)[0], np.full(len(texts), END_KEY)))
+        for kind, keys in ((WINDOW, byte_windows(texts, self.depth)), (WORD, words)):
+            found, times = np.unique(keys, return_counts=True)
+            parts = self.parts[kind]
+            parts.append((found, times if train else np.zeros_like(times)))
+            if sum(len(p[0]) for p in parts[1:]) > len(parts[0][0]) + 2 * _BATCH:
+                self.parts[kind] = [self.counts(kind)]
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        return added(np.concatenate([p[0] for p in self.parts]), np.concatenate([p[1] for p in self.parts]))
+    def counts(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        return added(np.concatenate([p[0] for p in self.parts[kind]]), np.concatenate([p[1] for p in self.parts[kind]]))
 
 
 def chunked(docs: DataFrame, train: Column, text: str, carry: list[str], depth: int, chunk_bytes: int) -> tuple[DataFrame, list[str]]:
-    """Written rows of three kinds: 0 a document with its columns, 1 a window of its chunk, 2 a word of its chunk (the
-    empty word stands for ends of texts), with counts over the training texts. The new columns' names are given, too."""
-    new = [fresh(docs.select(*carry), c) for c in ("_body", "_train", "_chunk", "_kind", "_window", "_word", "_times")]
+    """Written rows of three kinds: a document with its columns, a window of its chunk, a word of its chunk, with counts
+    over the training texts. The new columns' names are given, too."""
+    new = [fresh(docs.select(*carry), c) for c in ("_body", "_train", "_chunk", "_kind", "_item", "_times")]
     body, learns, *rest = new
     rows = docs.select(*carry, F.col(text).cast("binary").alias(body), F.coalesce(train, F.lit(False)).alias(learns))
-    typed = rows.select("*", *[F.lit(None).cast(t).alias(c) for c, t in zip(rest, ("long", "int", "long", "binary", "long"))]).schema
+    typed = rows.select("*", *[F.lit(None).cast(t).alias(c) for c, t in zip(rest, ("long", "int", "long", "long"))]).schema
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in typed])  # other kinds of rows hold nulls
 
     def run(batches):
         names, types = [], {}
 
-        def filled(**columns) -> pa.RecordBatch:
+        def filled(kind: int, chunk: int, **columns) -> pa.RecordBatch:
             n = len(next(iter(columns.values())))
+            columns |= {rest[0]: pa.array(np.full(n, chunk)), rest[1]: pa.array(np.full(n, kind, np.int32))}
             return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, types[c]) for c in names], names=names)
 
         def told(chunk: int, tally: Tally) -> Iterator[pa.RecordBatch]:
-            keys, times = tally.windows()
-            words = [b"", *tally.words]
-            counts = [tally.ends, *tally.words.values()]
-            for k in range(0, len(keys), 1 << 18):
-                n = len(keys[k : k + (1 << 18)])
-                yield filled(**{rest[0]: pa.array(np.full(n, chunk)), rest[1]: pa.array(np.full(n, 1, np.int32)), rest[2]: pa.array(keys[k : k + n].view(np.int64)), rest[4]: pa.array(times[k : k + n])})
-            for some in sliced([len(w) + 8 for w in words], _BATCH):
-                n = len(some)
-                yield filled(**{rest[0]: pa.array(np.full(n, chunk)), rest[1]: pa.array(np.full(n, 2, np.int32)), rest[3]: pa.array([words[k] for k in some], pa.binary()), rest[4]: pa.array([counts[k] for k in some], pa.int64())})
-
-        # Numbers by partition: of a partition's attempts one alone is written.
+            for kind in (WINDOW, WORD):
+                keys, times = tally.counts(kind)
+                for k in range(0, len(keys), 1 << 18):
+                    yield filled(kind, chunk, **{rest[2]: pa.array(keys[k : k + (1 << 18)].view(np.int64)), rest[3]: pa.array(times[k : k + (1 << 18)])})
+
         chunk, tally, size = TaskContext.get().partitionId() << 32, None, 0
         for batch in batches:
             if not names:
                 names = [*batch.schema.names, *rest]
-                types = dict(zip(names, [*batch.schema.types, pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64()]))
+                types = dict(zip(names, [*batch.schema.types, pa.int64(), pa.int32(), pa.int64(), pa.int64()]))
             teaches = batch.column(len(carry) + 1).to_pylist()
             for some in sliced(_sizes(batch.column(len(carry))), _BATCH):
                 texts = {k: folded(batch.column(len(carry))[k].as_py()) for k in some}
@@ -127,9 +133,8 @@ def chunked(docs: DataFrame, train: Column, text: str, carry: list[str], depth:
                 for learn in (True, False):
                     if mine := [texts[k] for k in some if teaches[k] == learn]:
                         tally.add(mine, learn)
-                n = len(some)
-                own = batch.slice(some.start, n)
-                yield filled(**dict(zip(own.schema.names, own.columns)), **{rest[0]: pa.array(np.full(n, chunk)), rest[1]: pa.array(np.zeros(n, np.int32))})
+                own = batch.slice(some.start, len(some))
+                yield filled(DOCUMENT, chunk, **dict(zip(own.schema.names, own.columns)))
                 size += sum(map(len, texts.values()))
                 if size >= chunk_bytes:
                     yield from told(chunk, tally)
@@ -241,44 +246,40 @@ def scored(docs: DataFrame, train: Column, text: str = "text", carry: list[str]
         raise ValueError("depth must be 1 to 7")
     found = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
     carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in found]
-    table, (body, _, chunk, kind, window, word, times) = chunked(docs, train, text, carry, depth, chunk_bytes)
-    asked = table.where(F.col(kind) > 0).select(F.col(chunk).alias("chunk"), F.col(window).alias("window"), F.col(word).alias("word"), F.col(times).alias("times"))
-    windows = written(asked.where("window IS NOT NULL").groupBy("window").agg(F.sum("times").alias("times")))
+    table, (body, _, chunk, kind, item, times) = chunked(docs, train, text, carry, depth, chunk_bytes)
+    asked = lambda k: table.where(F.col(kind) == k).select(F.col(chunk).alias("chunk"), F.col(item).alias("item"), F.col(times).alias("times"))
+    windows = written(asked(WINDOW).groupBy(F.col("item").alias("window")).agg(F.sum("times").alias("times")))
     # A word's rows are one for each chunk that has it, the first of them stands for the word.
-    by_word = Window.partitionBy("word")
-    words = written(asked.where("word IS NOT NULL").select("chunk", "word", F.sum("times").over(by_word).alias("times"), (F.row_number().over(by_word.orderBy("chunk")) == 1).alias("first")))
+    by_word = Window.partitionBy("item")
+    words = written(asked(WORD).select("chunk", "item", F.sum("times").over(by_word).alias("times"), (F.row_number().over(by_word.orderBy("chunk")) == 1).alias("first")))
     total, distinct = words.where("first AND times > 0").agg(F.coalesce(F.sum("times"), F.lit(0)), F.count("*")).first()
     values = weighted(windows, depth)
-    told = (
-        asked.where("window IS NOT NULL").select("chunk", "window").join(values, "window").select("chunk", "window", F.lit(None).cast("binary").alias("word"), F.col("log2_p").alias("value"))
-        .unionByName(words.select("chunk", F.lit(None).cast("long").alias("window"), "word", F.col("times").cast("double").alias("value")))
-    )
-    texts = table.where(F.col(kind) == 0).select(F.col(chunk).alias(chunk), *carry, F.col(body).alias(body))
+    told = asked(WINDOW).select("chunk", F.col("item").alias("window")).join(values, "window").select("chunk", F.lit(True).alias("is_window"), F.col("window").alias("item"), F.col("log2_p").alias("value"))
+    told = told.unionByName(words.select("chunk", F.lit(False).alias("is_window"), "item", F.col("times").cast("double").alias("value")))
+    texts = table.where(F.col(kind) == DOCUMENT).select(F.col(chunk).alias(chunk), *carry, F.col(body).alias(body))
     result = docs.select(*carry)
     schema = result.select("*", *[F.lit(0).cast("long").alias(c) for c in found[:3]], *[F.lit(0.0).alias(c) for c in found[3:]]).schema
     floor = total + 0.1 * (distinct + 1)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        of_window = right.column("window").combine_chunks()
-        is_window = np.asarray(of_window.is_valid())
-        value = np.asarray(right.column("value"))
-        of = Lookup(np.asarray(of_window.drop_null()).view(np.uint64), value[is_window])
-        counts = dict(zip(right.column("word").combine_chunks().drop_null().to_pylist(), value[~is_window].tolist()))
+        is_window, item, value = (np.asarray(right.column(c)) for c in ("is_window", "item", "value"))
+        item = item.view(np.uint64)
+        of_window, of_word = Lookup(item[is_window], value[is_window]), Lookup(item[~is_window], value[~is_window])
+        ends = float(of_word(np.array([END_KEY]))[0])
         out = np.zeros((3, left.num_rows))
         sums = np.zeros((2, left.num_rows), np.int64)
-        del right, of_window, value, is_window
+        del right, item, value, is_window
         texts = left.column(left.num_columns - 1)
         sizes = np.array(_sizes(texts), np.int64) + 1
         for some in sliced(sizes.tolist(), _BATCH):
             mine, at = [folded(texts[k].as_py()) for k in some], slice(some.start, some.stop)
-            logs = of(byte_windows(mine, depth))
+            logs = of_window(byte_windows(mine, depth))
             bits = np.add.reduceat(logs, np.concatenate(([0], np.cumsum(sizes[at])[:-1])))
-            said = [t.split() for t in mine]
-            n = np.array([len(s) + 1 for s in said], np.int64)
-            c = np.fromiter((counts[w] for s in said for w in (*s, b"")), np.float64, int(n.sum()))
-            starts = np.concatenate(([0], np.cumsum(n)[:-1]))
-            sums[:, at] = n, np.add.reduceat((c > 0).astype(np.int64), starts)
-            out[:, at] = np.add.reduceat(np.log10((c + 0.1) / floor), starts), bits * math.log10(2), -bits / sizes[at]
+            keys, of_text = word_keys(mine)
+            c, n = of_word(keys), len(mine)
+            sums[:, at] = np.bincount(of_text, minlength=n) + 1, np.bincount(of_text[c > 0], minlength=n) + (ends > 0)
+            base = np.bincount(of_text, np.log10((c + 0.1) / floor), n) + math.log10((ends + 0.1) / floor)
+            out[:, at] = base, bits * math.log10(2), -bits / sizes[at]
         got = [*sums, np.full(left.num_rows, total, np.int64), *out]
         return pa.table([*left.columns[1:-1], *map(pa.array, got)], names=[*carry, *found])
 

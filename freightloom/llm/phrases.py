@@ -40,7 +40,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(33)
 
 
-_BYTE_VALUE = mixed(np.arange(1, 257, dtype=np.uint64))
+#: A coefficient for each byte.
+BYTE_VALUE = mixed(np.arange(1, 257, dtype=np.uint64))
 
 
 def prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +81,7 @@ class Tokens:
         inside = kind == 0
         edge = np.diff(np.concatenate(([False], inside)).astype(np.int8))
         start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        word = mixed(spans(prefixes(_BYTE_VALUE[buf]), start, stop))
+        word = mixed(spans(prefixes(BYTE_VALUE[buf]), start, stop))
         piece = np.cumsum(kind == 2)[start] if len(start) else np.zeros(0, np.int64)
         ends = np.cumsum([len(t) + 1 for t in texts])
         text = np.searchsorted(ends, start, side="right")
