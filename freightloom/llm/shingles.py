@@ -6,8 +6,8 @@ the smaller of the two prefixes' last values both sets are known whole, which bo
 sets are fetched.
 
 First come the links of SimHash fingerprints at three bits or fewer (at 0.8, sets of equal size differ in about ten);
-then, in a few rounds, each set outside the largest component of one of its smallest values is compared with a member
-of it. Whole sets are compared. This links most copies with rows in proportion to the sets. What is left to find are links between different components. Values that many sets of
+then, in a few rounds, sets are compared with one that shares one of their smallest values: first with the most typical
+one, then with a member of the largest component. Whole sets are compared. This links most copies with rows in proportion to the sets. What is left to find are links between different components. Values that many sets of
 different components share (common passages) then go to the end of the order, so that they leave the prefixes of all
 but sets made of them; which values these are changes the work, never the result.
 """
@@ -105,6 +105,46 @@ def _similar(pairs: DataFrame, sets: DataFrame, source: DataFrame, width: int, s
     return found
 
 
+def _typical(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """(set, typical): which share of a set's prefix other sets have in theirs, for sets in a crowd at one of their heads."""
+    crowds = heads.groupBy("value").count().where(F.col("count") > COMMON).select("value")
+    crowded = heads.join(written(crowds), "value").select("set").distinct()
+    values = written(rows.select("set", "prefix").join(crowded, "set").dropDuplicates(["set"]).select("set", F.explode("prefix").alias("value")))
+    times = written(values.groupBy("value").agg(F.count("*").alias("times")).where("times > 1"))
+    return written(values.join(times, "value", "left").groupBy("set").agg(F.avg(F.when(F.col("times") > 1, 1.0).otherwise(0.0)).alias("typical")))
+
+
+def _sociable(met: DataFrame, sets: DataFrame, source: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(set, others) of those sets of `met` that may have a link in it: how many of a set's values any other of them has.
+
+    A linked set shares at least `similarity` of its values with one other, so a set with more values of its own is left
+    out, as are edited copies that are far from each other; what only it shared with one more set is own to that one then,
+    so this is done in a few rounds. Whole sets are counted, with rows in proportion to them.
+    """
+    prints = sets.join(met.select("set").distinct(), "set").select("set", "n", "print")
+    texts = source.select("print", "text").join(prints, "print").select("set", "n", "text").dropDuplicates(["set"])
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                values = shingle_set(batch.column(2)[k].as_py(), width)
+                rows = pa.array(np.full(len(values), k))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(values)], names=["set", "n", "value"])
+
+    values = written(texts.mapInArrow(run, "set long, n long, value long"))
+    kept, before = None, None
+    for _ in range(ROUNDS + 1):
+        times = written(values.groupBy("value").agg(F.count("*").alias("times")).where("times > 1").select("value"))
+        found = written(values.join(times, "value").groupBy("set", "n").agg(F.count("*").alias("others")).where(F.col("others") >= similarity * F.col("n") - EPSILON))
+        n = found.count()
+        kept = found.select("set", "others")
+        if n == before:
+            break
+        before = n
+        values = written(values.join(kept.select("set"), "set"))
+    return kept
+
+
 def links(source: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
     """Pairs (a, b) of set names at the similarity or above: enough of them to keep every component. `rows` are the
     sketches of `source`."""
@@ -118,16 +158,22 @@ def links(source: DataFrame, rows: DataFrame, width: int, similarity: float) ->
     stars = [sets.join(first, "fp"), near.select("a_c.set", "a_c.n", F.col("b_c").alias("c"))]
     apart = lambda x: x.where((F.col("c.set") != F.col("set")) & fits(F.col("n"), F.col("c.n"))).select(F.col("set").alias("a"), F.col("c.set").alias("b"))
     starred = _similar(reduce(DataFrame.unionByName, map(apart, stars)).distinct(), sets, source, width, similarity)
-    # Then rounds of stars: of the sets that share one of their smallest values, those outside the value's largest
-    # component are compared with one member of it, another one for each value and round.
+    # Then rounds of stars: sets that share one of their smallest values are compared with one of them, a centre. In the
+    # first round that is the one most of whose values others have, too: what many texts were copied from has none of its
+    # own, while its copies may all be too far from each other. Later those outside the largest component are compared with
+    # one of its members, another one for each value and round.
+    weighed = _typical(rows, heads)
     for turn in range(ROUNDS):
         roots = written(components(starred).withColumnRenamed("node", "set"))
-        held = written(heads.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set")))
-        by = held.groupBy("value", "root").agg(F.min(F.struct(F.xxhash64("set", "value", F.lit(turn)), "set", "n")).alias("c"), F.count("*").alias("m"))
-        centre = by.groupBy("value").agg(F.max_by(F.struct("root", "c"), F.struct("m", F.xxhash64("root", "value"))).alias("major"), F.count("*").alias("k")).where("k > 1")
-        stars = held.join(centre, "value").where(F.col("root") != F.col("major.root")).select("set", "n", F.col("major.c").alias("c"))
+        held = written(heads.join(roots, "set", "left").join(weighed, "set", "left").withColumns({"root": F.coalesce("root", "set"), "typical": F.coalesce("typical", F.lit(0.0))}))
+        if turn == 0:
+            centre = held.groupBy("value").agg(F.max_by(F.struct("set", "n", "root"), F.struct("typical", "set")).alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("value", "c", F.col("c.root").alias("own"))
+        else:
+            by = held.groupBy("value", "root").agg(F.min(F.struct(F.xxhash64("set", "value", F.lit(turn)), "set", "n")).alias("c"), F.count("*").alias("m"))
+            centre = by.groupBy("value").agg(F.max_by(F.struct("root", "c"), F.struct("m", F.xxhash64("root", "value"))).alias("major"), F.count("*").alias("k")).where("k > 1").select("value", "major.c", F.col("major.root").alias("own"))
+        stars = held.join(centre, "value").where(F.col("root") != F.col("own")).select("set", "n", "c")
         found = _similar(apart(stars).distinct(), sets, source, width, similarity)
-        if found.isEmpty():
+        if turn and found.isEmpty():
             break
         starred = written(starred.unionByName(found))
     roots = written(components(starred).withColumnRenamed("node", "set"))
@@ -147,14 +193,16 @@ def links(source: DataFrame, rows: DataFrame, width: int, similarity: float) ->
         dropped(rooted, values)
         rooted, values = shared(written(_sketches(source, width, similarity, np.array(common, np.int64))))
     met = written(rooted.select("set", "root", "n", F.posexplode("prefix").alias("at", "value")).join(values.select("value"), "value"))
+    met = written(met.join(_sociable(met, sets, source, width, similarity), "set"))
     major = met.groupBy("value", "root").agg(F.count("*").alias("m")).groupBy("value").agg(F.max_by("root", F.struct("m", "root")).alias("major"))
     met = written(met.join(major, "value").withColumn("minor", F.col("root") != F.col("major")).drop("major"))
-    left = met.where("minor").select("value", F.col("set").alias("a"), F.col("root").alias("a_root"), F.col("n").alias("a_n"), F.col("at").alias("a_at"))
-    right = met.select("value", F.col("set").alias("b"), F.col("root").alias("b_root"), F.col("n").alias("b_n"), F.col("at").alias("b_at"), "minor")
+    left = met.where("minor").select("value", F.col("set").alias("a"), F.col("root").alias("a_root"), F.col("n").alias("a_n"), F.col("at").alias("a_at"), F.col("others").alias("a_others"))
+    right = met.select("value", F.col("set").alias("b"), F.col("root").alias("b_root"), F.col("n").alias("b_n"), F.col("at").alias("b_at"), F.col("others").alias("b_others"), "minor")
     least = similarity / (1 + similarity)
     # At the first value that a pair shares, no more can be shared than either set has from there on. So sets made of a
     # common text and something of their own, which come first in the order, meet nobody here.
-    can = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) >= least * (F.col("a_n") + F.col("b_n")) - EPSILON
+    # Nor can it share a value that only one of them has.
+    can = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"), "a_others", "b_others") >= least * (F.col("a_n") + F.col("b_n")) - EPSILON
     pairs = left.join(right, "value").where((F.col("a_root") != F.col("b_root")) & (~F.col("minor") | (F.col("a") < F.col("b"))) & can)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda s: rooted.select(F.col("set").alias(s), F.col("n").alias(f"{s}_n"), F.col("last").alias(f"{s}_last"), (F.col("n") - F.size("prefix")).alias(f"{s}_rest"), F.col("prefix").alias(f"{s}_prefix"))
