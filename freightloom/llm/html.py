@@ -51,8 +51,15 @@ LANDMARKS = frozenset("article main".split())
 #: Words in a class or id that mark chrome, whatever words are beside them.
 CHROME_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies gdpr sidebar navbar breadcrumb "
-    "breadcrumbs masthead comment comments commentlist disqus newsletter".split()
+    "breadcrumbs masthead comment comments commentlist disqus newsletter onetrust cookiebot disclaimer".split()
 )
+#: A name that ends so tells a state of the text or of the page, such as whether comments are open.
+STATES = frozenset("enabled disabled open closed allowed off on count status active".split())
+#: A name that ends so is of a text, unless it is of an advert or a comment.
+TEXT_ENDS = frozenset("article story entry post".split())
+NO_TEXT = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored comment comments".split())
+#: Names of reader comments, outside of the article's own element.
+READERS = frozenset("discussion discussions responses respond".split())
 #: Words that mark chrome where nothing but such words and neutral ones are in the name.
 CHROME_NAMES = frozenset(
     "header footer menu nav navigation side aside notice notices banner consent alert popup modal overlay promo promotion reply replies "
@@ -81,12 +88,16 @@ class Node:
 
 @lru_cache(maxsize=65536)
 def _kind(name: str) -> str:
-    """Of a class or id: `chrome`, `text` or nothing in particular."""
+    """Of a class or id: `chrome`, `readers` (their comments), `text` or nothing in particular."""
     parts = [p.lower() for p in _NAME.findall(name)]
     if not parts or parts[0] in STATE_WORDS:
         return ""
+    if len(parts) > 1 and (parts[-1] in STATES or parts[-1] in TEXT_ENDS and not NO_TEXT.intersection(parts)):
+        return ""
     if CHROME_WORDS.intersection(parts):
         return "chrome"
+    if READERS.intersection(parts) and all(p in READERS or p in NEUTRAL_WORDS or p.isdigit() for p in parts):
+        return "readers"
     if all(p in TEXT_WORDS for p in parts):
         return "text"
     if CHROME_NAMES.intersection(parts) and all(p in CHROME_NAMES or p in NEUTRAL_WORDS or p.isdigit() for p in parts):
@@ -107,6 +118,8 @@ def _is_chrome(tag: str, attributes: str, in_text: bool) -> bool:
                 return True
         else:
             kinds.update(_kind(name) for name in value.split())
+    if "readers" in kinds and not in_text and tag != "article":
+        return True
     # An article is left out only as a comment; a header in one, or a name of text beside, isn't chrome.
     if tag == "article":
         return "comment" in attributes.lower() and "chrome" in kinds
@@ -301,10 +314,16 @@ def main_text(page: str | None) -> str:
             continue
         starts = not inside and id(x) in regions
         inside = inside or starts
+        if x.tag in RAW and x.tag not in BLOCK:
+            continue
         if x.tag in RAW or (x.chrome and not starts):
-            blocks.append([])
+            # What stands in a line of text, as a button does, leaves a gap in it.
+            if x.tag in BLOCK:
+                blocks.append([])
+            else:
+                blocks[-1].append(" ")
             continue
-        if inside and not starts and x.tag in ("ul", "ol", "div", "section", "table") and x.link_chars > 0.5 * x.chars and x.density < threshold:
+        if inside and not starts and x.tag in ("ul", "div", "section", "table") and x.link_chars > 0.5 * x.chars and x.density < threshold:
             blocks.append([])
             continue
         if x.tag == "br":
@@ -324,7 +343,9 @@ def main_text(page: str | None) -> str:
 def extracted(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """All rows and columns but `html`, with the main text in `out` (an input column of that name is replaced).
 
-    A null or empty page has an empty text. Pages are parsed one by one: repeated rows give repeated results.
+    A null or empty page has an empty text. Pages are parsed one by one and whole, however long: repeated rows give
+    repeated results, equal densities go to the node that comes first, an empty table gives no rows, other columns are
+    kept as they are.
     """
     carry = [c for c in pages.columns if c.lower() not in (html.lower(), out.lower())]
     h = fresh(pages, "_html")
@@ -340,5 +361,7 @@ def extracted(pages: DataFrame, html: str = "html", out: str = "text") -> DataFr
 
 
 def op7_html(spark, sf_dir: str) -> DataFrame:
+    """The main text of every page, by `extracted`: a null or empty page has an empty one, pages are read whole, repeated
+    rows give repeated results, an empty table gives no rows; other columns don't matter."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return extracted(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

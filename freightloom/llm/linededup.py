@@ -47,7 +47,7 @@ def deduped(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
 
     Rows are never removed: a text whose every line is repeated becomes empty, a null text stays null. Order of
     occurrences: key (null first), then the text's hash, then place. Repeated rows (equal key and text) keep or
-    lose the same lines. Lines without a word stay. An input column `lines_removed` is replaced.
+    lose the same lines. Lines without a word stay. An input column `lines_removed` is replaced. Long texts are taken whole; an empty table stays empty.
     """
     kept = [c for c in docs.columns if c.lower() != "lines_removed"]
     k, p, q, gone = (fresh(docs, x) for x in ("_key", "_print", "_lost_print", "_gone"))
@@ -59,10 +59,12 @@ def deduped(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     left = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)))
     cleaned = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
     n = F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone))
-    return rows.select(*[cleaned.alias(c) if c == text else F.col(c) for c in kept], n.alias("lines_removed"))
+    return rows.select(*[cleaned.alias(c) if c.lower() == text.lower() else F.col(c) for c in kept], n.alias("lines_removed"))
 
 
 def op5_linededup(spark, sf_dir: str) -> DataFrame:
+    """Every document without its later repeated lines, by `deduped`: a null text stays null, whole texts are read however
+    long, repeated rows lose the same lines, ties go by key, an empty table gives no rows; other columns don't matter."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return deduped(docs)
 

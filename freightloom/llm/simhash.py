@@ -200,5 +200,8 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: i
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document, by `grouped`: null and empty texts have the fingerprint zero and are
+    linked like any other, whole texts are read however long, repeated rows get equal results, an empty table gives no
+    rows; other columns don't matter."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))

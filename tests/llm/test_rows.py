@@ -247,3 +247,31 @@ def test_extracted_rows(spark):
     got = html.extracted(pages).collect()
     assert [r["text"].count("\n") for r in got] == [5, 5, 0] and got[2]["text"] == ""
     assert html.extracted(pages.limit(0)).collect() == []
+
+
+TEXT = "This is a sentence of the article with enough words to be its main text, and it goes on for a while. " * 4
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        # A state in the name, or a name that ends in a word for a text, isn't chrome.
+        (f"<body><article class='post comment-enabled'><p>{TEXT}</p></article></body>", TEXT),
+        (f"<body><div class='newsletter-article'><p>{TEXT}</p></div></body>", TEXT),
+        # Readers' comments and notices are.
+        (f"<body><article><p>{TEXT}</p></article><section class='discussion'><p>{TEXT}</p></section></body>", TEXT),
+        (f"<body><article><p>{TEXT}</p></article><div id='responses'><p>{TEXT}</p></div></body>", TEXT),
+        (f"<body><div id='onetrust-banner'><p>{TEXT}</p></div><article><p>{TEXT}</p></article></body>", TEXT),
+        (f"<body><article><p>{TEXT}</p></article><div class='disclaimer'><p>{TEXT}</p></div></body>", TEXT),
+        (f"<body><article><p>{TEXT}</p></article><div class='article-comments'><p>{TEXT}</p></div></body>", TEXT),
+        (f"<body><article><p>{TEXT}</p></article><div class='sponsored-post'><p>{TEXT}</p></div></body>", TEXT),
+        # A section of that name in the article is its own.
+        (f"<body><article><p>{TEXT}</p><section class='discussion'><p>{TEXT}</p></section></article></body>", TEXT.strip() + "\n" + TEXT),
+        # References are a part of it; what stands in a line doesn't cut it.
+        (f"<body><article><p>{TEXT}</p><ol><li><a href='x'>A work that is cited here</a></li></ol></article></body>", TEXT.strip() + "\nA work that is cited here"),
+        (f"<body><article><p>Before <button>Copy</button> after. {TEXT}</p></article></body>", "Before after. " + TEXT),
+        (f"<body><article><p>Before<script>x()</script> after. {TEXT}</p></article></body>", "Before after. " + TEXT),
+    ],
+)
+def test_main_text_of_pages_with_telling_names(page, want):
+    assert html.main_text(page) == want.strip()
