@@ -14,12 +14,14 @@ from freightloom.llm.common import fresh, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weighed rules keep."""
+    """Documents that the weighed rules keep; null, empty and very short texts go, repeated rows go or stay together, long
+    texts are judged whole, an empty table stays empty."""
     return quality.judged(docs).where("kept").select(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; the model learns from the labelled ones that aren't held out."""
+    """Documents whose language is recognised; the model learns from the labelled ones that aren't held out. Texts without
+    a letter go; without labels all do. Repeated rows go or stay together, an empty table stays empty."""
     model = langid.fitted(docs, ~langid.held_out())
     return langid.identified(docs, model).where(~F.col("rejected")).select(*docs.columns)
 
@@ -45,7 +47,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences of all documents: a null or empty text is its end alone, long texts are cut, repeated rows
+    are packed each, an empty table gives no pieces."""
     import public_tokenizers
 
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), end=1)
