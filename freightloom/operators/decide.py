@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from freightloom.operators.ranked import running
 from freightloom.operators.scan import carried
-from freightloom.operators.scratch import dropped, written
+from freightloom.operators.scratch import written
 
 
 def best_action(df: DataFrame, key: str, p: Column, stake: Column, actions: Mapping[str, tuple[float, float]]) -> DataFrame:
@@ -155,22 +155,20 @@ def coupled_cusum(df: DataFrame, day: str, lane: str, z: str, weight: str, k: fl
 
     A day's shared effect needs the state of all lanes on the day before. Days, whose number doesn't grow with the
     lanes, are handled one after the other: an aggregate of the day's votes, then an update of all lanes by a join,
-    written as the next day's states.
+    written once, with the states that the next day starts from.
     """
     cols = written(df.select(F.col(day).cast("date").alias("day"), F.col(lane).cast("string").alias("lane"), F.col(z).cast("double").alias("z"), F.col(weight).cast("double").alias("w")))
-    schema = "day date, lane string, shared double, s double, alarm boolean"
-    out = [df.sparkSession.createDataFrame([], schema)]
+    out = [df.sparkSession.createDataFrame([], "day date, lane string, shared double, s double, alarm boolean")]
     state = df.sparkSession.createDataFrame([], "lane string, state double")
     for (at,) in cols.select("day").distinct().orderBy("day").collect():
-        rows = cols.where(F.col("day") == F.lit(at)).join(state, "lane", "left").withColumn("state", F.coalesce("state", F.lit(0.0)))
-        votes = rows.where(F.col("state") < suspect)
+        rows = cols.where(F.col("day") == F.lit(at)).join(state, "lane", "full").withColumn("state", F.coalesce("state", F.lit(0.0)))
         clipped = F.greatest(F.least(F.col("z"), F.lit(3.0)), F.lit(-3.0))
-        total, sums = votes.agg(F.sum("w"), F.sum(clipped * F.col("w"))).first()
+        total, sums = rows.where(F.col("day").isNotNull() & (F.col("state") < suspect)).agg(F.sum("w"), F.sum(clipped * F.col("w"))).first()
         shared = sums / total if total else 0.0
-        s = F.greatest(F.lit(0.0), F.col("state") + F.col("z") - shared - k)
-        done = written(rows.select("day", "lane", F.lit(shared).alias("shared"), s.alias("s"), (s >= h).alias("alarm")))
-        out.append(done)
-        now = done.select("lane", F.when(F.col("alarm"), 0.0).otherwise(F.col("s")).alias("new"))
-        old, state = state, written(state.join(now, "lane", "full").select("lane", F.coalesce("new", "state").alias("state")))
-        dropped(old)
+        s = F.when(F.col("day").isNotNull(), F.greatest(F.lit(0.0), F.col("state") + F.col("z") - shared - k))
+        new = F.when(s >= h, 0.0).otherwise(F.coalesce(s, F.col("state")))
+        # The day's rows and the next day's states are one table.
+        done = written(rows.select("day", "lane", F.lit(shared).alias("shared"), s.alias("s"), (s >= h).alias("alarm"), new.alias("state")))
+        out.append(done.where("day IS NOT NULL").drop("state"))
+        state = done.select("lane", "state")
     return reduce(DataFrame.unionByName, out)

@@ -99,6 +99,8 @@ def order_statistics(df: DataFrame, value: str, ranks: Sequence[int], most: int
     rows = df.where(v.isNotNull()).select(v.alias("v"))
     found: dict[int, float] = {}
     low, high, n = rows.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    if n > most:
+        rows = written(rows)  # read once for each level
     parts = [(low, high, 0, n, sorted(set(ranks)))]  # values from low to high, with the count of those below and inside
     while parts:
         a, b, below, n, inside = parts.pop()

@@ -182,7 +182,13 @@ def hash_split_md5(spark, d):
     return table(spark, d, "customer").select("c_custkey", (h % 1000 < 700).alias("is_train"))
 
 
-@query()
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    bits = "list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda i: 0::UBIGINT)), lambda v, z: xor(v >> 1, CASE WHEN v & 1::UBIGINT = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END))"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split({text}, ''), lambda ch: ascii(ch)::UBIGINT)), lambda c, b: {bits}), 4294967295::UBIGINT)"
+
+
+@query(f"SELECT c_custkey, {_crc32_sql('CAST(c_custkey AS VARCHAR)')} % 100 < 70 AS is_train FROM customer")
 def hash_split_crc32(spark, d):
     return table(spark, d, "customer").select("c_custkey", (F.crc32(F.col("c_custkey").cast("string").cast("binary")) % 100 < 70).alias("is_train"))
 

@@ -180,8 +180,9 @@ def to_xy(spark, d):
     """Features and label; a feature that is the label would raise."""
     from freightloom.operators.clean import forbid_columns
 
-    x = forbid_columns(table(spark, d, "customer").select("c_custkey", F.round("c_acctbal", 4).alias("x_balance")), ["c_mktsegment"])
-    return x.join(table(spark, d, "customer").select("c_custkey", (F.col("c_mktsegment") == "BUILDING").cast("int").alias("y")), "c_custkey")
+    both = table(spark, d, "customer").select("c_custkey", F.round("c_acctbal", 4).alias("x_balance"), (F.col("c_mktsegment") == "BUILDING").cast("int").alias("y"))
+    forbid_columns(both.drop("y"), ["c_mktsegment"])
+    return both
 
 
 @query("SELECT p_partkey, upper(substr(replace(p_name, '_', ' '), 1, 1)) || substr(replace(p_name, '_', ' '), 2) AS shown FROM part")
