@@ -192,8 +192,10 @@ def links(source: DataFrame, rows: DataFrame, width: int, similarity: float) ->
     if common:
         dropped(rooted, values)
         rooted, values = shared(written(_sketches(source, width, similarity, np.array(common, np.int64))))
-    met = written(rooted.select("set", "root", "n", F.posexplode("prefix").alias("at", "value")).join(values.select("value"), "value"))
-    met = written(met.join(_sociable(met, sets, source, width, similarity), "set"))
+    met = written(rooted.select("set", "root", "n", F.posexplode("prefix").alias("at", "value")).join(values, "value"))
+    # Where a value still has a crowd, only those of it that may have a link in the crowds take part.
+    crowd = met.where(F.col("m") > COMMON)
+    met = written(met.where(F.col("m") <= COMMON).withColumn("others", F.col("n")).unionByName(crowd.join(_sociable(crowd, sets, source, width, similarity), "set")).drop("m"))
     major = met.groupBy("value", "root").agg(F.count("*").alias("m")).groupBy("value").agg(F.max_by("root", F.struct("m", "root")).alias("major"))
     met = written(met.join(major, "value").withColumn("minor", F.col("root") != F.col("major")).drop("major"))
     left = met.where("minor").select("value", F.col("set").alias("a"), F.col("root").alias("a_root"), F.col("n").alias("a_n"), F.col("at").alias("a_at"), F.col("others").alias("a_others"))
