@@ -87,6 +87,13 @@ def test_monotone_on_a_grid_for_every_row(rows):
     assert falls(bound) and rises(bound) and not rises(free)
 
 
+def test_monotone_trees_beat_a_bounded_line_on_a_curve(rows):
+    train, test = rows.where("id < 3000"), rows.where("id >= 3000")
+    bound = test.withColumn("p", B.fit(train, ["a", "b"], "y", rounds=6, signs={"b": -1}).chances()[0])
+    line = M.probability(M.monotone_logistic(train, ["a", "b"], "y", {"b": -1}), test)
+    assert auc(bound, "p") > auc(line, "p") + 0.1
+
+
 def test_softmax_beats_a_multinomial_line(rows):
     train, test = rows.where("id < 3000"), rows.where("id >= 3000")
     model = B.fit(train, ["a", "b", "c"], "class", loss="softmax", classes=3, rounds=6)
