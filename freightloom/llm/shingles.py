@@ -136,12 +136,15 @@ def _sociable(met: DataFrame, sets: DataFrame, source: DataFrame, width: int, si
     for _ in range(ROUNDS + 1):
         times = written(values.groupBy("value").agg(F.count("*").alias("times")).where("times > 1").select("value"))
         found = written(values.join(times, "value").groupBy("set", "n").agg(F.count("*").alias("others")).where(F.col("others") >= similarity * F.col("n") - EPSILON))
+        dropped(times)
         n = found.count()
         kept = found.select("set", "others")
         if n == before:
             break
         before = n
-        values = written(values.join(kept.select("set"), "set"))
+        old, values = values, written(values.join(kept.select("set"), "set"))
+        dropped(old)
+    dropped(values)
     return kept
 
 
@@ -166,6 +169,7 @@ def links(source: DataFrame, rows: DataFrame, width: int, similarity: float) ->
     for turn in range(ROUNDS):
         roots = written(components(starred).withColumnRenamed("node", "set"))
         held = written(heads.join(roots, "set", "left").join(weighed, "set", "left").withColumns({"root": F.coalesce("root", "set"), "typical": F.coalesce("typical", F.lit(0.0))}))
+        dropped(roots)
         if turn == 0:
             centre = held.groupBy("value").agg(F.max_by(F.struct("set", "n", "root"), F.struct("typical", "set")).alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("value", "c", F.col("c.root").alias("own"))
         else:
@@ -173,9 +177,11 @@ def links(source: DataFrame, rows: DataFrame, width: int, similarity: float) ->
             centre = by.groupBy("value").agg(F.max_by(F.struct("root", "c"), F.struct("m", F.xxhash64("root", "value"))).alias("major"), F.count("*").alias("k")).where("k > 1").select("value", "major.c", F.col("major.root").alias("own"))
         stars = held.join(centre, "value").where(F.col("root") != F.col("own")).select("set", "n", "c")
         found = _similar(apart(stars).distinct(), sets, source, width, similarity)
+        dropped(held)
         if turn and found.isEmpty():
             break
-        starred = written(starred.unionByName(found))
+        old, starred = starred, written(starred.unionByName(found))
+        dropped(old, found)
     roots = written(components(starred).withColumnRenamed("node", "set"))
 
     def shared(some: DataFrame) -> tuple[DataFrame, DataFrame]:
