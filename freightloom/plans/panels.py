@@ -144,7 +144,7 @@ WITH {USER_DAYS} SELECT user_id, day, round(100 * (avg(total) OVER a / avg(total
 WINDOW a AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), b AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN 27 PRECEDING AND CURRENT ROW)""")
 def win_trend_pct(spark, d):
     mean = lambda n: F.avg("total").over(W.rolling(["user_id"], ["day"], n))
-    return rounded(user_days(spark, d).select("user_id", "day", (100 * (mean(7) / mean(28) - 1)).alias("trend")))
+    return rounded(user_days(spark, d).select("user_id", "day", (100 * (S.divided(mean(7), mean(28)) - 1)).alias("trend")))
 
 
 @query(f"""
