@@ -9,7 +9,7 @@ from freightloom.functions import scalar as S
 from freightloom.operators import decide as D
 from freightloom.operators import ranked as R
 from freightloom.plans.decisions import _ACTED, acted
-from freightloom.plans.panels import TYPE_DAYS, USER_DAYS, type_days, user_days
+from freightloom.plans.panels import TYPE_DAYS, USER_DAYS, summed_days, type_days, user_days
 from freightloom.plans.registry import query, rounded, table
 from freightloom.plans.scores import _FORECAST, SCORED, forecasts, scored
 
@@ -122,7 +122,7 @@ SELECT round(avg(hits / n), 4) AS "precision", round(avg(hits / nullif(bad, 0)),
 def agg_capacity_metrics(spark, d):
     """By day first, then the mean over days; a day without failures has no recall."""
     rank = F.row_number().over(Window.partitionBy("day").orderBy(F.desc("total"), "user_id"))
-    f = user_days(spark, d).withColumn("flagged", (rank <= 5).cast("int"))
+    f = summed_days(spark, d).withColumn("flagged", (rank <= 5).cast("int"))
     g = f.groupBy("day").agg(F.sum(F.col("flagged") * F.col("failed")).alias("hits"), F.sum("flagged").alias("n"), F.sum("failed").alias("bad"))
     return rounded(g.agg(F.avg(F.col("hits") / F.col("n")).alias("precision"), F.avg(F.try_divide("hits", "bad")).alias("recall")))
 
