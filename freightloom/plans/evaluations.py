@@ -13,7 +13,7 @@ from freightloom.operators import ranked as R
 from freightloom.operators.scratch import new_path
 from freightloom.plans.decisions import _ACTED, acted
 from freightloom.plans.further import _TOUR, _legs
-from freightloom.plans.panels import TYPE_DAYS, USER_DAYS, type_days, user_days
+from freightloom.plans.panels import TYPE_DAYS, USER_DAYS, summed_days, type_days, user_days
 from freightloom.plans.matching import PAIRS, matched_pairs
 from freightloom.plans.registry import query, rounded, table
 from freightloom.plans.routing import _STOPS, stops
@@ -680,4 +680,4 @@ def card_ticket(spark, d):
 @query(f"WITH {USER_DAYS} SELECT user_id, arg_max(day, (total, day)) AS day, round(max(total), 4) AS risk FROM u GROUP BY 1")
 def card_dispatch_fleet(spark, d):
     """Each vehicle's riskiest day."""
-    return rounded(user_days(spark, d).groupBy("user_id").agg(F.max_by("day", F.struct("total", "day")).alias("day"), F.max("total").alias("risk")))
+    return rounded(summed_days(spark, d).groupBy("user_id").agg(F.max_by("day", F.struct("total", "day")).alias("day"), F.max("total").alias("risk")))
