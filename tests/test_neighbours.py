@@ -70,3 +70,20 @@ def test_candidates_of_a_row_do_not_grow_with_the_table(spark):
         told[sf] = QUERIES["agg_blocking_recall"].build(spark, f"/root/testdata/{sf}").first()
     assert all(r["recall"] >= 0.9 for r in told.values())
     assert told["sf0.1"]["pairs_per_row"] < 2 * told["sf0.01"]["pairs_per_row"] < 12
+
+
+def test_near_keys_are_not_sent_to_all_executors(spark):
+    """A small table has many times as many keys as Spark thinks: its side is dealt out by key, into parts that follow their number."""
+    df = spark.range(20_000).select("id", F.format_string("%09d", "id").alias("t"))
+    pairs = J.near_pairs(df.withColumnRenamed("id", "a"), df.withColumnRenamed("id", "b"), "a", "b", F.col("t"), F.col("t"), gap=(F.col("t"), F.col("t")))
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    assert plan.count("SinglePartition, REPARTITION_BY_NUM") == 2
+    got = {(r["a"], r["b"]): r["gap"] for r in pairs.where("a < 30").collect()}
+    assert got[3, 3] == 0 and got[3, 4] == 1 and got[12, 21] == 2 and (3, 44) not in got
+    J.PART, most = 100_000, J.PART
+    try:
+        again = J.near_pairs(df.withColumnRenamed("id", "a"), df.withColumnRenamed("id", "b"), "a", "b", F.col("t"), F.col("t"))
+        assert ", 4), REPARTITION_BY_NUM" in again._jdf.queryExecution().executedPlan().toString()
+    finally:
+        J.PART = most
