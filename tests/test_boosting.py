@@ -238,3 +238,17 @@ def test_group_quantiles_are_exact(spark):
             assert np.allclose(got[k], np.quantile(vs, qs))
         else:
             assert got[k] == [None] * 5
+
+
+def test_rows_of_the_same_bins_are_counted_once(spark, monkeypatch):
+    """However many rows there are, classes are learned from a table of bins and classes, with the same trees."""
+    sizes = []
+    plain = B.written
+    monkeypatch.setattr(B, "written", lambda df: (out := plain(df), sizes.append((set(df.columns), out.count())))[0])
+    df = spark.range(600).select((F.col("id") % 5).cast("double").alias("a"), (F.col("id") % 5 > 2).cast("double").alias("y"))
+    once = B.fit(df, ["a"], "y", rounds=2, least_rows=1)
+    many = B.fit(df.unionAll(df), ["a"], "y", rounds=2, least_rows=1, l2=2.0)
+    assert [n for columns, n in sizes if "m0" in columns] == [5, 5]
+    assert [t.cut for _, t in once.trees] == [t.cut for _, t in many.trees]
+    assert many.trees[0][1].cover == [2 * c for c in once.trees[0][1].cover]
+    assert many.curve[-1][0] == pytest.approx(once.curve[-1][0])
