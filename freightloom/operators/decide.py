@@ -100,7 +100,11 @@ def booking_costs(demand: Column, booked: Column, unit: float, spot: float, salv
 def uplift_curve(df: DataFrame, order: Sequence[Column], treated: Column, outcome: Column) -> DataFrame:
     """(rank, gain): targeted rows times the difference of the arms' outcome rates so far; 0 while an arm is empty."""
     t, y = treated.cast("long"), outcome.cast("long")
-    ranked = running(df, order, {"nt": t, "yt": t * y, "nc": 1 - t, "yc": (1 - t) * y})
+    return gains(running(df, order, {"nt": t, "yt": t * y, "nc": 1 - t, "yc": (1 - t) * y}))
+
+
+def gains(ranked: DataFrame) -> DataFrame:
+    """The curve of ranked rows that hold so far nt treated ones, yt of them with the outcome, and nc and yc of the others."""
     gain = F.when((F.col("nt") > 0) & (F.col("nc") > 0), F.col("rank") * (F.try_divide(F.col("yc"), F.col("nc")) - F.try_divide(F.col("yt"), F.col("nt")))).otherwise(0.0)
     return ranked.select("rank", gain.alias("gain"))
 
