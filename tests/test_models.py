@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,14 @@ def test_quantiles_are_exact(spark, rows):
     assert R.order_statistics(df, "v", ranks, most=20, cuts=7) == [sorted(values)[k] for k in ranks]
     assert R.quantiles(df.where("v is null"), "v", [0.5]) == [None]
     assert R.quantiles(df.where("v = 1"), "v", [0.3, 0.6]) == [1.0, 1.0]
+
+
+def test_quantiles_of_few_groups_are_exact(spark):
+    r = np.random.default_rng(5)
+    groups = {0: r.normal(size=4000), 1: np.repeat(r.integers(0, 5, 40), 60) * 1.0, 2: np.array([7.5]), 3: 10.0 ** r.uniform(-8, 8, 3000)}
+    df = spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x] + [(4, None)], "g int, v double")
+    shares = [0.1, 0.5, 0.9, 0.37]
+    found = R.few_group_quantiles(df, "g", "v", lambda g: shares[g], most=16, cuts=8)
+    assert sorted(found) == [0, 1, 2, 3]
+    for g, x in groups.items():
+        assert abs(found[g] - np.quantile(x, shares[g])) <= 1e-9 * max(1.0, abs(found[g]))
