@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ PIECE_MARKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 9 else c for c in range(256))
 #: 0 for a byte of a word, 1 for a blank, 2 for a mark.
 _KIND = np.array([2 if c in PIECE_MARKS else 1 if c in BLANKS else 0 for c in range(256)], np.uint8)
-_BATCH = 1 << 21
+_BATCH = 1 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -186,13 +187,13 @@ def read(docs: DataFrame, text: str, lang: str, key: str) -> DataFrame:
 def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Tokens]]:
     """Rows of about `_BATCH` bytes of text each (or one longer text), with their words."""
     for batch in batches:
-        texts = [(t.as_py() or b"").translate(_FOLD) for t in batch.column("body")]
-        salts = np.asarray(batch.column("salt")).view(np.uint64)
-        for some in sliced([len(t) + 1 for t in texts], _BATCH):
-            yield batch.slice(some.start, len(some)), Tokens.of(texts[some.start : some.stop], salts[some.start : some.stop])
+        body, salts = batch.column("body"), np.asarray(batch.column("salt")).view(np.uint64)
+        for some in sliced([n + 1 for n in pc.binary_length(body).fill_null(0).to_pylist()], _BATCH):
+            texts = [(t.as_py() or b"").translate(_FOLD) for t in body.slice(some.start, len(some))]
+            yield batch.slice(some.start, len(some)), Tokens.of(texts, salts[some.start : some.stop])
 
 
-def counts(rows: DataFrame, keys_of: Callable[[Tokens], list[np.ndarray]], room: int = 1 << 22) -> DataFrame:
+def counts(rows: DataFrame, keys_of: Callable[[Tokens], list[np.ndarray]], room: int = 1 << 20) -> DataFrame:
     """Rows (key, times): how often the fingerprints that `keys_of` picks occur. Tasks add up before the shuffle, and
     hand on what they have when it passes `room` fingerprints."""
 

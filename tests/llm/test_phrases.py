@@ -107,3 +107,16 @@ def test_a_sieve_misses_nothing(spark):
     others = np.random.default_rng(3).integers(0, 1 << 64, 30000, np.uint64)
     assert held(others).mean() < 0.02
     assert not phrases.Sieve.of(spark.createDataFrame([], "key long"))(others).any()
+
+
+def test_texts_are_read_in_small_parts():
+    """A worker's memory follows the bytes that it looks at together: about a megabyte, and one longer text."""
+    import pyarrow as pa
+
+    from freightloom.llm import phrases
+
+    body = [b"one two three " * 20_000, None, b"four " * 200_000, b"five " * 10]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 4, pa.int64()), pa.array(body, pa.binary())], names=["salt", "body"])
+    parts = list(phrases.batches_of(iter([batch])))
+    assert sum(p.num_rows for p, _ in parts) == 4 and sum(len(t.word) for _, t in parts) == 60_000 + 200_000 + 10
+    assert all(len(t.buf) <= 1 << 20 or p.num_rows == 1 for p, t in parts)
