@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -87,3 +88,9 @@ def test_near_keys_are_not_sent_to_all_executors(spark):
         assert ", 4), REPARTITION_BY_NUM" in again._jdf.queryExecution().executedPlan().toString()
     finally:
         J.PART = most
+
+
+def test_candidates_beyond_the_reach_are_not_sorted(spark):
+    df = spark.range(400).selectExpr("id", "cast(id % 20 as double) AS x", "cast(id div 20 as double) AS y")
+    plan = J.nearest(df, "id", "x", "y", 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"<= reach#\d+", plan.split("Window", 1)[1]) and "RepartitionByExpression" in plan
