@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterable, Iterator
 from unicodedata import is_normalized
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,6 +65,8 @@ _LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff" + "".join(
 _DIGITS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 #: A text with any other character than these is encoded whole.
 _OTHER = re.compile(f"[^\0-\xff‐-‧€{_LETTERS}]")
+#: What Arrow takes for white space and the patterns don't.
+_MARKS = "\x1c\x1d\x1e\x1f"
 _ENDINGS = "'(?:s|t|re|ve|m|ll|d)"
 
 
@@ -70,13 +74,14 @@ class UnitEncoder:
     """Ids of whole texts through the tokenizers library, which sees each distinct unit of a text once.
 
     A unit is a word of the tokenizer's own pattern, so the ids of a text are those of its units in order. `cut` gives
-    the units of a text, `learn` the ids of distinct units, `whole` those of texts that aren't cut: such as match
-    `uncut`. At most about `room` units are remembered in a worker; a full memory is emptied. Ids are little-endian
+    the units of a text, `learn` the ids of distinct units, `whole` those of texts that aren't cut: such as `uncut`
+    tells. In place of `cut`, `space` may give texts with white space between all units, of which units have none: then
+    Arrow cuts, and Python sees what is distinct in the texts taken together. At most about `room` units are remembered in a worker; a full memory is emptied. Ids are little-endian
     unsigned integers of the numpy type `dtype`.
     """
 
-    def __init__(self, cut: Callable[[str], list[str]], learn: Callable[[list[str]], dict[str, bytes]], whole: Callable[[list[str]], list[bytes]], uncut: re.Pattern, dtype: str, room: int):
-        self.cut, self.learn, self.whole, self.uncut, self.dtype, self.room = cut, learn, whole, uncut, dtype, room
+    def __init__(self, cut: Callable[[str], list[str]] | None, learn: Callable[[list[str]], dict[str, bytes]], whole: Callable[[list[str]], list[bytes]], uncut: Callable[[str], bool], dtype: str, room: int, space: Callable[[list[str]], pa.Array] | None = None):
+        self.cut, self.learn, self.whole, self.uncut, self.dtype, self.room, self.space = cut, learn, whole, uncut, dtype, room, space
         self.known: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
@@ -85,7 +90,7 @@ class UnitEncoder:
 
     def together(self, texts: list[str]) -> list[bytes]:
         """The ids of each of the texts; units that are new to the worker are encoded in one go."""
-        apart = [k for k, t in enumerate(texts) if self.uncut.search(t)]
+        apart = [k for k, t in enumerate(texts) if self.uncut(t)]
         if apart:
             out: list[bytes] = [b""] * len(texts)
             rest = sorted(set(range(len(texts))).difference(apart))
@@ -93,13 +98,35 @@ class UnitEncoder:
                 for k, ids in zip(some, found):
                     out[k] = ids
             return out
+        if self.space:
+            return self._gathered(self.space(texts))
         units = list(map(self.cut, texts))
+        self._met(units)
+        return [b"".join(map(self.known.__getitem__, u)) for u in units]
+
+    def _met(self, units: list[list[str]]) -> None:
+        """Learns what is new among the units."""
         if new := set().union(*units).difference(self.known):
             if len(self.known) + len(new) > self.room:
                 self.known.clear()
                 new = set().union(*units)
             self.known.update(self.learn(list(new)))
-        return [b"".join(map(self.known.__getitem__, u)) for u in units]
+
+    def _gathered(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each of the spaced texts, from those of their distinct units."""
+        runs = pc.utf8_split_whitespace(texts)
+        codes = runs.flatten().dictionary_encode()
+        units = codes.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._met([units])
+        found = list(map(self.known.__getitem__, units))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // np.dtype(self.dtype).itemsize
+        ids = np.frombuffer(b"".join(found), self.dtype)
+        at = codes.indices.to_numpy()
+        n = sizes[at]
+        ends = np.cumsum(np.append(0, n))
+        out = ids[np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], n) + np.arange(ends[-1])]
+        bounds = ends[runs.offsets.to_numpy()].tolist()
+        return [out[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
 
     def many(self, texts: Iterable[str], chars: int = 4_000_000) -> Iterator[bytes]:
         """The ids of each text in turn, taking texts of about `chars` characters together."""
@@ -160,7 +187,7 @@ def _loaded(path: str, room: int) -> UnitEncoder:
     plain = model["type"] == "BPE" and not model.get("dropout") and not model.get("ignore_merges") and not parts["post_processor"]
     bare = prepared == _BARE_WORDS and bool(model.get("end_of_word_suffix"))
     if not plain or not (bare or prepared == _LEADING_SPACES):
-        return UnitEncoder(list, dict, whole, re.compile(""), dtype.str, room)
+        return UnitEncoder(list, dict, whole, lambda text: True, dtype.str, room)
     # In the ids of a line of units, bare ones end with a piece of the suffix, ones behind a space start with a piece
     # that has it, ones behind a line feed have its id before them.
     last, first, feed = np.zeros((3, tokenizer.get_vocab_size()), bool)
@@ -179,13 +206,15 @@ def _loaded(path: str, room: int) -> UnitEncoder:
             yield from zip(some, [raw[a * wide : b * wide] for a, b in zip(starts.tolist(), ends.tolist())])
 
     if bare:
-        pattern = re.compile(f"{_ENDINGS}|[{_LETTERS}]+|[{_DIGITS}]|[^{_SPACES}{_LETTERS}{_DIGITS}]+")
-        cut = lambda text: pattern.findall(text.lower())
-        learn = lambda new: dict(lined(new, " ", last))
+        # Letters are what lies between these units.
+        others = f"{_ENDINGS}|[{_DIGITS}]|[^{_SPACES}{_LETTERS}{_DIGITS}]+"
+        cut, space = None, lambda texts: pc.replace_substring_regex(pa.array([t.lower() for t in texts], pa.string()), others, r" \0 ")
+        # Beside white space at an end there is an empty unit.
+        learn = lambda new: {"": b""} | dict(lined(list(filter(None, new)), " ", last))
     else:
         pattern = re.compile(f"{_ENDINGS}| ?[{_LETTERS}]+| ?[{_DIGITS}]+| ?[^{_SPACES}{_LETTERS}{_DIGITS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
         blank = re.compile(f"[{_SPACES}]+")
-        cut = pattern.findall
+        cut, space = pattern.findall, None
 
         def learn(new: list[str]) -> dict[str, bytes]:
             gaps = [u for u in new if blank.fullmatch(u)]
@@ -193,5 +222,15 @@ def _loaded(path: str, room: int) -> UnitEncoder:
             others = [u for u in new if not blank.match(u)]
             return dict(zip(gaps, whole(gaps))) | dict(lined(behind, "", first)) | dict(lined(others, "\n", feed))
 
-    added = [re.escape(t["content"]) for t in parts["added_tokens"]]
-    return UnitEncoder(cut, learn, whole, re.compile("|".join([*added, _OTHER.pattern])), dtype.str, room)
+    kept = [t["content"] for t in parts["added_tokens"]] + [*_MARKS] * bare
+
+    def uncut(text: str) -> bool:
+        if any(map(text.__contains__, kept)):
+            return True
+        try:
+            text.encode("latin-1")  # most texts; they have no other character
+            return False
+        except UnicodeEncodeError:
+            return bool(_OTHER.search(text))
+
+    return UnitEncoder(cut, learn, whole, uncut, dtype.str, room, space)

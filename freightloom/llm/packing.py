@@ -108,6 +108,8 @@ def filled(docs: list[np.ndarray], size: int) -> Iterator[list[tuple[int, int, i
         rest -= part
 
 
+#: Units that a worker remembers; a worker stays when its stage is over, so this is memory that later stages miss.
+ROOM = 1 << 19
 #: Two odd factors that mix ids, for the lexical key.
 MIX = np.array([0x9E3779B1, 0x85EBCA77], np.uint32)
 
@@ -119,11 +121,11 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int, key: str = "doc_id", te
     schema = rows.select("key", F.lit(b"").alias("ids"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("near")).schema
 
     def run(batches):
-        encode = unit_encoder(tokenizer)
+        encode = unit_encoder(tokenizer, ROOM)
         close = np.array([end], encode.dtype).tobytes()
         for batch in batches:
             found, near = [], []
-            for got in encode.many(t.as_py() for t in batch.column(1)):
+            for got in encode.many((t.as_py() for t in batch.column(1)), 2_000_000):
                 found.append(got + close)
                 ids = np.frombuffer(found[-1], encode.dtype).astype(np.uint32)
                 near.append((int((ids * MIX[0]).min()) << 31) + (int((ids * MIX[1]).min()) >> 1))

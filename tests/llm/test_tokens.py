@@ -135,3 +135,21 @@ def test_neighbours_come_first():
     others = [np.arange(20 * k, 20 * k + 18).astype(np.uint16) for k in range(2, 8)]
     sequences = list(packing.filled([alike[0], *others, alike[1]], 36))
     assert {d for d, _, _ in sequences[0]} == {0, 7}
+
+
+def test_texts_together_give_the_ids_of_each():
+    want = [e.ids for e in Tokenizer.from_file(WORDS).encode_batch(TEXTS, add_special_tokens=False)]
+    assert [np.frombuffer(got, "<u2").tolist() for got in unit_encoder(WORDS, 500).many(TEXTS, 700)] == want
+
+
+def test_python_sees_only_distinct_words():
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+    encode = unit_encoder(WORDS, 501)
+    encode.known = Counted()
+    assert len(encode("Some words, more words. " * 2000)) == 2 * 12_000 and 0 < Counted.asked < 20
