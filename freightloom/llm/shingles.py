@@ -80,9 +80,8 @@ def _sketches(source: DataFrame, width: int, similarity: float, common: np.ndarr
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, source: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets reach the similarity. Texts are moved, which compress, not hashes;
-    pairs come sorted by b, whose set is made once for all its pairs in a row."""
-    pairs = written(pairs)
+    """Those of the pairs (a, b) whose whole sets reach the similarity; `pairs` is a written table, which goes. Texts are
+    moved, which compress, not hashes; pairs come sorted by b, whose set is made once for all its pairs in a row."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
     prints = sets.join(ends, "set", "left_semi").select("set", "print")
     texts = written(source.select("print", "text").join(prints, "print").select("set", "text").dropDuplicates(["set"]))
@@ -107,11 +106,13 @@ def _similar(pairs: DataFrame, sets: DataFrame, source: DataFrame, width: int, s
 
 def _typical(rows: DataFrame, heads: DataFrame) -> DataFrame:
     """(set, typical): which share of a set's prefix other sets have in theirs, for sets in a crowd at one of their heads."""
-    crowds = heads.groupBy("value").count().where(F.col("count") > COMMON).select("value")
-    crowded = heads.join(written(crowds), "value").select("set").distinct()
+    crowds = written(heads.groupBy("value").count().where(F.col("count") > COMMON).select("value"))
+    crowded = heads.join(crowds, "value").select("set").distinct()
     values = written(rows.select("set", "prefix").join(crowded, "set").dropDuplicates(["set"]).select("set", F.explode("prefix").alias("value")))
     times = written(values.groupBy("value").agg(F.count("*").alias("times")).where("times > 1"))
-    return written(values.join(times, "value", "left").groupBy("set").agg(F.avg(F.when(F.col("times") > 1, 1.0).otherwise(0.0)).alias("typical")))
+    out = written(values.join(times, "value", "left").groupBy("set").agg(F.avg(F.when(F.col("times") > 1, 1.0).otherwise(0.0)).alias("typical")))
+    dropped(crowds, values, times)
+    return out
 
 
 def _sociable(met: DataFrame, sets: DataFrame, source: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -160,7 +161,7 @@ def links(source: DataFrame, rows: DataFrame, width: int, similarity: float) ->
     near = simhash.links(first.select("fp")).join(end("a"), "a").join(end("b"), "b")
     stars = [sets.join(first, "fp"), near.select("a_c.set", "a_c.n", F.col("b_c").alias("c"))]
     apart = lambda x: x.where((F.col("c.set") != F.col("set")) & fits(F.col("n"), F.col("c.n"))).select(F.col("set").alias("a"), F.col("c.set").alias("b"))
-    starred = _similar(reduce(DataFrame.unionByName, map(apart, stars)).distinct(), sets, source, width, similarity)
+    starred = _similar(written(reduce(DataFrame.unionByName, map(apart, stars)).distinct()), sets, source, width, similarity)
     # Then rounds of stars: sets that share one of their smallest values are compared with one of them, a centre. In the
     # first round that is the one most of whose values others have, too: what many texts were copied from has none of its
     # own, while its copies may all be too far from each other. Later those outside the largest component are compared with
@@ -176,12 +177,13 @@ def links(source: DataFrame, rows: DataFrame, width: int, similarity: float) ->
             by = held.groupBy("value", "root").agg(F.min(F.struct(F.xxhash64("set", "value", F.lit(turn)), "set", "n")).alias("c"), F.count("*").alias("m"))
             centre = by.groupBy("value").agg(F.max_by(F.struct("root", "c"), F.struct("m", F.xxhash64("root", "value"))).alias("major"), F.count("*").alias("k")).where("k > 1").select("value", "major.c", F.col("major.root").alias("own"))
         stars = held.join(centre, "value").where(F.col("root") != F.col("own")).select("set", "n", "c")
-        found = _similar(apart(stars).distinct(), sets, source, width, similarity)
+        found = _similar(written(apart(stars).distinct()), sets, source, width, similarity)
         dropped(held)
         if turn and found.isEmpty():
             break
         old, starred = starred, written(starred.unionByName(found))
         dropped(old, found)
+    dropped(first, heads, weighed)
     roots = written(components(starred).withColumnRenamed("node", "set"))
 
     def shared(some: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -197,13 +199,16 @@ def links(source: DataFrame, rows: DataFrame, width: int, similarity: float) ->
     common = sorted(r["value"] for r in values.where(F.col("m") > COMMON).orderBy(F.desc("m"), "value").limit(MOST_COMMON).collect())
     if common:
         dropped(rooted, values)
-        rooted, values = shared(written(_sketches(source, width, similarity, np.array(common, np.int64))))
+        late = written(_sketches(source, width, similarity, np.array(common, np.int64)))
+        rooted, values = shared(late)
+        dropped(late)
     met = written(rooted.select("set", "root", "n", F.posexplode("prefix").alias("at", "value")).join(values, "value"))
     # Where a value still has a crowd, only those of it that may have a link in the crowds take part.
     crowd = met.where(F.col("m") > COMMON)
     met = written(met.where(F.col("m") <= COMMON).withColumn("others", F.col("n")).unionByName(crowd.join(_sociable(crowd, sets, source, width, similarity), "set")).drop("m"))
     major = met.groupBy("value", "root").agg(F.count("*").alias("m")).groupBy("value").agg(F.max_by("root", F.struct("m", "root")).alias("major"))
-    met = written(met.join(major, "value").withColumn("minor", F.col("root") != F.col("major")).drop("major"))
+    old, met = met, written(met.join(major, "value").withColumn("minor", F.col("root") != F.col("major")).drop("major"))
+    dropped(old)
     left = met.where("minor").select("value", F.col("set").alias("a"), F.col("root").alias("a_root"), F.col("n").alias("a_n"), F.col("at").alias("a_at"), F.col("others").alias("a_others"))
     right = met.select("value", F.col("set").alias("b"), F.col("root").alias("b_root"), F.col("n").alias("b_n"), F.col("at").alias("b_at"), F.col("others").alias("b_others"), "minor")
     least = similarity / (1 + similarity)
@@ -218,7 +223,8 @@ def links(source: DataFrame, rows: DataFrame, width: int, similarity: float) ->
     most = F.col("common") + F.when(F.col("a_last") <= F.col("b_last"), F.col("a_rest")).otherwise(F.col("b_rest"))
     # Halved places may tie: then either rest may bound.
     most = F.when(F.col("a_last") == F.col("b_last"), F.col("common") + F.greatest("a_rest", "b_rest")).otherwise(most)
-    pairs = pairs.where(most >= least * (F.col("a_n") + F.col("b_n")) - EPSILON).select("a", "b")
+    pairs = written(pairs.where(most >= least * (F.col("a_n") + F.col("b_n")) - EPSILON).select("a", "b"))
+    dropped(roots, rooted, values, met)
     return starred.unionByName(_similar(pairs, sets, source, width, similarity))
 
 

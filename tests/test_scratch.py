@@ -38,3 +38,23 @@ def test_tables_are_written_and_dropped(spark):
     assert os.path.isdir(name) and folder in name
     scratch.dropped(df, spark.range(3).toDF("n"))
     assert not os.path.exists(name) and os.path.isdir(folder)
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from freightloom.operators.scratch import written
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in (files.apply(k).getName() for k in range(files.size())) if n.startswith("shuffle_")}
+
+    before = shuffled()
+    written(spark.range(1000).repartition(3, F.col("id") % 7))
+    for _ in range(50):  # executors delete them a moment later
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.1)
+    assert not left
