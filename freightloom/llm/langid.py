@@ -7,6 +7,8 @@ the centroid with the largest cosine; where that cosine is far below what texts
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +25,8 @@ _LETTER = regex.compile(r"\p{L}")
 #: ASCII letters and all bytes beyond ASCII are kept, anything else is a space.
 _KEEP = np.array([c if chr(c).isalpha() and c < 128 or c > 127 else 32 for c in range(256)], np.uint8)
 _CHUNK = 1 << 20
+#: Rows of counts that are made vectors together.
+_BLOCK = 256
 #: A text is rejected under this share of the cosine that all but one in a hundred texts of its length reach.
 REJECT = 0.6
 
@@ -70,8 +74,12 @@ def buckets(counts: np.ndarray) -> np.ndarray:
 
 
 def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    v = np.log1p(counts.astype(np.float32)) * idf
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    v = counts.astype(np.float32)
+    np.log1p(v, out=v)
+    v *= idf
+    for part in np.array_split(v, len(v) // _BLOCK + 1):  # in place: the driver calls this with all examples of a language
+        part /= np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-9)
+    return v
 
 
 def clustered(v: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
@@ -89,18 +97,23 @@ def clustered(v: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
     return centres
 
 
-def learned(rows: list[tuple[str, np.ndarray]], per_language: int = 4) -> Model:
-    """The model from (language, counts) rows; the order of rows doesn't matter."""
+def learned(rows: Iterable[tuple[str, np.ndarray]], per_language: int = 4) -> Model:
+    """The model from (language, counts) rows; the order of rows doesn't matter.
+
+    The driver runs this: it holds the counts once, in the type that they come in, the vectors of one language, and
+    predicts a block of rows at a time.
+    """
     rows = sorted(rows, key=lambda r: (r[0], r[1].tobytes()))
     langs = sorted({r[0] for r in rows})
-    counts = np.stack([r[1] for r in rows])
     owner = np.array([langs.index(r[0]) for r in rows])
-    idf = (np.log((1 + len(rows)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
-    v = vectors(counts, idf)
-    centres = [clustered(v[owner == i], per_language) for i in range(len(langs))]
+    counts = np.stack([r[1] for r in rows])
+    del rows
+    idf = (np.log((1 + len(counts)) / (1 + np.count_nonzero(counts, 0))) + 1).astype(np.float32)
+    centres = [clustered(vectors(counts[owner == i], idf), per_language) for i in range(len(langs))]
     model = Model(langs, idf, np.concatenate(centres).astype(np.float32), np.repeat(np.arange(len(langs)), [len(c) for c in centres]), np.zeros(40))
-    own, score, _ = model.predict(counts)
-    right, lengths = own == owner, buckets(counts)
+    found = [(*model.predict(part)[:2], buckets(part)) for part in np.array_split(counts, len(counts) // _BLOCK + 1)]
+    own, score, lengths = map(np.concatenate, zip(*found))
+    right = own == owner
     for b in range(40):
         # Lengths with few examples take in their neighbours, as far as it needs, so that every length rejects.
         away = np.abs(lengths[right] - b)
@@ -131,12 +144,13 @@ def fitted(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang
 
     def run(batches):
         for batch in batches:
-            kept = [(a, grams(t).clip(0, 65535).astype("<u2").tobytes()) for a, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            kept = [(a, zlib.compress(grams(t).clip(0, 65535).astype("<u2").tobytes(), 1)) for a, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in kept], pa.string()), pa.array([b for _, b in kept], pa.binary())], names=["lang", "counts"])
 
     drawn = docs.where(train & (draw < share)).where(F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    # Most n-grams of a text are missing: compressed, its counts take a fraction of the driver's memory.
     got = drawn.mapInArrow(run, "lang string, counts binary").limit(2 * sample).collect()
-    return learned([(r["lang"], np.frombuffer(r["counts"], "<u2").astype(np.int64)) for r in got], per_language) if got else None
+    return learned(((r["lang"], np.frombuffer(zlib.decompress(r["counts"]), "<u2")) for r in got), per_language) if got else None
 
 
 def identified(docs: DataFrame, model: Model | None, text: str = "text", carry: list[str] | None = None, unknown: str = "und") -> DataFrame:

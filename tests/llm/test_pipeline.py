@@ -98,3 +98,23 @@ def test_quality_module_is_native():
     for name in ("quality", "linededup"):
         text = open(path.format(name), encoding="utf-8").read()
         assert not any(w in text for w in ("pandas", "pyarrow", "mapIn", "applyIn", "udf(", ".rdd"))
+
+
+def test_language_model_is_learned_in_little_driver_memory(spark):
+    """The examples' counts are held once, in two bytes each; before, in eight, and several times over."""
+    import random
+    import tracemalloc
+
+    from freightloom.llm import langid
+
+    rnd, each = random.Random(5), 200
+    rows = [(k, " ".join(rnd.choice(letters) + rnd.choice("xyz") + rnd.choice(letters) for _ in range(60)), letters) for k, letters in enumerate(["abcd", "efgh", "ijkl"] * each)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    tracemalloc.start()
+    try:
+        model = langid.fitted(docs, langid.F.lit(True))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < len(rows) * langid.SIZE * 8
+    assert {(r["lang"], r["lang_pred"]) for r in langid.identified(docs, model).collect()} == {(x, x) for x in ("abcd", "efgh", "ijkl")}
