@@ -195,11 +195,12 @@ def links(source: DataFrame, rows: DataFrame, width: int, similarity: float) ->
         return rooted, written(by.where("low <> high").select("value", "m"))
 
     rooted, values = shared(rows)
-    # A bounded number of values is collected; they only change the order.
-    common = sorted(r["value"] for r in values.where(F.col("m") > COMMON).orderBy(F.desc("m"), "value").limit(MOST_COMMON).collect())
-    if common:
+    # A bounded number of values is collected, as one Arrow column: picked by tasks, not from all that they send to the
+    # driver. They only change the order.
+    common = np.sort(values.where(F.col("m") > COMMON).orderBy(F.desc("m"), "value").limit(MOST_COMMON).select("value").toArrow()["value"].to_numpy())
+    if len(common):
         dropped(rooted, values)
-        late = written(_sketches(source, width, similarity, np.array(common, np.int64)))
+        late = written(_sketches(source, width, similarity, common))
         rooted, values = shared(late)
         dropped(late)
     met = written(rooted.select("set", "root", "n", F.posexplode("prefix").alias("at", "value")).join(values, "value"))
