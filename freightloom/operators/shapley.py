@@ -130,17 +130,5 @@ def of_pipeline(model, features: Sequence[str]) -> Ensemble:
     is the sum of the trees' values by their weights."""
     last = model.stages[-1]
     out = Ensemble("squared", list(features), [0.0])
-    for tree, weight in zip(last.trees, last.treeWeights):
-        own = Tree()
-
-        def walk(node, weight=weight, own=own) -> int:
-            k = own.add(weight * node.prediction(), float(node.impurityStats().count()))
-            if node.getClass().getSimpleName() != "LeafNode":
-                split = node.split()
-                low, high = walk(node.leftChild()), walk(node.rightChild())
-                own.feature[k], own.cut[k], own.low[k], own.high[k] = split.featureIndex(), split.threshold(), low, high
-            return k
-
-        walk(tree._call_java("rootNode"))
-        out.trees.append((0, own))
+    out.trees.extend((0, Tree.of_model(tree, weight)) for tree, weight in zip(last.trees, last.treeWeights))
     return out

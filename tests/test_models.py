@@ -76,6 +76,20 @@ def test_boosted_quantiles_cover(rows):
     assert 0.7 < covered < 0.9 and width < 0.75 * (plain[1] - plain[0]) and crossed == 0 and n == 1000
 
 
+def test_boosted_quantiles_fit_counts(spark, monkeypatch):
+    """Trees are fitted on rows of equal features counted once, whatever the table holds; rows without a label don't learn."""
+    key, seen = F.col("id"), []
+    df = spark.range(3000).select("id", (key % 7).alias("a"), (key % 5).alias("b"), (key % 7 + S.uniform(key, "u")).alias("value")).cache()
+    fit = M.Pipeline.fit
+    monkeypatch.setattr(M.Pipeline, "fit", lambda self, data: seen.append(data.count()) or fit(self, data))
+    got = M.boosted_quantiles(df, df, ["a", "b"], "value", [0.1, 0.5, 0.9], rounds=2)
+    assert len(seen) == 6 and max(seen) <= 2 * 35
+    assert 0.7 < got.agg(F.avg(F.col("value").between(F.col("q_10"), F.col("q_90")).cast("int"))).first()[0] < 0.9
+    unlabelled = df.unionByName(df.withColumn("value", F.lit(None).cast("double")))
+    again = M.boosted_quantiles(unlabelled, df, ["a", "b"], "value", [0.1, 0.5, 0.9], rounds=2)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, again.collect()))
+
+
 def test_uplift_finds_who_gains(rows):
     out = M.uplift_scores(rows.select("id", "a", "b", "p", "t", "loss"), ["a", "b"], "t", "loss", F.col("id") % 4)
     for score in ("t", "dr"):
